@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import substring_dedup
+from corpusloom.llm import substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 SQL = {
+    "op1_suffix_array_dedup": suffix_dedup.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }
