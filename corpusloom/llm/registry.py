@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, jaccard_join, sharding, substring_dedup, suffix_dedup
+from corpusloom.llm import decontaminate, jaccard_join, sharding, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
+    "op4_warc": warc.op4_warc,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
     "op3_ngram_jaccard_join": jaccard_join.SQL,
+    "op4_warc": warc.SQL,
     "op6_decontamination": decontaminate.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }
