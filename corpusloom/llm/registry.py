@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, jaccard_join, sharding, substring_dedup, suffix_dedup, warc
+from corpusloom.llm import decontaminate, jaccard_join, sharding, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
