@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, jaccard_join, sharding, substring_dedup, suffix_dedup, toxicity, warc
+from corpusloom.llm import decontaminate, jaccard_join, quality, sharding, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
     "op4_warc": warc.op4_warc,
     "op6_decontamination": decontaminate.op6_decontamination,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
+    "op2_quality_rules": quality.SQL,
     "op3_ngram_jaccard_join": jaccard_join.SQL,
     "op4_warc": warc.SQL,
     "op6_decontamination": decontaminate.SQL,
