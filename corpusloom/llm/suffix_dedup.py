@@ -75,7 +75,7 @@ class _Anchors:
     def weights(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes and the number of documents that hold each."""
         ids = self.block.ids[self.doc]
-        order = np.lexsort((ids, self.h))
+        order = np.argsort(self.h, kind="stable")  # places are in id order
         h, ids = self.h[order], ids[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
@@ -107,12 +107,12 @@ class _Segments:
         rows = np.concatenate([rows, most[:, None], least[:, None]], axis=1)
         key = K.mix(_digest(rows) * np.uint64(3) + h)
         ids = a.block.ids[doc]
-        order, head = _grouped(key, ids)
+        order, head = _grouped(key)
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
         if (rows[order] != rows[lead]).any():  # two contents with one digest: group by content
             both = np.concatenate([rows, h.view(np.uint8).reshape(-1, 8)], axis=1)
             key = np.unique(both, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
-            order, head = _grouped(key, ids)
+            order, head = _grouped(key)
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(head) - 1
         first = order[head]
@@ -131,21 +131,20 @@ class _Segments:
             col = np.arange(width)
             used = (col >= (self.left - r[:, -2].astype(int))[:, None]) & (col < (width - r[:, -1].astype(int))[:, None])
             planes = self.ids[i].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-            out.append((int(p), block, len(i).to_bytes(8, "little") + self.h[i].tobytes() + planes + r[:, -2].tobytes() + r[:, -1].tobytes() + r[:, :-2][used].tobytes()))
+            text = pa.compress(r[:, :-2][used].tobytes(), codec="zstd", asbytes=True)
+            out.append((int(p), block, len(i).to_bytes(8, "little") + self.h[i].tobytes() + planes + r[:, -2].tobytes() + r[:, -1].tobytes() + text))
         return out
 
 
 def _rows(buf: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """width bytes from each place; places outside the buffer read as its edge."""
-    out = np.empty((len(at), width), np.uint8)
-    for j in range(width):
-        out[:, j] = buf[np.clip(at + j, 0, max(0, len(buf) - 1))] if len(at) else 0
-    return out
+    """width bytes from each place; places outside the buffer read as zero."""
+    padded = np.concatenate([np.zeros(width, np.uint8), buf, np.zeros(width, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[at + width]
 
 
-def _grouped(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (key, id), and which sorted rows start a group."""
-    order = np.lexsort((ids, key))
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (key, id), and which sorted rows start a group; rows of one key come in id order."""
+    order = np.argsort(key, kind="stable")
     head = np.ones(len(key), bool)
     head[1:] = key[order][1:] != key[order][:-1]
     return order, head
@@ -164,20 +163,21 @@ def _sort_strings(length: int):
     width = left + length
 
     def run(table: pa.Table) -> pa.Table:
-        hs, ds, mosts, leasts, rows, n = [], [], [], [], [], []
+        ds, mosts, leasts, rows, n = [], [], [], [], []
         for x in table["body"]:
             body = x.as_py()
             k = int.from_bytes(body[:8], "little")
             n.append(k)
-            hs.append(np.frombuffer(body, np.uint64, k, 8))
             ds.append(np.frombuffer(body, np.uint8, 8 * k, 8 + 8 * k).reshape(8, k).T.copy().view("<i8").ravel())
             most, least = np.frombuffer(body, np.uint8, k, 8 + 16 * k), np.frombuffer(body, np.uint8, k, 8 + 17 * k)
             r = np.zeros((k, width), np.uint8)
             col = np.arange(width)
-            r[(col >= (left - most.astype(int))[:, None]) & (col < (width - least.astype(int))[:, None])] = np.frombuffer(body, np.uint8, offset=8 + 18 * k)
+            used = (col >= (left - most.astype(int))[:, None]) & (col < (width - least.astype(int))[:, None])
+            r[used] = np.frombuffer(pa.decompress(body[8 + 18 * k :], decompressed_size=int(used.sum()), codec="zstd", asbytes=True), np.uint8)
             mosts.append(most), leasts.append(least), rows.append(r)
         doc, most, least, rows = np.concatenate(ds), np.concatenate(mosts).astype(np.int64), np.concatenate(leasts).astype(np.int64), np.concatenate(rows)
         total = len(doc)
+        by_doc = np.argsort(doc, kind="stable")
         order, lcp = deep_shallow(np.ascontiguousarray(rows[:, left:]))
         back, back_lcp = deep_shallow(np.ascontiguousarray(rows[:, :left][:, ::-1]), 1)
         right_class, left_class = np.empty(total, np.int64), np.empty(total, np.int64)
@@ -186,11 +186,11 @@ def _sort_strings(length: int):
         for a in range(low, high + 1):
             right_class[order] = np.cumsum(lcp < length - a)
             left_class[back] = np.cumsum(back_lcp < a)
-            i = np.flatnonzero((least <= a) & (a <= most))
+            i = by_doc[(least[by_doc] <= a) & (a <= most[by_doc])]
             if not len(i):
                 continue
             pair = right_class[i] * (total + 1) + left_class[i]
-            by = np.lexsort((doc[i], pair))
+            by = np.argsort(pair, kind="stable")
             p = pair[by]
             head = np.ones(len(by), bool)
             head[1:] = p[1:] != p[:-1]
