@@ -5,6 +5,488 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from corpusloom.functions import classes as C
+from corpusloom.functions import numbers as N
+from corpusloom.functions import text as T
+from corpusloom.operators import bank, batch
+from corpusloom.operators import corpus_stats as S
+from corpusloom.operators import leakage as L
+from corpusloom.operators import windows as W
+from corpusloom.streaming.events import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+#: Common table expressions that several statements start from.
+LINES = r"""ln AS (SELECT doc_id AS id, lang, source, i AS line_no, trim(l, E' \t') AS line FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(l, E' \t') <> ''),
+bl AS (SELECT item_id AS id, trim(l, E' \t') AS line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE trim(l, E' \t') <> '')"""
+TOKENS = "list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.split_lines(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.split_lines(read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def _grams(table: str, n: int) -> str:
+    return f"SELECT DISTINCT array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {TOKENS} AS w FROM {table}) WHERE len(w) >= {n})"
+
+
+# ---- strata and duplicates ----
+
+
+@query("reviewed_share", "SELECT lang, count(*) AS total, count(quality) AS reviewed, count(quality) / count(*) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def _(spark, d):
+    return S.reviewed_share(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id", ["lang"], "quality")
+
+
+@query("stratum_counts", "SELECT 'lang' AS dimension, lang AS value, count(*) AS n, count(*) / (SELECT count(*) FROM documents) AS share FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*), count(*) / (SELECT count(*) FROM documents) FROM documents GROUP BY source")
+def _(spark, d):
+    return S.stratum_counts(read(spark, d, "documents"), ["lang", "source"])
+
+
+@query("cross_stratum_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def _(spark, d):
+    return S.cross_counts(read(spark, d, "documents"), "lang", "source")
+
+
+@query(
+    "largest_stratum_share",
+    "WITH c AS (SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source), r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS k FROM c) SELECT dimension, value, n, n / (SELECT count(*) FROM documents) AS share FROM r WHERE k = 1",
+)
+def _(spark, d):
+    return S.largest_share(read(spark, d, "documents"), ["lang", "source"])
+
+
+@query("distinct_value_count", "SELECT 'lang' AS dimension, count(DISTINCT lang) AS n FROM documents UNION ALL SELECT 'source', count(DISTINCT source) FROM documents")
+def _(spark, d):
+    return S.distinct_values(read(spark, d, "documents"), ["lang", "source"])
+
+
+@query(
+    "seed_span_summary",
+    "WITH k AS (SELECT lang, doc_id, doc_id - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS g FROM (SELECT DISTINCT lang, doc_id FROM documents)), r AS (SELECT lang, max(n) AS longest_run FROM (SELECT lang, g, count(*) AS n FROM k GROUP BY lang, g) GROUP BY lang) SELECT lang, min(doc_id) AS min_key, max(doc_id) AS max_key, count(DISTINCT doc_id) AS distinct_keys, count(*) AS n, any_value(longest_run) AS longest_run FROM documents JOIN r USING (lang) GROUP BY lang",
+)
+def _(spark, d):
+    return S.span_summary(read(spark, d, "documents"), "doc_id", ["lang"])
+
+
+@query(
+    "stratum_delta",
+    "WITH a AS (SELECT lang, count(*) AS n FROM documents WHERE source = 'src0' GROUP BY lang), b AS (SELECT lang, count(*) AS n FROM documents WHERE source <> 'src0' GROUP BY lang), j AS (SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.n, 0) AS a_n, coalesce(b.n, 0) AS b_n FROM a FULL JOIN b ON a.lang = b.lang) SELECT lang, a_n, b_n, a_n / (SELECT sum(n) FROM a) AS a_share, b_n / (SELECT sum(n) FROM b) AS b_share, a_n / (SELECT sum(n) FROM a) - b_n / (SELECT sum(n) FROM b) AS delta, CASE WHEN a_n = 0 THEN 'a' WHEN b_n = 0 THEN 'b' END AS missing_in FROM j",
+)
+def _(spark, d):
+    docs = read(spark, d, "documents")
+    return S.stratum_delta(docs.where("source = 'src0'"), docs.where("source <> 'src0'"), "lang")
+
+
+@query(
+    "skew_warnings",
+    "WITH m AS (SELECT 'lang_share' AS metric, max(n) / sum(n) AS value FROM (SELECT count(*) AS n FROM documents GROUP BY lang) UNION ALL SELECT 'source_share', max(n) / sum(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source)) SELECT metric, value, CASE WHEN value >= 0.6 THEN 'hold' WHEN value >= 0.3 THEN 'warn' ELSE 'ok' END AS level FROM m",
+)
+def _(spark, d):
+    best = S.largest_share(read(spark, d, "documents"), ["lang", "source"])
+    metrics = best.select(F.concat("dimension", F.lit("_share")).alias("metric"), F.col("share").alias("value"))
+    return S.warning_bands(metrics, [("lang_share", 0.3, 0.6), ("source_share", 0.3, 0.6)])
+
+
+@query("duplicate_groups", "SELECT sha256(text) AS sha256, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _(spark, d):
+    return L.duplicate_groups(read(spark, d, "documents").select(T.sha256(F.col("text")).alias("sha256")), "sha256")
+
+
+@query("duplicate_rate", "WITH g AS (SELECT count(*) AS c FROM documents GROUP BY text) SELECT count(*) FILTER (c > 1) AS groups, sum(c - 1)::BIGINT AS extra, sum(c)::BIGINT AS rows, round(sum(c - 1) / sum(c), 6) AS rate FROM g")
+def _(spark, d):
+    return L.duplicate_rate(read(spark, d, "documents").select(F.sha2("text", 256).alias("h")), "h")
+
+
+@query("seen_before", r"SELECT doc_id, row_number() OVER (PARTITION BY trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) ORDER BY doc_id) > 1 AS seen_before FROM documents")
+def _(spark, d):
+    return L.duplicate_rows(read(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "seen_before")
+
+
+@query(
+    "near_duplicate_pairs",
+    r"WITH t AS (SELECT min(doc_id) AS id, s FROM (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) AS s FROM documents) WHERE len(s) > 0 GROUP BY s), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS both, len(a.s) AS x, len(b.s) AS y FROM t a JOIN t b ON a.id < b.id AND len(a.s) * 100 >= len(b.s) * 90 AND len(b.s) * 100 >= len(a.s) * 90) SELECT a, b, both, x + y - both AS either FROM j WHERE both * 100 >= (x + y - both) * 90",
+)
+def _(spark, d):
+    return L.near_duplicate_pairs(read(spark, d, "documents"), "doc_id", T.tokens(F.col("text")), 90)
+
+
+# ---- corpus statistics ----
+
+
+@query(
+    "line_stats",
+    f"WITH {LINES}, w AS (SELECT lang, unnest({TOKENS}) AS w FROM ln), v AS (SELECT lang, sum(n)::BIGINT AS tokens, count(*) AS types, count(*) FILTER (n = 1) AS hapax FROM (SELECT lang, w, count(*) AS n FROM w GROUP BY lang, w) GROUP BY lang), s AS (SELECT lang, count(*) AS lines, sum(length(line))::BIGINT AS characters, min(length(line)) AS min_len, median(length(line)) AS median_len, avg(length(line)) AS mean_len, max(length(line)) AS max_len FROM ln GROUP BY lang) SELECT s.*, tokens, types, hapax, types / tokens AS ttr FROM s JOIN v USING (lang)",
+)
+def _(spark, d):
+    langs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return S.file_stats(doc_lines(spark, d).join(langs, "id"), ["lang"])
+
+
+@query("char_class_counts", r"WITH c AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(l, '')) AS c FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE c <> '' GROUP BY c) SELECT CASE WHEN c BETWEEN 'א' AND 'ת' THEN 'hebrew_letter' WHEN regexp_matches(c, '^[0-9]$') THEN 'digit' WHEN regexp_matches(c, '^[A-Za-z]$') THEN 'latin' WHEN c = ' ' THEN 'space' ELSE 'punctuation_symbol' END AS class, sum(n)::BIGINT AS n FROM c GROUP BY 1")
+def _(spark, d):
+    pieces = read(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return S.char_classes(pieces)
+
+
+@query("letter_frequencies", f"WITH {LINES}, c AS (SELECT unnest(string_split(lower(line), '')) AS c FROM ln) SELECT letter, count(c) AS n FROM (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS letter) LEFT JOIN c ON c = letter WHERE letter <> '' GROUP BY letter")
+def _(spark, d):
+    return S.letter_frequencies(doc_lines(spark, d), "abcdefghijklmnopqrstuvwxyz")
+
+
+_HIST = {
+    "open": f"WITH {LINES}, h AS (SELECT length(line) // 5 * 5 AS bin, count(*) AS n FROM ln GROUP BY 1) SELECT r.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, (SELECT max(bin) FROM h) + 5, 5)) AS bin) r LEFT JOIN h ON h.bin = r.bin",
+    "sparse": f"WITH {LINES} SELECT least(length(line) // 5 * 5, 55) AS bin, count(*) AS n FROM ln GROUP BY 1",
+    "fixed": f"WITH {LINES}, h AS (SELECT least(length(line) // 5 * 5, 50) AS bin, count(*) AS n FROM ln GROUP BY 1) SELECT r.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 55, 5)) AS bin) r LEFT JOIN h ON h.bin = r.bin",
+}
+for _kind, _sql in _HIST.items():
+
+    def _histogram(spark, d, kind=_kind):
+        return S.length_histogram(doc_lines(spark, d), kind)
+
+    query(f"length_histogram_{_kind}", _sql)(_histogram)
+
+
+@query(
+    "top_words",
+    f"WITH {LINES}, w AS (SELECT id, line_no, unnest({TOKENS}) AS word, unnest(range(len({TOKENS}))) AS pos FROM ln), c AS (SELECT word, count(*) AS n, min(id * 1000000000000 + line_no * 1000000 + pos) AS f FROM w GROUP BY word ORDER BY n DESC, f LIMIT 20) SELECT word, n FROM c",
+)
+def _(spark, d):
+    return S.top_words(doc_lines(spark, d), 20).select("word", "n")
+
+
+# classes that a regular expression engine without look-around can state
+_PLAIN = {k: v for k, v in C.TOKEN_CLASSES.items() if "(?<" not in v and "(?=" not in v and "(?!" not in v}
+_LOOK = {
+    "latin_word": r"(^|[^A-Za-z0-9])[A-Za-z][a-z]{2,}($|[^A-Za-z0-9])",
+    "acronym": r"(^|[^A-Za-z0-9-])[A-Z]{2,6}s?($|[^A-Za-z0-9])",
+    "date_iso": r"(^|[^0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}($|[^0-9])",
+    "quarter_or_half": r"(^|[^A-Za-z0-9])[QH][1-4]($|[^A-Za-z0-9])",
+    "nis": r"(^|[^A-Za-z])NIS($|[^A-Za-z])",
+    "foreign_currency": r"(^|[^A-Za-z])(USD|EUR)($|[^A-Za-z])",
+    "email": r"[a-z0-9.-]+@[a-z0-9-]+\.test($|[^A-Za-z])",
+    "time_of_day": r"(^|[^0-9:])([01]?[0-9]|2[0-3]):[0-5][0-9]($|[^0-9:])",
+}
+_CLASSES = [*_PLAIN, *_LOOK]
+_quoted = lambda p: p.replace("'", "''")
+
+
+@query("token_class_lines", f"WITH {LINES} " + " UNION ALL ".join(f"SELECT '{n}' AS class, count(*) FILTER (regexp_matches(line, '{_quoted(_LOOK.get(n) or _PLAIN[n])}')) AS n FROM ln" for n in _CLASSES))
+def _(spark, d):
+    return S.class_lines(doc_lines(spark, d), {n: C.TOKEN_CLASSES[n] for n in _CLASSES})
+
+
+@query("token_class_lines_all")
+def _(spark, d):
+    return S.class_lines(doc_lines(spark, d))
+
+
+@query("mark_class_lines", f"WITH {LINES} " + " UNION ALL ".join(f"SELECT '{n}' AS class, count(*) FILTER (regexp_matches(line, '{_quoted(p)}')) AS n FROM ln" for n, p in C.MARK_CLASSES.items() if "(?<" not in p))
+def _(spark, d):
+    return S.class_lines(doc_lines(spark, d), {n: p for n, p in C.MARK_CLASSES.items() if "(?<" not in p})
+
+
+@query("mark_kinds", f"WITH {LINES} SELECT " + " + ".join(f"regexp_matches(line, '{C.MARK_CLASSES[k]}')::INT" for k in C.MARK_KINDS) + " AS kinds, count(*) AS n FROM ln GROUP BY 1")
+def _(spark, d):
+    return S.mark_kinds(doc_lines(spark, d))
+
+
+@query("text_features")
+def _(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.select(F.explode(C.text_features(F.col("text"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query("digit_rates", f"WITH {LINES} SELECT count(*) AS lines, count(*) FILTER (regexp_matches(line, '[0-9]')) AS lines_with_digit, sum(length(regexp_replace(line, '[^0-9]', '', 'g'))) * 1000 / sum(length(line)) AS digits_per_1000 FROM ln")
+def _(spark, d):
+    return S.digit_rates(doc_lines(spark, d))
+
+
+@query("number_shapes", rf"""WITH n AS (SELECT unnest(regexp_extract_all(text, '[0-9]+(?:[.,/][0-9]+)*%?')) AS t FROM documents) SELECT CASE WHEN t LIKE '%\%' ESCAPE '\' THEN 'percent' WHEN regexp_matches(t, '^[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{2,4}}$') THEN 'date' WHEN contains(t, ',') THEN 'thousands' WHEN regexp_matches(t, '^[0-9]+\.[0-9]+$') THEN 'decimal_or_section' WHEN contains(t, '/') THEN 'slash_ref' WHEN regexp_matches(t, '^[0-9]+(\.[0-9]+){{2,}}$') THEN 'section_multi' WHEN length(t) < 6 THEN 'int_len' || length(t) ELSE 'int_len6+' END AS shape, count(*) AS n FROM n GROUP BY 1""")
+def _(spark, d):
+    t = read(spark, d, "documents").select(F.explode(N.number_tokens(F.col("text"))).alias("t"))
+    return t.groupBy(N.number_shape(F.col("t")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query("privacy_hits", rf"""WITH {LINES}, r AS (SELECT * , regexp_extract_all(line, '[0-9]+') AS runs FROM ln) SELECT 'email' AS rule, count(*) AS n FROM r WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]') UNION ALL SELECT 'long_digit_run', count(*) FROM r WHERE len(list_filter(runs, lambda x: length(x) >= 7)) > 0 UNION ALL SELECT 'joined_digits', count(*) FROM r WHERE len(list_filter(regexp_extract_all(line, '[0-9]+(?:[- ][0-9]+)+'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 9)) > 0""")
+def _(spark, d):
+    hits = doc_lines(spark, d).select(F.explode(C.privacy_hits(F.col("line"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return hits.where(F.col("rule").isin("email", "long_digit_run", "joined_digits"))
+
+
+@query("privacy_hits_all")
+def _(spark, d):
+    return doc_lines(spark, d).select(F.explode(C.privacy_hits(F.col("line"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("hygiene_faults", r"SELECT 'no_final_line_feed' AS rule, count(*) AS n FROM documents WHERE NOT ends_with(text, chr(10)) HAVING count(*) > 0 UNION ALL SELECT 'double_space', count(*) FROM documents WHERE contains(text, '  ') HAVING count(*) > 0 UNION ALL SELECT 'tab', count(*) FROM documents WHERE contains(text, chr(9)) HAVING count(*) > 0 UNION ALL SELECT 'carriage_return', count(*) FROM documents WHERE contains(text, chr(13)) HAVING count(*) > 0")
+def _(spark, d):
+    own = read(spark, d, "documents").select(F.explode(C.hygiene_faults(F.col("text"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return own.where(F.col("rule").isin("no_final_line_feed", "double_space", "tab", "carriage_return"))
+
+
+# ---- leakage ----
+
+
+@query(
+    "word3_overlap",
+    f"WITH {LINES}, t AS ({_grams('bl', 3)}), s AS ({_grams('ln', 3)}) SELECT (SELECT count(*) FROM t) AS target_grams, (SELECT count(*) FROM t WHERE g IN (SELECT g FROM s)) AS shared_grams, (SELECT count(*) FROM t WHERE g IN (SELECT g FROM s)) / (SELECT count(*) FROM t) AS share, (SELECT count(*) FROM (SELECT DISTINCT line FROM bl) WHERE line IN (SELECT line FROM ln)) AS shared_lines",
+)
+def _(spark, d):
+    return L.gram_overlap(doc_lines(spark, d), item_lines(spark, d), 3)
+
+
+@query(
+    "word3_overlap_per_line",
+    f"WITH {LINES}, t AS ({_grams('bl', 3)}), s AS ({_grams('ln', 3)}) SELECT (SELECT count(*) FROM t) AS target_grams, (SELECT count(*) FROM t WHERE g IN (SELECT g FROM s)) AS shared_grams, (SELECT count(*) FROM t WHERE g IN (SELECT g FROM s)) / (SELECT count(*) FROM t) AS share, (SELECT count(*) FROM bl WHERE line IN (SELECT line FROM ln)) AS shared_lines",
+)
+def _(spark, d):
+    return L.gram_overlap(doc_lines(spark, d), item_lines(spark, d), 3, normal=True, per_line=True)
+
+
+def _directed() -> str:
+    parts = ["SELECT 'lines' AS measure, (SELECT count(DISTINCT line) FROM bl) AS total, (SELECT count(DISTINCT line) FROM bl WHERE line IN (SELECT line FROM ln)) AS seen"]
+    tables = []
+    for n in (1, 2, 3):
+        for name, src in (("t", "bl"), ("s", "ln")):
+            tables.append(f"{name}{n} AS ({_grams(src, n).replace('SELECT DISTINCT', 'SELECT', 1)})")
+        parts.append(f"SELECT 'word{n}_types', (SELECT count(DISTINCT g) FROM t{n}), (SELECT count(DISTINCT g) FROM t{n} WHERE g IN (SELECT g FROM s{n}))")
+        parts.append(f"SELECT 'word{n}_tokens', (SELECT count(*) FROM t{n}), (SELECT count(*) FROM t{n} WHERE g IN (SELECT g FROM s{n}))")
+    for name, src in (("ct", "bl"), ("cs", "ln")):
+        tables.append(f"{name} AS (SELECT DISTINCT substr(line, i, 5) AS g FROM (SELECT line, unnest(range(1, length(line) - 3)) AS i FROM {src} WHERE length(line) >= 5))")
+    parts.append("SELECT 'char5_types', (SELECT count(*) FROM ct), (SELECT count(*) FROM ct WHERE g IN (SELECT g FROM cs))")
+    return f"WITH {LINES}, {', '.join(tables)}, u AS ({' UNION ALL '.join(parts)}) SELECT measure, total, seen, seen / greatest(total, 1) AS share FROM u"
+
+
+@query("directed_overlap", _directed())
+def _(spark, d):
+    return L.directed_overlap(doc_lines(spark, d), item_lines(spark, d))
+
+
+@query("hash_fixture", f"WITH {LINES} SELECT DISTINCT 'line' AS kind, sha256(line) AS sha256 FROM bl UNION SELECT 'word3', sha256(g) FROM ({_grams('bl', 3)})")
+def _(spark, d):
+    return L.hash_fixture(item_lines(spark, d))
+
+
+@query("hashed_overlap", f"WITH {LINES}, own AS (SELECT 'line' AS kind, line AS g FROM ln UNION SELECT 'word3', g FROM ({_grams('ln', 3)})), fix AS (SELECT 'line' AS kind, line AS g FROM bl UNION SELECT 'word3', g FROM ({_grams('bl', 3)})) SELECT kind, count(*) AS total, count(*) FILTER ((kind, g) IN (SELECT (kind, g) FROM fix)) AS shared FROM own GROUP BY kind")
+def _(spark, d):
+    return L.hashed_overlap(doc_lines(spark, d), L.hash_fixture(item_lines(spark, d)))
+
+
+_SKEL = "regexp_replace(regexp_replace(line, '[0-9]+', '0', 'g'), '[A-Za-z]+', 'a', 'g')"
+
+
+@query("skeleton_leak", f"WITH {LINES}, t AS (SELECT DISTINCT {_SKEL} AS s FROM bl), o AS (SELECT DISTINCT {_SKEL} AS s FROM ln) SELECT (SELECT count(*) FROM t) AS skeletons, (SELECT count(*) FROM t WHERE s IN (SELECT s FROM o)) AS shared_skeletons, (SELECT count(*) FROM (SELECT DISTINCT unnest(string_split(line, '')) AS c FROM bl) WHERE c <> '' AND c NOT IN (SELECT DISTINCT unnest(string_split(line, '')) FROM ln)) AS unseen_characters")
+def _(spark, d):
+    return L.skeleton_leak(doc_lines(spark, d), item_lines(spark, d))
+
+
+@query("opening_repeats", f"WITH {LINES} SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM ln GROUP BY array_to_string(string_split(line, ' ')[1:2], ' '))) AS max_opening, count(DISTINCT {_SKEL}) AS skeletons, count(*) AS lines, (SELECT max(n) FROM (SELECT count(*) AS n FROM ln GROUP BY array_to_string(string_split(line, ' ')[1:2], ' '))) <= 25 AND count(DISTINCT {_SKEL}) / count(*) >= 0.97 AS ok FROM ln")
+def _(spark, d):
+    return L.template_refill(doc_lines(spark, d))
+
+
+_LETTERS = r"list_filter(string_split_regex(lower(line), '[^\p{L}]+'), lambda x: x <> '')"
+_SIX = lambda t: f"SELECT DISTINCT id, line, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT id, line, w, unnest(range(1, len(w) - 4)) AS i FROM (SELECT id, line, {_LETTERS} AS w FROM {t}) WHERE len(w) >= 6)"
+
+
+@query("decontaminated_lines", f"WITH {LINES}, b AS ({_SIX('bl')}), k AS (SELECT id, line_no, line, {_LETTERS} AS w FROM ln), h AS (SELECT DISTINCT id, line_no FROM (SELECT id, line_no, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 4)) AS i FROM k WHERE len(w) >= 6)) WHERE g IN (SELECT g FROM b)) SELECT k.id, k.line_no, k.line FROM k LEFT JOIN h USING (id, line_no) WHERE h.id IS NULL")
+def _(spark, d):
+    return L.decontaminated(doc_lines(spark, d), [("benchmark", item_lines(spark, d))]).select("id", "line_no", "line")
+
+
+@query("control_hits", f"WITH {LINES}, b AS (SELECT id, line, {_LETTERS} AS w FROM bl) SELECT count(*) AS lines, count(*) AS hits, count(*) > 0 AS ok FROM b WHERE len(w) >= 6")
+def _(spark, d):
+    own = item_lines(spark, d)
+    return L.control_hits(own.where(F.size(L.letter_words(F.col("line"))) >= 6), [("benchmark", own)])
+
+
+@query("disjoint_sources", "SELECT line, count(DISTINCT source) AS corpora FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, E' \\t') <> '' GROUP BY line HAVING count(DISTINCT source) > 1")
+def _(spark, d):
+    rows = read(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    return L.cross_corpus_lines(rows, "source")
+
+
+@query("multiset_diff", r"WITH t AS (SELECT role, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS token FROM conversations), r AS (SELECT token, count(*) AS r FROM t WHERE role = 'user' GROUP BY token), h AS (SELECT token, count(*) AS h FROM t WHERE role = 'assistant' GROUP BY token) SELECT token, greatest(coalesce(r, 0) - coalesce(h, 0), 0) AS missed, greatest(coalesce(h, 0) - coalesce(r, 0), 0) AS extra, least(coalesce(r, 0), coalesce(h, 0)) AS common FROM r FULL JOIN h USING (token)")
+def _(spark, d):
+    t = read(spark, d, "conversations").select("role", F.explode(T.tokens(F.col("text"))).alias("token"))
+    return L.multiset_difference(t.where("role = 'user'"), t.where("role = 'assistant'"), ["token"])
+
+
+# ---- order ----
+
+
+@query("reconstruct_turns", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS line FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    c = read(spark, d, "conversations").select(F.lit(0).alias("page"), "turn", F.col("conv_id").alias("logical"), F.when(F.row_number().over(W.Window.partitionBy("conv_id").orderBy("turn")) > 1, "space").alias("join"), "text")
+    return W.reconstruct(c, ["page"], "turn", "logical", "join", "text").select(F.col("logical").alias("conv_id"), "line")
+
+
+@query("turn_order_check", "WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) SELECT conv_id, turn, 'position' AS rule FROM t WHERE turn <> place")
+def _(spark, d):
+    return W.order_violations(read(spark, d, "conversations").withColumn("logical", F.col("turn")), ["conv_id"], "turn", "logical")
+
+
+@query("first_page_per_sample", "SELECT conv_id, arg_min(role, turn) AS role, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"), F.min_by("text", "turn").alias("text"))
+
+
+@query("first_appearance", "SELECT conv_id, role, dense_rank() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS rank FROM conversations GROUP BY conv_id, role")
+def _(spark, d):
+    return W.first_appearance(read(spark, d, "conversations"), ["conv_id"], "role", "turn").select("conv_id", "role", "rank")
+
+
+@query("reading_order", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY quality IS NULL, quality, doc_id) - 1 AS pos FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return W.reading_order(rows, ["source"], "quality", "doc_id").select("doc_id", "pos")
+
+
+@query("capped_sample", "WITH h AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, source FROM h WHERE k <= 5")
+def _(spark, d):
+    return W.capped_sample(read(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id", 5, 7)
+
+
+@query("keep_first", "WITH h AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('3:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, lang FROM h WHERE k = 1")
+def _(spark, d):
+    return W.keep_first(read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 3)
+
+
+@query("balanced_assignment", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('5:' || doc_id), doc_id) - 1 AS k FROM documents) SELECT doc_id, ['a', 'b', 'c'][k % 3 + 1] AS assigned FROM r")
+def _(spark, d):
+    return W.balanced_assignment(read(spark, d, "documents").select("doc_id"), "doc_id", ["a", "b", "c"], 5)
+
+
+@query("holdout_split", "SELECT doc_id, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT < 0.2 * 4294967296 AS held FROM documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.hash_split(F.col("doc_id").cast("string"), 0.2).alias("held"))
+
+
+@query("hash_seeds", "SELECT doc_id, substr(sha256('17:' || doc_id), 1, 16) AS hex FROM documents")
+def _(spark, d):
+    seed = T.hash_seed(17, F.col("doc_id").cast("string"))
+    return read(spark, d, "documents").select("doc_id", F.lower(F.lpad(F.conv(seed.cast("string"), 10, 16), 16, "0")).alias("hex"))
+
+
+# ---- fits, integrity, reviews ----
+
+
+@query("quantile_fit", "SELECT event_type, count(value) AS n, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90 FROM events WHERE value IS NOT NULL GROUP BY event_type HAVING count(value) >= 3")
+def _(spark, d):
+    return S.quantile_fit(read(spark, d, "events"), "value", ["event_type"])
+
+
+@query("ks_wasserstein", "WITH e AS (SELECT round(n_chars / 10) AS x, CASE WHEN source = 'src0' THEN 'a' ELSE 'b' END AS s FROM documents), k AS (SELECT x, count(*) FILTER (s = 'a') AS na, count(*) FILTER (s = 'b') AS nb FROM e GROUP BY x), c AS (SELECT x, sum(na) OVER (ORDER BY x) / (SELECT sum(na) FROM k) AS ca, sum(nb) OVER (ORDER BY x) / (SELECT sum(nb) FROM k) AS cb, lead(x) OVER (ORDER BY x) - x AS dx FROM k) SELECT max(abs(ca - cb)) AS ks, sum(abs(ca - cb) * dx) AS w1 FROM c")
+def _(spark, d):
+    rows = read(spark, d, "documents").select(F.round(F.col("n_chars") / 10).alias("x"), F.when(F.col("source") == "src0", "a").otherwise("b").alias("s"))
+    return S.ks_wasserstein(rows, "x", "s", "a", "b")
+
+
+@query("ref_integrity", "SELECT 'lineitem' AS child, count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def _(spark, d):
+    a = batch.orphans(read(spark, d, "lineitem"), read(spark, d, "orders"), "l_orderkey", "o_orderkey").agg(F.count("*").alias("orphans")).select(F.lit("lineitem").alias("child"), "orphans")
+    b = batch.orphans(read(spark, d, "orders"), read(spark, d, "customer"), "o_custkey", "c_custkey").agg(F.count("*").alias("orphans")).select(F.lit("orders").alias("child"), "orphans")
+    return a.unionByName(b)
+
+
+@query("count_reconcile", "WITH d AS (SELECT l_orderkey AS k, max(l_linenumber) AS declared, count(*) AS actual FROM lineitem GROUP BY 1) SELECT k AS l_orderkey, declared, actual FROM d WHERE declared <> actual")
+def _(spark, d):
+    li = read(spark, d, "lineitem")
+    return bank.count_mismatches(li.groupBy("l_orderkey").agg(F.max("l_linenumber").cast("long").alias("n")), li, ["l_orderkey"], "n")
+
+
+@query("median_outliers", "WITH m AS (SELECT p_brand, median(p_retailprice) AS m, count(*) AS n FROM part GROUP BY p_brand) SELECT p_partkey, p_brand, p_retailprice FROM part JOIN m USING (p_brand) WHERE n < 6 OR p_retailprice / m BETWEEN 0.6 AND 1.6")
+def _(spark, d):
+    return bank.drop_outliers(read(spark, d, "part"), ["p_brand"], "p_retailprice").select("p_partkey", "p_brand", "p_retailprice")
+
+
+@query("weight_cap", "WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, n, least(n, 3 * (SELECT median(n) FROM n))::DOUBLE AS weight FROM n")
+def _(spark, d):
+    return bank.style_weights(read(spark, d, "documents"), "source")
+
+
+@query("page_assets", "SELECT sha256(html) AS sha256, count(*) AS pages, min(page_id) AS first_page FROM pages GROUP BY 1")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha256")).groupBy("sha256").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
+
+
+@query("reconcile_reviews", "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' ELSE 'both' END AS status FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def _(spark, d):
+    return batch.reconcile(read(spark, d, "documents"), read(spark, d, "labels"), ["doc_id"])
+
+
+def _worksheet(spark, d):
+    """A worksheet derived from labels, with every kind of fault at fixed rows."""
+    k = F.col("doc_id")
+    row = read(spark, d, "labels").select(
+        F.lit("b").alias("batch_id"), F.concat(F.lit("s"), k.cast("string")).alias("sample_id"), F.when(k % 17 == 0, "unknown").otherwise("p0").alias("page_id"), k.alias("line"),
+        F.when(k % 5 == 0, "").otherwise("r1").alias("reviewer"), F.when(k % 7 == 0, "maybe").when(k % 3 == 0, "hold").when(k % 11 == 0, "").otherwise("pass").alias("decision"),
+        F.when(k % 6 == 0, "P9").when(k % 4 == 0, "P1").otherwise("").alias("severity"),
+        F.when(k % 2 == 0, F.array(F.lit("text_clipped"))).when(k % 13 == 0, F.array(F.lit("nonsense"))).otherwise(F.array().cast("array<string>")).alias("reason_codes"),
+        F.when(k % 19 == 0, "perhaps").otherwise("").alias("regression_fixture_candidate"),
+    )
+    pages = read(spark, d, "labels").select(F.lit("b").alias("batch_id"), F.concat(F.lit("s"), k.cast("string")).alias("sample_id"), F.lit("p0").alias("page_id"))
+    return row, pages
+
+
+@query(
+    "review_validation",
+    """WITH w AS (SELECT doc_id AS k, CASE WHEN doc_id % 17 = 0 THEN 'unknown' ELSE 'p0' END AS page, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'r1' END AS r, CASE WHEN doc_id % 7 = 0 THEN 'maybe' WHEN doc_id % 3 = 0 THEN 'hold' WHEN doc_id % 11 = 0 THEN '' ELSE 'pass' END AS d, CASE WHEN doc_id % 6 = 0 THEN 'P9' WHEN doc_id % 4 = 0 THEN 'P1' ELSE '' END AS s, CASE WHEN doc_id % 2 = 0 THEN 1 WHEN doc_id % 13 = 0 THEN 2 ELSE 0 END AS c, doc_id % 19 = 0 AS f FROM labels),
+e AS (SELECT 'unknown_page_id' AS code, count(*) AS n FROM w WHERE page = 'unknown' UNION ALL SELECT 'missing_page_row', count(*) FROM w WHERE page = 'unknown' UNION ALL SELECT 'unknown_decision', count(*) FROM w WHERE d = 'maybe' UNION ALL SELECT 'missing_reviewer', count(*) FROM w WHERE d <> '' AND r = '' UNION ALL SELECT 'reviewer_without_decision', count(*) FROM w WHERE d = '' AND r <> '' UNION ALL SELECT 'unknown_severity', count(*) FROM w WHERE s = 'P9' UNION ALL SELECT 'unknown_reason_code', count(*) FROM w WHERE c = 2 UNION ALL SELECT 'invalid_regression_fixture_value', count(*) FROM w WHERE f UNION ALL SELECT 'missing_severity', count(*) FROM w WHERE d = 'hold' AND s = '' UNION ALL SELECT 'missing_reason_codes', count(*) FROM w WHERE d = 'hold' AND c = 0)
+SELECT code, n FROM e WHERE n > 0""",
+)
+def _(spark, d):
+    return batch.validate_reviews(*_worksheet(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("review_counts", """WITH w AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'maybe' WHEN doc_id % 3 = 0 THEN 'hold' WHEN doc_id % 11 = 0 THEN '' ELSE 'pass' END AS d FROM labels) SELECT value, count(d) AS n FROM (SELECT unnest(['pass', 'hold', 'reject']) AS value) LEFT JOIN w ON d = value GROUP BY value""")
+def _(spark, d):
+    return batch.review_counts(_worksheet(spark, d)[0]).where("field = 'decision'").select("value", "n")
+
+
+@query("quality_rollup", "SELECT source, count(*) AS pages, sum(length(text))::BIGINT AS chars, sum(CASE WHEN contains(text, '  ') THEN 1 ELSE 0 END)::BIGINT AS double_spaces FROM documents GROUP BY ROLLUP (source)")
+def _(spark, d):
+    rows = read(spark, d, "documents").select("source", F.char_length("text").cast("long").alias("chars"), F.col("text").contains("  ").cast("int").alias("double_spaces"))
+    return batch.quality_rollup(rows, "source", ["chars", "double_spaces"], {"double_spaces": 0.1}).drop("over")
+
+
+@query("cap_decision", "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), t AS (SELECT source, n, n / (SELECT sum(n) FROM c) AS share FROM c) SELECT source, n, share, CASE WHEN share > 0.3 THEN 'over_cap' ELSE 'within_cap' END AS status, CASE WHEN share > 0.3 THEN 'share_cap' END AS reason FROM t")
+def _(spark, d):
+    n = read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    caps = n.select("source", F.lit(10**9).cast("long").alias("max_n"), F.lit(0.3).alias("max_share"))
+    return S.cap_decision(n, "source", caps)
+
+
+@query("stratified_cer", "WITH p AS (SELECT lang, replace(text[1:200], ' ', '') AS r, replace(lower(text[1:200]), ' ', '') AS h FROM documents) SELECT lang, sum(length(r))::BIGINT AS chars, sum(levenshtein(r, h))::BIGINT AS edits, sum(levenshtein(r, h)) / sum(length(r)) AS cer FROM p WHERE r = regexp_replace(r, '[^\\x00-\\x7F]', '', 'g') GROUP BY lang")
+def _(spark, d):
+    first = F.substring("text", 1, 200)  # the feature compares line-sized readings; whole documents are no lines
+    rows = read(spark, d, "documents").select("lang", first.alias("ref"), F.lower(first).alias("hyp")).where(F.col("ref").rlike(r"^[\x00-\x7F]*$"))
+    return S.stratified_cer(rows, ["lang"], "ref", "hyp").select("lang", F.col("chars").cast("long").alias("chars"), F.col("edits").cast("long").alias("edits"), "cer")
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return windowed_counts(read(spark, d, "events"))
