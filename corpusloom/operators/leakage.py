@@ -23,7 +23,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 def grams(lines: DataFrame, n: int, chars: bool = False, distinct: bool = True) -> DataFrame:
     """Column `gram` of all lines; a line's own repeats fold before the shuffle."""
-    make = T.char_ngrams(F.col("line"), n) if chars else T.word_ngrams(T.tokens(F.col("line")), n)
+    if chars:
+        make = T.char_ngrams(F.col("line"), n)
+    else:  # words once a line, not once a gram
+        lines, make = lines.select(T.tokens(F.col("line")).alias("w")), T.word_ngrams(F.col("w"), n)
     if distinct:
         return lines.select(F.explode(F.array_distinct(make)).alias("gram")).distinct()
     return lines.select(F.explode(make).alias("gram"))
@@ -82,10 +85,11 @@ def letter_words(text: Column) -> Column:
 
 def pool_hits(lines: DataFrame, pools: list[tuple[str, DataFrame]], n: int = 6) -> DataFrame:
     """(id, line_no, pool): lines with a letters-only n-gram of a pool; the first pool in order gets the hit."""
-    rows = lines.select("id", "line_no", F.explode(F.array_distinct(T.word_ngrams(letter_words(F.col("line")), n))).alias("gram"))
+    grams_of = F.explode(F.array_distinct(T.word_ngrams(F.col("w"), n))).alias("gram")
+    rows = lines.select("id", "line_no", letter_words(F.col("line")).alias("w")).select("id", "line_no", grams_of)
     known = None
     for rank, (name, pool) in enumerate(pools):
-        own = pool.select(F.explode(F.array_distinct(T.word_ngrams(letter_words(F.col("line")), n))).alias("gram")).distinct().select("gram", F.lit(rank).alias("rank"), F.lit(name).alias("pool"))
+        own = pool.select(letter_words(F.col("line")).alias("w")).select(grams_of).distinct().select("gram", F.lit(rank).alias("rank"), F.lit(name).alias("pool"))
         known = own if known is None else known.unionByName(own)
     best = known.groupBy("gram").agg(F.min(F.struct("rank", "pool")).alias("best"))
     return rows.join(_small(best), "gram").groupBy("id", "line_no").agg(F.min("best").alias("best")).select("id", "line_no", F.col("best.pool").alias("pool"))

@@ -127,7 +127,7 @@ def _(spark, d):
 
 @query(
     "near_duplicate_pairs",
-    r"WITH t AS (SELECT min(doc_id) AS id, s FROM (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) AS s FROM documents) WHERE len(s) > 0 GROUP BY s), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS k, len(a.s) AS x, len(b.s) AS y FROM t a JOIN t b ON a.id < b.id AND len(a.s) * 100 >= len(b.s) * 90 AND len(b.s) * 100 >= len(a.s) * 90) SELECT a, b, k AS "both", x + y - k AS either FROM j WHERE k * 100 >= (x + y - k) * 90",
+    r'''WITH t AS (SELECT min(doc_id) AS id, s FROM (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) AS s FROM documents) WHERE len(s) > 0 GROUP BY s), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS k, len(a.s) AS x, len(b.s) AS y FROM t a JOIN t b ON a.id < b.id AND len(a.s) * 100 >= len(b.s) * 90 AND len(b.s) * 100 >= len(a.s) * 90) SELECT a, b, k AS "both", x + y - k AS either FROM j WHERE k * 100 >= (x + y - k) * 90''',
 )
 def _(spark, d):
     return L.near_duplicate_pairs(read(spark, d, "documents"), "doc_id", T.tokens(F.col("text")), 90)
