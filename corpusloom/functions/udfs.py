@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
@@ -57,7 +58,7 @@ def levels_of(text: str) -> list[int] | None:
     return levels
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def bidi_levels(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else levels_of(x))
 
@@ -70,7 +71,7 @@ def order_of(levels: list[int]) -> list[int]:
     return out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def rtl_order(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else order_of([int(i) for i in x]))
 
@@ -94,12 +95,12 @@ def number_context(token: str, read: str) -> str:
     return next((name for name, test in classes if test()), "no_group")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def number_context_class(token: pd.Series, read: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or r is None else number_context(t, r) for t, r in zip(token, read, strict=True)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def homography(src: pd.Series, dst: pd.Series) -> pd.Series:
     """Nine numbers of the projective map that takes four points to four points."""
 
@@ -114,7 +115,7 @@ def homography(src: pd.Series, dst: pd.Series) -> pd.Series:
     return pd.Series([solve(a, b) for a, b in zip(src, dst, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def json_strings(s: pd.Series) -> pd.Series:
     """All strings of a JSON value, in order; null where it does not parse."""
 
@@ -152,12 +153,12 @@ def seeded_number(seed: int, kind: str) -> str:
     return f"{r.randint(1, 100)}%"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def generated_number(seed: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([None if k is None else seeded_number(int(s), k) for s, k in zip(seed, kind, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def section_labels(depths: pd.Series) -> pd.Series:
     """Hierarchical numbers 1, 1.1, 1.2, 2 ... of a list of depths."""
 
