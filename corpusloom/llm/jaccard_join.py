@@ -166,12 +166,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     chunks = plan.select("hub", "chunk").distinct().join(loose.select("hub").distinct(), "hub")
     asked = chunks.join(loose, "hub").select("hub", "chunk", "rep", F.lit(True).alias("query"))
     own = plan.join(chunks, ["hub", "chunk"], "left_semi").select("hub", "chunk", "rep", F.lit(False).alias("query"))
-    second = own.unionByName(asked).join(bodies, "rep").select("hub", "chunk", "rep", "query", "tokens")
+    # written first: a union of differently dealt sides must not pass for one that is dealt by group
+    second = save(own.unionByName(asked)).join(bodies, "rep").select("hub", "chunk", "rep", "query", "tokens")
     more = second.groupBy("hub", "chunk").applyInArrow(_join_chunk(percent), _LINKS)
 
     edges = links.unionByName(more).select(F.col("rep").alias("a"), F.col("root").alias("b"))
     label = connected_components(edges)
-    out = sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(label, F.col("rep") == F.col("node"), "left")
+    # documents without a partner have no digest; their own id spreads them over the tasks
+    key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
+    out = sets.select("doc_id", "n_shingles", key.alias("digest")).join(classes, "digest", "left").join(label, F.col("rep") == F.col("node"), "left")
     known = lambda c: F.when(c != K.NULL_ID, c)
     return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("label", "rep", "doc_id")).alias("component_id"))
 
