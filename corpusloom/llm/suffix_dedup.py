@@ -201,6 +201,8 @@ def _sort_strings(length: int):
         if not runs:
             return S.table([])
         e, a, best = (np.concatenate(z) for z in zip(*runs, strict=True))
+        if not len(e):
+            return S.table([])
         by = np.lexsort((a, e))
         e, a, best = e[by], a[by], best[by]
         head = np.ones(len(e), bool)
