@@ -71,7 +71,7 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_labelled: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
     """Languages by name and their log-probabilities of each trigram bucket, from a bounded sample by least id hash in each language's share."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = known.groupBy(F.col(lang_col).alias("lang")).count().toPandas()  # as many rows as languages
+    rows = known.groupBy(F.col(lang_col).alias("lang")).count().toArrow().to_pandas()  # as many rows as languages
     if not len(rows):
         raise ValueError("no labelled documents")
     share = {lang: min(1.0, max_labelled / n) for lang, n in zip(rows["lang"], rows["count"], strict=True)}
@@ -89,7 +89,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
         k, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(total[k, bucket])], ["k", "bucket", "n"])
 
-    counts = known.where(part < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = known.where(part < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     table = np.full((len(names), BUCKETS), ALPHA)
     table[counts["k"].to_numpy(int), counts["bucket"].to_numpy(int)] += counts["n"].to_numpy(float)
     return names, np.log(table / table.sum(axis=1, keepdims=True))

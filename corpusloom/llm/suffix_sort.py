@@ -99,7 +99,7 @@ def as_words(rows: np.ndarray) -> np.ndarray:
     """Bytes (n, width) as big-endian eight-byte characters (n, ceil(width / 8))."""
     pad = -rows.shape[1] % 8
     rows = np.concatenate([rows, np.zeros((len(rows), pad), np.uint8)], axis=1) if pad else rows
-    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64).reshape(len(rows), -1)
+    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64).reshape(len(rows), rows.shape[1] // 8)
 
 
 def deep_shallow(rows: np.ndarray, shallow: int = 4) -> tuple[np.ndarray, np.ndarray]:
