@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernel as K
+from corpusloom.llm.store import save
 
 #: Labelled rows that class counts are taken from, at most.
-MAX_LABELLED = 40_000
+MAX_LABELLED = 20_000
 #: Prefix lengths in bytes above the whole word.
 PREFIXES = (4, 5, 6)
 #: Weight of the shared counts beside the discounts, and the least log ratio that counts as evidence.
@@ -71,11 +72,11 @@ def _paths(buf: np.ndarray, off: np.ndarray):
 def _batches(batches, id_col: str, text_col: str):
     """(ids, distinct word paths, offsets) in steps of bounded size."""
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        b = K.to_block(rows, id_col, text_col)
-        for d, e, x, y in b.pieces(1 << 22):
-            keys, at = _paths(K.LOWER[b.buf[x:y]], b.off[d : e + 1] - x)
-            yield b.ids[d:e], keys, at
+        for first in range(0, batch.num_rows, 500):
+            b = K.to_block(pa.Table.from_batches([batch.slice(first, 500)]), id_col, text_col)
+            for d, e, x, y in b.pieces(1 << 20):
+                keys, at = _paths(K.LOWER[b.buf[x:y]], b.off[d : e + 1] - x)
+                yield b.ids[d:e], keys, at
 
 
 @dataclass
@@ -103,8 +104,10 @@ class Model:
         return total + rest
 
 
-def _count_nodes(docs: DataFrame) -> DataFrame:
-    """Rows (node, parent, leaf, t0, o0, t1, o1): documents counts by class and half; docs has doc_id, text, toxic, half."""
+def _count_nodes(docs: DataFrame):
+    """Kept nodes (node, parent, leaf, t0, o0, t1, o1 and numbers of children n_*) and the same of the root.
+
+    Counts are documents by class and half; docs has doc_id, text, toxic, half.  Both tables are bounded by the sample."""
 
     def run(batches):
         for batch in batches:
@@ -122,7 +125,16 @@ def _count_nodes(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(up.view(np.int64)), pa.array(np.full(len(node), j == keys.shape[1] - 1)), *(pa.array(c) for c in counts)], ["node", "parent", "leaf", "t0", "o0", "t1", "o1"])
 
     raw = docs.mapInArrow(run, "node long, parent long, leaf boolean, t0 long, o0 long, t1 long, o1 long")
-    return raw.groupBy("node").agg(F.first("parent").alias("parent"), F.first("leaf").alias("leaf"), *(F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")))
+    counts = ("t0", "o0", "t1", "o1")
+    nodes = save(raw.groupBy("node").agg(F.first("parent").alias("parent"), F.first("leaf").alias("leaf"), *(F.sum(c).alias(c) for c in counts)))
+    # children that each class has seen below a node, by half and in all; and the counts below the root
+    seen = {c: F.col(c) > 0 for c in counts} | {"t": F.col("t0") + F.col("t1") > 0, "o": F.col("o0") + F.col("o1") > 0}
+    below = nodes.groupBy(F.col("parent").alias("p")).agg(*(F.count_if(x).alias(f"n_{c}") for c, x in seen.items()), *(F.sum(c).alias(f"sum_{c}") for c in counts))
+    below = save(below)
+    # a word of one document has no mass beyond the shared one, so only its parent's counts need it
+    keep = nodes.where(~F.col("leaf") | (F.col("t0") + F.col("t1") > 1) | (F.col("o0") + F.col("o1") > 1))
+    kept = keep.join(below.drop(*(f"sum_{c}" for c in counts)), F.col("node") == F.col("p"), "left").drop("p").fillna(0)
+    return kept.toArrow().to_pandas(), below.where("p = 0").toArrow().to_pandas()
 
 
 def _shared_counts(docs: DataFrame, nodes: np.ndarray, id_col: str, text_col: str) -> np.ndarray:
@@ -139,34 +151,27 @@ def _shared_counts(docs: DataFrame, nodes: np.ndarray, id_col: str, text_col: st
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(total[i])], ["i", "n"])
 
-    got = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros(len(nodes) + 1, np.int64)
     out[got["i"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
 
 
-def _model(node, parent, keep, t, o, shared, root_shared) -> Model:
-    """Kneser-Ney log ratios from class counts t and o (all nodes, singletons too) and shared counts (kept nodes)."""
-    order = np.argsort(node)
-    node, parent, keep, t, o, shared = (x[order] for x in (node, parent, keep, t, o, shared))
-    up = np.searchsorted(node, parent)
-    root = parent == 0
-    up[root] = len(node)
-    n = len(node) + 1
-    types_t, types_o = np.bincount(up, weights=t > 0, minlength=n), np.bincount(up, weights=o > 0, minlength=n)
-    all_t, all_o = np.append(t, t[root].sum()).astype(float), np.append(o, o[root].sum()).astype(float)
-    base = np.append(shared, root_shared).astype(float)
-
-    def given(count, every, types):
-        share = shared / np.maximum(base[up], 1)
-        return (np.maximum(count - 1, 0) + (types[up] + MASS) * share) / (every[up] + MASS)
-
-    def unseen(every, types):
-        return (types + MASS) / (every + MASS)
-
-    step = np.log(given(t, all_t, types_t)) - np.log(given(o, all_o, types_o))
-    stop = np.log(unseen(all_t, types_t)) - np.log(unseen(all_o, types_o))
-    return Model(node[keep], step[keep], stop[:-1][keep], float(stop[-1]))
+def _model(nodes, root, half: str, shared: np.ndarray, root_shared: int) -> Model:
+    """Kneser-Ney log ratios of nodes sorted by key; half: "0" for the first half of the sample, "" for all of it."""
+    count = lambda d, c, pre="": (d[f"{pre}{c}{half}"] if half else d[f"{pre}{c}0"] + d[f"{pre}{c}1"]).to_numpy(float)
+    node, parent = nodes["node"].to_numpy(np.int64).view(np.uint64), nodes["parent"].to_numpy(np.int64).view(np.uint64)
+    up = np.where(parent == 0, len(node), np.searchsorted(node, parent))
+    share = shared / np.maximum(np.append(shared, root_shared)[up], 1)
+    log_ratio = []
+    for c in "to":
+        own, every = count(nodes, c), np.append(count(nodes, c), count(root, c, "sum_"))
+        types = np.append(nodes[f"n_{c}{half}"].to_numpy(float), root[f"n_{c}{half}"].to_numpy(float))
+        given = (np.maximum(own - 1, 0) + (types[up] + MASS) * share) / (every[up] + MASS)
+        log_ratio.append((np.log(given), np.log((types + MASS) / (every + MASS))))
+    (step_t, stop_t), (step_o, stop_o) = log_ratio
+    stop = stop_t - stop_o
+    return Model(node, step_t - step_o, stop[:-1], float(stop[-1]))
 
 
 def _score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
@@ -216,25 +221,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if least["n"] == max_labelled:
             known = known.where(F.xxhash64("doc_id") <= least["top"])
     known = known.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int"))
-    table = _count_nodes(known).toPandas()
+    known = save(known)  # a bounded number of rows
+    own = save(own.join(known.select("doc_id"), "doc_id", "left_semi"))
+    nodes, root = _count_nodes(known)
     out = lambda s, d: d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), "llr", "n_types")
-    t = {h: table[f"t{h}"].to_numpy(np.int64) for h in (0, 1)}
-    o = {h: table[f"o{h}"].to_numpy(np.int64) for h in (0, 1)}
-    if not len(table) or not sum(t.values()).any() or not sum(o.values()).any():
+    if not len(root) or not (root["sum_t0"] + root["sum_t1"]).sum() or not (root["sum_o0"] + root["sum_o1"]).sum():
         none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0)
         return out(F.lit(0.0), _score(docs, none, id_col, text_col))
-    node, parent = table["node"].to_numpy(np.int64).view(np.uint64), table["parent"].to_numpy(np.int64).view(np.uint64)
-    leaf = table["leaf"].to_numpy(bool)
-    both_t, both_o = t[0] + t[1], o[0] + o[1]
-    keep = ~leaf | (both_t > 1) | (both_o > 1)  # a word of one document has no mass beyond the shared one
-    kept = np.sort(node[keep])
-    counts = _shared_counts(docs, kept, id_col, text_col)
-    shared = np.ones(len(node), np.int64)
-    shared[keep] = counts[np.searchsorted(kept, node[keep])]
-    shared = np.maximum(shared, 1)
-    half = _model(node, parent, keep, t[0], o[0], shared, counts[-1])
-    full = _model(node, parent, keep, both_t, both_o, shared, counts[-1])
-    unseen = _score(known.where("half = 1"), half, "doc_id", "text").join(own, "doc_id").select("llr", "toxic").toPandas()
+    nodes = nodes.iloc[np.argsort(nodes["node"].to_numpy(np.int64).view(np.uint64))].reset_index(drop=True)
+    counts = _shared_counts(docs, nodes["node"].to_numpy(np.int64).view(np.uint64), id_col, text_col)
+    shared, total = np.maximum(counts[:-1], 1).astype(float), counts[-1]
+    half, full = _model(nodes, root, "0", shared, total), _model(nodes, root, "", shared, total)
+    unseen = _score(known.where("half = 1"), half, "doc_id", "text").join(own, "doc_id").select("llr", "toxic").toArrow().to_pandas()
     if unseen["toxic"].nunique() == 2:
         slope, offset = _logistic(unseen["llr"].to_numpy(float), unseen["toxic"].to_numpy(float))
     else:
