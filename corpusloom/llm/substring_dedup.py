@@ -87,7 +87,7 @@ def _earliest(rows: pa.Table) -> pa.Table:
     hs, ss, ds = [], [], []
     for k, x in zip(n, rows["body"], strict=True):
         body = x.as_py()
-        hs.append(np.frombuffer(body, np.uint64, k, 4) if 4 % 8 == 0 else np.frombuffer(body[4 : 4 + 8 * k], np.uint64))
+        hs.append(np.frombuffer(body[4 : 4 + 8 * k], np.uint64))
         ss.append(np.frombuffer(body[4 + 8 * k : 4 + 12 * k], np.uint32))
         ds.append(np.frombuffer(body[4 + 12 * k :], np.uint8).reshape(8, k).T.copy().view("<i8").ravel())
     h, s, d = np.concatenate(hs), np.concatenate(ss), np.concatenate(ds)
