@@ -179,8 +179,8 @@ def _viterbi_fold(n: Column, edges: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(hash, ids) of units (hash, unit) through the lattice."""
+def _encode_any(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(hash, ids) of units of any length, for either kind of model."""
     table = F.broadcast(pieces.table(units.sparkSession))
     n = F.char_length("unit")
     starts = units.select("hash", "unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
@@ -209,6 +209,70 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     return lattice.select("hash", F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), symbol)).alias("ids"))
 
 
+#: Units of at most so many characters keep their cuts as bits of one integer.
+_SHORT = 60
+
+
+def _encode_short(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(hash, ids) of units for a BPE model; ids are null for longer units than `_SHORT`, and where a character has no piece.
+
+    An edge travels as one integer (rank, start, length), so grouping sorts pairs of integers.
+    Cuts between symbols are bits: an edge fits if both its ends are cuts and one cut lies
+    inside; applying it clears that cut.  Symbols are the edges with cuts at their ends only."""
+    order = sorted((i for i, p in enumerate(pieces.plain) if p), key=lambda i: (-pieces.scores[i], i))
+    rows = [(pieces.texts[i], rank, i) for rank, i in enumerate(order)]
+    if pieces.byte_base >= 0:  # characters of one byte without a piece of their own
+        have = {pieces.texts[i] for i in order}
+        rows += [(chr(b), 1 << 20, pieces.byte_base + b) for b in range(128) if chr(b) not in have]
+    rows.append(("", (1 << 20) + 1, 0))  # every unit keeps a row
+    table = F.broadcast(units.sparkSession.createDataFrame(rows, "piece string, rank long, id long"))
+    n = F.char_length("unit")
+    last = F.when(n <= _SHORT, n - 1).otherwise(0)
+    starts = units.select("hash", "unit", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("s"))
+    most = F.when(F.col("n") <= _SHORT, F.least(F.lit(pieces.longest()), F.col("n") - F.col("s"))).otherwise(0)
+    spans = starts.select("hash", "unit", "n", "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), most)).alias("len"))
+    edges = spans.select("hash", "n", "s", "len", F.expr("substring(unit, s + 1, len)").alias("piece")).join(table, "piece")
+    code = F.shiftleft("rank", 40).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 32)).bitwiseOR(F.shiftleft(F.col("len").cast("long"), 26)).bitwiseOR(F.col("id"))
+    grouped = edges.groupBy("hash").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(code)).alias("codes"))
+    bits = lambda x, by, width: F.shiftright(x, by).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    one = F.lit(1).cast("long")
+
+    def open_edge(x):
+        s, size = bits(x, 32, 8), bits(x, 26, 6)
+        top = F.call_function("shiftleft", one, s + size)
+        low = F.call_function("shiftleft", one, s)
+        return F.struct(top.bitwiseOR(low).alias("ends"), (top - low - low).alias("inner"), s.alias("s"), size.alias("size"), bits(x, 0, 26).alias("id"))
+
+    # `inner` of a run from s to e is the bits s + 1 to e - 1: 2^e - 2^(s + 1)
+    real = F.filter("codes", lambda x: bits(x, 26, 6) > 0)
+    grouped = grouped.withColumn("edges", F.transform(real, open_edge))
+    wide = grouped.withColumn("merges", F.filter("edges", lambda m: m["size"] > 1)).drop("codes")
+
+    def step(cuts, _):
+        fits = lambda m: (cuts.bitwiseAND(m["ends"]) == m["ends"]) & (F.bit_count(cuts.bitwiseAND(m["inner"])) == 1)
+        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(_first(F.col("merges"), fits)["inner"], F.lit(0).cast("long"))))
+
+    turns = F.when((F.col("n") > 1) & (F.col("n") <= _SHORT), F.sequence(F.lit(1), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    every = F.when(F.col("n") <= _SHORT, F.call_function("shiftleft", one, F.col("n") + 1) - 1).otherwise(F.lit(0).cast("long"))
+    cut = wide.withColumn("cuts", F.aggregate(turns, every, step))
+    cuts = F.col("cuts")
+    symbols = F.filter("edges", lambda m: (cuts.bitwiseAND(m["ends"]) == m["ends"]) & (cuts.bitwiseAND(m["inner"]) == 0))
+    done = cut.select("hash", "n", F.sort_array(F.transform(symbols, lambda m: F.struct(m["s"].alias("s"), m["size"].alias("size"), m["id"].alias("id")))).alias("y"))
+    whole = F.aggregate("y", F.lit(0), lambda a, x: a + x["size"]) == F.col("n")
+    return done.select("hash", F.when(whole, F.transform("y", lambda x: x["id"])).alias("ids"))
+
+
+def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(hash, ids) of units (hash, unit) through the lattice."""
+    if pieces.kind != "bpe":
+        return _encode_any(units, pieces)
+    fast = save(_encode_short(units, pieces))  # the units are dealt by hash: no shuffle of edges
+    rest = fast.where("ids IS NULL").select("hash")
+    if rest.isEmpty():
+        return fast
+    return fast.where("ids IS NOT NULL").unionByName(_encode_any(units.join(rest, "hash", "left_semi"), pieces))
+
+
 def _packed(dictionary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes, offsets and all ids of the dictionary, gathered as a few packed rows."""
 

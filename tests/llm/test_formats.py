@@ -50,6 +50,7 @@ def test_tokens_equal_the_library_in_both_ways(spark):
 
     m = sentencepiece.SentencePieceProcessor(model_file=default_model())
     texts = [None, "", " ", "  a  b ", "Hello  wörld\nfoo ☃ x", "a<s>b <0x41>", "▁a", "ﬁ Å é", "a" * 40, "12 345\t\t6", "x" * 200 + " " + "日本語" * 20, "Hello  wörld\nfoo ☃ x"]
+    texts += [("thing" * 12 + "xyzqxyzq")[:k] for k in range(56, 69)]  # around the length that fits into the bits of one integer
     df = spark.createDataFrame([(i if i else None, t, 1, "p") for i, t in enumerate(texts)], "doc_id long, text string, hash long, piece string")
     pieces = Pieces.load(default_model())
     for bound in (10**7, 0):
