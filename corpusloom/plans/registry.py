@@ -487,6 +487,12 @@ def _(spark, d):
     return S.stratified_cer(rows, ["lang"], "ref", "hyp").select("lang", F.col("chars").cast("long").alias("chars"), F.col("edits").cast("long").alias("edits"), "cer")
 
 
+@query("stratified_cer_all")
+def _(spark, d):
+    lines = read(spark, d, "documents").select("lang", F.explode(T.lines_stripped(F.col("text"))).alias("ref"))
+    return S.stratified_cer(lines.withColumn("hyp", F.lower("ref")), ["lang"], "ref", "hyp").select("lang", F.col("chars").cast("long").alias("chars"), F.col("edits").cast("long").alias("edits"), "cer")
+
+
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY 1, 2")
 def _(spark, d):
     return windowed_counts(read(spark, d, "events"))

@@ -203,3 +203,38 @@ def test_readers_and_writers(spark, tmp_path):
     assert R.publish(spark, lambda p: hashes.write.parquet(p), out)["status"] == "published" and R.publish(spark, lambda p: None, out)["status"] == "failed"
     assert "<td>1</td>" in R.html_report("t", ["a"], [(1,)]) and "| 1 |" in R.markdown_report("t", ["a"], [(1,)])
     assert json.loads(frame(spark, [(1, None)], "b int, a string").select(R.sorted_json(frame(spark, [], "b int, a string"))).first()[0]) == {"a": None, "b": 1}
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_error_rates_cover_whole_texts_of_every_script(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    texts = [("en", "a" * 300 + " LATE WORDS\n\nSecond Line"), ("fr", "Été À l'Île\n" + "é" * 250 + "É"), ("tr", "İstanbul AİA"), ("el", "ΟΔΟΣ Σ\nΣΟΦΟΣ"), ("en", None), ("zz", "𐐀 x𐐀\t日本A")]
+    spark.createDataFrame(texts, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.lang: (r.chars, r.edits) for r in QUERIES["stratified_cer_all"](spark, str(tmp_path)).collect()}
+    low = {t: spark.createDataFrame([(t,)], "t string").select(F.lower("t")).first()[0] for _, x in texts for t in (x or "").split("\n")}
+    want = {}
+    for lang, text in texts:
+        for line in (text or "").split("\n"):
+            if line:
+                ref, hyp = line.replace(" ", ""), low[line].replace(" ", "")
+                chars, edits = want.get(lang, (0, 0))
+                want[lang] = (chars + len(ref), edits + brute_distance(ref, hyp))
+    assert got == want and got["en"][1] == 11 and set(got) == {"en", "fr", "tr", "el", "zz"}
+
+
+def test_edit_distance_equals_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    pairs = [("".join(r.choices("abAé😀", k=r.randint(0, 7))), "".join(r.choices("abAé😀", k=r.randint(0, 7)))) for _ in range(300)]
+    got = frame(spark, pairs, "a string, b string").select("a", "b", S.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(x.d == brute_distance(x.a, x.b) for x in got)
