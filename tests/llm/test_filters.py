@@ -145,6 +145,26 @@ def test_toxicity_finds_held_out_rows_and_never_reads_labels_of_them(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in held)
 
 
+def test_toxicity_finds_short_and_fully_toxic_texts(spark):
+    docs, labels = toxic_table(1200)
+    bad = ["vileone", "viletwo", "grossly", "grosser", "vileones"]
+    full = {6000 + n: " ".join(bad[:n]) for n in range(1, 6)} | {6010 + n: f"word{n} " + " ".join(bad[:2]) for n in range(3)}
+    clean = {6020 + n: " ".join(f"word{i}" for i in range(n)) for n in range(1, 6)}
+    df = spark.createDataFrame([*docs, *((i, t, "", "", 1, "") for i, t in [*full.items(), *clean.items()])], SCHEMA)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [i for i in full if got[i].predicted != 1] == [] and [i for i in clean if got[i].predicted] == []
+    # words of the ordinary class count against: the same toxic word among more of them scores less
+    assert got[6010].llr < got[6002].llr and got[6001].llr > 0 > got[6021].llr - 0.05
+
+
+def test_toxicity_centres_a_rare_language_on_the_corpus(spark):
+    docs, labels = toxic_table(1200)
+    rows = [(i, t, "en") for i, t, *_ in docs] + [(7000, "vileone viletwo grossly", "xx"), (7001, "word1 word2 word3", "xx"), (7002, "vileone viletwo", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert (got[7000], got[7001], got[7002]) == (1, 0, 1)
+
+
 def test_toxicity_without_labels_scores_zero(spark):
     df = spark.createDataFrame([(1, "a b c", "", "", 1, "")], SCHEMA)
     assert [r.score for r in toxicity.score_toxicity(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()] == [0.0]
