@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, jaccard_join, language_id, quality, sentencepiece_lattice, sharding, substring_dedup, suffix_dedup, toxicity, warc
+from corpusloom.llm import decontaminate, jaccard_join, language_id, near_groups, quality, sentencepiece_lattice, sharding, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language_id.op10_language_id,
+    "near_duplicate_members": near_groups.near_duplicate_members,
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,

@@ -190,3 +190,29 @@ def test_signature_tree_bound_loses_no_pair():
         for j in range(i):
             if signature_tree.similar(frozen[i], frozen[j], 75):
                 assert groups.find(i) == groups.find(j)
+
+
+def test_near_duplicate_groups_equal_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.near_groups import near_duplicate_groups
+
+    r = random.Random(5)
+    base = [[f"w{k}_{i}" for i in range(20)] for k in range(4)]
+    data = [(i, b) for i, b in enumerate(base)] + [(10, base[0][::-1]), (11, base[0] + base[0][:3]), (12, base[0]), (13, base[1][1:]), (14, base[1][2:]), (15, base[1][3:]), (16, base[1][3:][::-1]), (17, []), (18, None), (19, ["lone"])]
+    data += [(30 + i, r.sample(base[2], 18) + ["z"] * (i % 2)) for i in range(12)]
+    got = {x.id: x for x in near_duplicate_groups(spark.createDataFrame(data, "id long, s array<string>"), "id", F.col("s")).collect()}
+    sets = {i: frozenset(s or ()) for i, s in data}
+    near = {i: {j for j in sets if j != i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])} for i in sets}
+    assert set(got) == set(sets)
+    for i in sets:
+        reach, todo = {i}, [i]
+        while todo:
+            todo += (new := near[todo.pop()] - reach)
+            reach |= new
+        assert got[i].links == len(near[i])
+        assert got[i].class_id == (min(j for j in sets if sets[j] == sets[i]) if sets[i] else None)
+        assert got[i].component_id == (min(reach) if sets[i] else None)
+    assert got[12].class_id == 0 and got[12].links == 3 and got[16].component_id == 1
