@@ -14,7 +14,7 @@ chunk are first linked inside it: each gets the chunk's exit, the first successo
 it.  Pointer jumping over chunk entries then doubles the reach of every entry in each
 round until all from the file's start are known; a candidate is kept if it lies on the
 chain of a reached entry.  A file whose chain does not end at its last byte is reported
-by `broken_files`.
+by `broken_files`, and `read_whole` fails on it.  A header may have any length.
 
 Edge cases: null html is an empty payload; a null url or id is left out of the header and
 comes back null; rows with equal ids and payloads at the group's largest id are all
@@ -94,7 +94,7 @@ _HEAD = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
 def _candidates(chunk_bytes: int, with_payload: bool):
     def parse(data: memoryview, raw: bytes, at: int) -> tuple | None:
         end = raw.find(b"\r\n\r\n", at + 8)
-        if end < 0 or end - at > 1 << 16:
+        if end < 0:
             return None
         head = {k.lower(): v for k, v in _HEAD.findall(raw[at + 10 : end + 2])}
         try:
@@ -187,16 +187,29 @@ def read_warc(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, wi
     return chain(save(candidates(spark, path, chunk_bytes, with_payload)))
 
 
-def broken_files(records: DataFrame) -> DataFrame:
-    """Files whose chain of records stops before their last byte."""
-    return records.groupBy("file").agg(F.max("succ").alias("end"), F.first("size").alias("size")).where("end < size")
+def broken_files(records: DataFrame, path: str | None = None) -> DataFrame:
+    """Files whose chain of records stops before their last byte; with `path`, also files without any record."""
+    ends = records.groupBy("file").agg(F.max("succ").alias("end"), F.first("size").alias("size"))
+    if path is not None:
+        files = records.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select(F.col("path").alias("file"), F.col("length").alias("size"))
+        ends = files.join(ends.drop("size"), "file", "left").select("file", F.coalesce("end", F.lit(0)).alias("end"), "size")
+    return ends.where("end < size")
+
+
+def read_whole(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The records of `read_warc`; fails if the chain of a file ends early."""
+    records = save(read_warc(spark, path, **options))
+    broken = broken_files(records, path).limit(5).collect()
+    if broken:
+        raise ValueError(f"archives whose chain of records ends early: {[(r['file'], r['end'], r['size']) for r in broken]}")
+    return records
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder(spark)}/corpusloom/warc-{uuid.uuid4().hex}"
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     digest = F.when(F.col("record_type") == "response", F.col("sha1")).otherwise(F.substring_index("declared", ":", -1))
-    return read_warc(spark, path).select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    return read_whole(spark, path).select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 SQL = r"""

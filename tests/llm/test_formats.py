@@ -39,6 +39,23 @@ def test_archives_come_back_whole_and_false_records_do_not(spark, tmp_path):
     assert warc.broken_files(warc.read_warc(spark, path)).count() == 0
 
 
+def test_a_very_long_url_hides_no_records(spark, tmp_path):
+    rows = [(i, "http://h/" + "u" * (70_000 if i in (3, 7) else 5), f"page {i}", "", "") for i in range(12)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(1), path)
+    got = warc.read_whole(spark, path, chunk_bytes=4096).collect()
+    assert sorted((r.page_id, r.url) for r in got) == [r[:2] for r in rows]
+
+
+def test_a_chain_that_ends_early_fails(spark, tmp_path):
+    path = str(tmp_path / "w")
+    write(spark, [(i, "u", f"page {i}", "", "") for i in range(6)], path)
+    assert warc.read_whole(spark, path).count() == 6
+    (tmp_path / "w" / "cut.txt").write_bytes(b"no record at all\r\n\r\n")
+    with pytest.raises(ValueError, match="cut.txt"):
+        warc.read_whole(spark, path)
+
+
 def test_empty_archives(spark, tmp_path):
     path = str(tmp_path / "w")
     write(spark, [], path)
