@@ -52,9 +52,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item of ten words or more go; shorter items are too common to judge by."""
+    """Documents that hold a window of a benchmark item go; a single word or a bare number is no leak."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    items = items.where(F.size(decontaminate.ascii_words(F.col("text"))) >= 10)
+    words = decontaminate.ascii_words(F.col("text"))
+    items = items.where((F.size(words) >= 10) | ((F.size(words) >= 2) & F.exists(words, lambda w: w.rlike("[^0-9]"))))
     return decontaminate.remove_contaminated(docs, items)
 
 

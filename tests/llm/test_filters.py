@@ -212,5 +212,15 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert rows.columns == ["doc_id", "n_tokens", "ids"]
 
 
+def test_pipeline_judges_short_items_but_not_bare_numbers_and_words(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [(1, "Which river crosses Quito twice?"), (2, "81"), (3, "3.14"), (4, "word"), (5, "two words"), (6, " ".join(map(str, range(10))))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["So: which river crosses Quito, twice a day", "which river crosses Quito", "81 and 3.14 and a word", "in two words", "x 0 1 2 3 4 5 6 7 8 9", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [1, 2, 5, 6]
+
+
 def test_checksum_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
