@@ -38,6 +38,49 @@ MARK = "▁"
 DICTIONARY = 8_000_000
 
 
+def _fields(raw: bytes):
+    """(number, value) of each field of a protocol buffer message."""
+    at = 0
+
+    def number():
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+def model_kind(raw: bytes) -> str:
+    """"bpe" or "unigram", from a model file's bytes; other models are refused, and unigram ones that change the text first."""
+    parts = list(_fields(raw))
+    last = lambda n: dict(_fields(b"".join(v for k, v in parts if k == n)))
+    trainer, normal = last(2), last(3)
+    kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, 1))  # the format's default is unigram
+    if kind is None:
+        raise ValueError(f"model type {trainer.get(3)} is neither unigram nor BPE")
+    if kind == "unigram":
+        if normal.get(2) or not normal.get(3, 1) or normal.get(4, 1) or not normal.get(5, 1) or trainer.get(24, 0):
+            raise ValueError("the unigram model normalises texts or treats spaces in another way than the fold")
+        if not any(dict(_fields(v)).get(3, 1) == 6 for k, v in parts if k == 1):
+            raise ValueError("a unigram model without byte pieces joins unknown characters, which the fold does not")
+        if any(dict(_fields(v)).get(3, 1) == 4 for k, v in parts if k == 1):
+            raise ValueError("user-defined pieces of a unigram model are not supported")
+    return kind
+
+
 @dataclass
 class Pieces:
     """A piece table: texts (spaces for marks), scores, and the id of byte piece 0 (-1: none)."""
@@ -57,7 +100,7 @@ class Pieces:
         n = m.vocab_size()
         base = next((i for i in range(n) if m.is_byte(i)), -1)
         plain = [not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) for i in range(n)]
-        return cls([m.id_to_piece(i).replace(MARK, " ") for i in range(n)], [m.get_score(i) for i in range(n)], plain, base, "bpe", m.unk_id())
+        return cls([m.id_to_piece(i).replace(MARK, " ") for i in range(n)], [m.get_score(i) for i in range(n)], plain, base, model_kind(m.serialized_model_proto()), m.unk_id())
 
     def alone(self) -> np.ndarray:
         """ASCII bytes that no piece of several characters holds."""
@@ -161,14 +204,15 @@ def _merge_fold(n: Column, merges: Column) -> Column:
     return F.aggregate(turns, F.sequence(F.lit(0), n), step)
 
 
-def _viterbi_fold(n: Column, edges: Column) -> Column:
-    """Cuts of the best path; a character without an edge of its own costs 1000."""
+def _viterbi_fold(n: Column, edges: Column, least: float) -> Column:
+    """Cuts of the best path; a character without an edge of its own scores 10 below the least piece, as in the library."""
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s")))
 
     def step(best, j):
         reach = F.transform(F.filter(edges, lambda x: x["e"] == j), lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s")))
-        bare = F.array(F.struct((F.get(best, j - 1)["score"] - 1000.0).alias("score"), (j - 1).alias("s")))
-        return F.concat(best, F.array(F.array_max(F.concat(reach, bare))))
+        bare = F.struct((F.get(best, j - 1)["score"] + F.lit(least - 10.0)).alias("score"), (j - 1).alias("s"))
+        known = F.exists(edges, lambda x: (x["e"] == j) & (x["s"] == j - 1))
+        return F.concat(best, F.array(F.array_max(F.concat(reach, F.array(F.when(~known, bare))))))
 
     best = F.aggregate(F.sequence(F.lit(1), n), first, step)
 
@@ -192,8 +236,11 @@ def _encode_any(units: DataFrame, pieces: Pieces) -> DataFrame:
     own = F.struct("s", "id")
     wide = F.col("len") >= (2 if pieces.kind == "bpe" else 1)
     lattice = edges.groupBy("hash").agg(F.first("unit").alias("unit"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(wide, merge))).alias("edges"), F.collect_list(F.when(F.col("len") == 1, own)).alias("chars"))
-    fold = _merge_fold if pieces.kind == "bpe" else _viterbi_fold
-    lattice = lattice.withColumn("cuts", fold(F.col("n"), F.col("edges")))
+    if pieces.kind == "bpe":
+        cuts = _merge_fold(F.col("n"), F.col("edges"))
+    else:
+        cuts = _viterbi_fold(F.col("n"), F.col("edges"), min(s for s, p in zip(pieces.scores, pieces.plain, strict=True) if p))
+    lattice = lattice.withColumn("cuts", cuts)
 
     def symbol(i):
         a, b = F.get("cuts", i - 1), F.get("cuts", i)

@@ -95,3 +95,35 @@ def test_viterbi_fold_equals_brute_force(spark):
     for i, u in enumerate(units):
         assert "".join(names[k] for k in got[i]) == u
         assert sum(table[names[k]] for k in got[i]) == pytest.approx(best(u))
+
+
+def trained(tmp_path, kind, **options):
+    import random
+
+    import sentencepiece
+
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdeé", k=r.randint(1, 7))) for _ in range(300)]
+    lines = [" ".join(r.choices(words, k=12)) for _ in range(400)]
+    same = {"normalization_rule_name": "identity", "remove_extra_whitespaces": False, "byte_fallback": True, "vocab_size": 420, "hard_vocab_limit": False, "minloglevel": 2}
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=str(tmp_path / kind), model_type=kind, **same | options)
+    return str(tmp_path / f"{kind}.model"), lines
+
+
+def test_a_loaded_unigram_model_equals_the_library(spark, tmp_path):
+    import sentencepiece
+
+    path, lines = trained(tmp_path, "unigram")
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*lines[:40], None, "", "  ab  cd ", "zq ☃a é", "abcde" * 12, "axbxc x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Pieces.load(path).kind == "unigram" and Pieces.load(default_model()).kind == "bpe"
+    got = {r.doc_id: r.ids for r in encode(df, path).collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != m.encode(t or "")] == []
+
+
+def test_models_that_the_folds_do_not_fit_are_refused(tmp_path):
+    for kind, options in (("char", {}), ("unigram", {"normalization_rule_name": "nmt_nfkc"}), ("unigram", {"user_defined_symbols": ["abc"]}), ("unigram", {"byte_fallback": False, "vocab_size": 160})):
+        path, _ = trained(tmp_path, kind, **options)
+        with pytest.raises(ValueError):
+            Pieces.load(path)
