@@ -208,6 +208,11 @@ def _(spark, d):
     return S.class_lines(doc_lines(spark, d), {n: p for n, p in C.MARK_CLASSES.items() if "(?<" not in p})
 
 
+@query("mark_class_lines_all")
+def _(spark, d):
+    return S.class_lines(doc_lines(spark, d), C.MARK_CLASSES)
+
+
 @query("mark_kinds", f"WITH {LINES} SELECT " + " + ".join(f"regexp_matches(line, '{C.MARK_CLASSES[k]}')::INT" for k in C.MARK_KINDS) + " AS kinds, count(*) AS n FROM ln GROUP BY 1")
 def _(spark, d):
     return S.mark_kinds(doc_lines(spark, d))
@@ -247,6 +252,11 @@ def _(spark, d):
     return own.where(F.col("rule").isin("no_final_line_feed", "double_space", "tab", "carriage_return"))
 
 
+@query("hygiene_faults_all")
+def _(spark, d):
+    return read(spark, d, "documents").select(F.explode(C.hygiene_faults(F.col("text"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 # ---- leakage ----
 
 

@@ -238,3 +238,16 @@ def test_edit_distance_equals_brute_force(spark):
     pairs = [("".join(r.choices("abAé😀", k=r.randint(0, 7))), "".join(r.choices("abAé😀", k=r.randint(0, 7)))) for _ in range(300)]
     got = frame(spark, pairs, "a string, b string").select("a", "b", S.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert all(x.d == brute_distance(x.a, x.b) for x in got)
+
+
+def test_all_file_rules_and_mark_classes_come_out(spark, tmp_path):
+    from corpusloom.functions import classes as C
+    from corpusloom.plans.registry import QUERIES
+
+    texts = ["\ufeffa\n", "a\n\nb\n", "a\n b\n", "a\r\n", "a", "a  b\n", "a\tb\n", "fine\n", "\u05d0\u05f3\n", "\u05d0\u05d1\u05f3\n"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    faults = dict(rows(QUERIES["hygiene_faults_all"](spark, str(tmp_path)), "rule", "n"))
+    assert set(faults) == {"bom", "carriage_return", "no_final_line_feed", "blank_line", "padding", "double_space", "tab"}
+    assert faults["bom"] == faults["no_final_line_feed"] == faults["double_space"] == faults["tab"] == 1
+    marks = dict(rows(QUERIES["mark_class_lines_all"](spark, str(tmp_path)), "class", "n"))
+    assert set(marks) == set(C.MARK_CLASSES) and marks["geresh_letter_numeral"] == 1 and marks["geresh_after_letter"] == 2
