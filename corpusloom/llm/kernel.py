@@ -160,6 +160,12 @@ def window_starts(first_word: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(ok[:-1]))
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to first[i] + size[i] - 1 of all i, one run after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(first - (upto - size), size) + np.arange(upto[-1] if len(size) else 0)
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places lie in any [start, end)."""
     d = np.zeros(n + 1, np.int32)

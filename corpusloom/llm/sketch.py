@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernel import U64, member, mix
+from corpusloom.llm.kernel import NULL_ID, U64, member, mix
 
 CELL_BITS = 22
 CELLS_PER_KEY = 4
@@ -26,9 +26,44 @@ WIRE = "key long, block long, body binary"
 _WIRE = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
 
 
-def table(rows: Iterable[tuple]) -> pa.Table:
+def table(rows: Iterable[tuple], key: str = "key") -> pa.Table:
     rows = list(rows)
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_WIRE)], schema=_WIRE)
+    out = pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_WIRE)], schema=_WIRE)
+    return out if key == "key" else out.rename_columns([key, "block", "body"])
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _swell(body: bytes) -> bytes:
+    size = int.from_bytes(body[:8], "little")
+    return pa.decompress(body[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def pack_strings(values: pa.Array) -> bytes:
+    """A large_string array without nulls as compressed bytes."""
+    off = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    text = values.buffers()[2]
+    return _squeeze(len(values).to_bytes(4, "little") + np.diff(off).astype(np.uint32).tobytes() + (memoryview(text)[off[0] : off[-1]] if text is not None else b""))
+
+
+def unpack_strings(body: bytes) -> pa.Array:
+    raw = _swell(body)
+    n = int.from_bytes(raw[:4], "little")
+    off = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(raw[4 + 4 * n :]))
+
+
+def pack_lists(size: np.ndarray, flat: np.ndarray) -> bytes:
+    """Lists of numbers below 2^32."""
+    return _squeeze(len(size).to_bytes(4, "little") + size.astype(np.uint32).tobytes() + flat.astype(np.uint32).tobytes())
+
+
+def unpack_lists(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = _swell(body)
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, np.uint32, n, 4).astype(np.int64), np.frombuffer(raw, np.uint32, -1, 4 + 4 * n)
 
 
 def pack_sorted(cells: np.ndarray) -> bytes:
@@ -154,3 +189,40 @@ def sizes(docs: DataFrame, text_col: str) -> tuple[int, int]:
     """(bytes of text, blocks to deal it into)."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
     return total, max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
+
+
+def packed_blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Rows (block, body): documents dealt by a hash of id and text, those of one task and block as one compressed packet."""
+
+    def pack(batches):
+        for batch in batches:
+            block = batch["block"].to_numpy()
+            order = np.argsort(block, kind="stable")
+            text, ids = batch["text"].cast(pa.large_binary()).take(pa.array(order)), batch["doc_id"].take(pa.array(order))
+            null = text.is_null().to_numpy(zero_copy_only=False)
+            text = text.fill_null(b"") if null.any() else text
+            off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            raw = memoryview(text.buffers()[2]) if text.buffers()[2] is not None else b""
+            ids = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+            out = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                head = (b - a).to_bytes(4, "little") + ids[a:b].tobytes() + null[a:b].tobytes() + np.diff(off[a : b + 1]).tobytes()
+                out.append((int(block[order[a]]), head + _squeeze(bytes(raw[off[a] : off[b]]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["block", "body"])
+
+    key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias("block"), key.alias("doc_id"), text.alias("text"))
+    return rows.mapInArrow(pack, "block long, body binary").repartition(n, "block")
+
+
+def unpack_texts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (NULL_ID for null), which texts are null, offsets and bytes of all packets, in order of their bytes."""
+    ids, null, size, raw = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], []
+    for body in sorted(bodies):
+        n = int.from_bytes(body[:4], "little")
+        ids.append(np.frombuffer(body, np.int64, n, 4))
+        null.append(np.frombuffer(body, bool, n, 4 + 8 * n))
+        size.append(np.frombuffer(body, np.int64, n, 4 + 9 * n))
+        raw.append(_swell(body[4 + 17 * n :]))
+    return np.concatenate(ids), np.concatenate(null), np.concatenate([[0], np.cumsum(np.concatenate(size))]), np.frombuffer(b"".join(raw), np.uint8)

@@ -2,11 +2,14 @@
 
 import hashlib
 import itertools
+import random
+import struct
+import time
 
 import pytest
 
 from corpusloom.llm import warc
-from corpusloom.llm.sentencepiece_lattice import Pieces, decode, default_model, encode, encode_units
+from corpusloom.llm.sentencepiece_lattice import Fold, Pieces, decode, default_model, encode, encode_units
 
 PAGES = "page_id long, url string, html string, digest string, d string"
 
@@ -62,7 +65,7 @@ def test_empty_archives(spark, tmp_path):
     assert warc.read_warc(spark, path).collect() == []
 
 
-def test_tokens_equal_the_library_in_both_ways(spark):
+def test_tokens_equal_the_library(spark):
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=default_model())
@@ -70,12 +73,11 @@ def test_tokens_equal_the_library_in_both_ways(spark):
     texts += [("thing" * 12 + "xyzqxyzq")[:k] for k in range(56, 69)]  # around the length that fits into the bits of one integer
     df = spark.createDataFrame([(i if i else None, t, 1, "p") for i, t in enumerate(texts)], "doc_id long, text string, hash long, piece string")
     pieces = Pieces.load(default_model())
-    for bound in (10**7, 0):
-        got = decode(encode(df, pieces, dictionary=bound), pieces).collect()
-        assert len(got) == len(texts)
-        for r in got:
-            want = m.encode(r.text or "")
-            assert r.ids == want and r.n_tokens == len(want) and r.decoded == m.decode(want)
+    got = decode(encode(df, pieces), pieces).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((i, t or "") for i, t in enumerate(texts))
+    for r in got:
+        want = m.encode(r.text or "")
+        assert r.ids == want and r.n_tokens == len(want) and r.decoded == m.decode(want)
     assert encode(df.limit(0), pieces).collect() == []
 
 
@@ -83,8 +85,8 @@ def test_viterbi_fold_equals_brute_force(spark):
     table = {"a": -1.0, "b": -1.2, "ab": -1.5, "ba": -1.4, "aba": -3.0, "bb": -3.1, "abb": -2.2}
     pieces = Pieces(list(table), list(table.values()), [True] * len(table), -1, kind="unigram", unknown=99)
     units = ["".join(x) for n in range(1, 6) for x in itertools.product("ab", repeat=n)]
-    df = spark.createDataFrame(list(enumerate(units)), "hash long, unit string")
-    got = {r.hash: r.ids for r in encode_units(df, pieces).collect()}
+    df = spark.createDataFrame(list(enumerate(units)), "key long, unit string")
+    got = {r.key: r.ids for r in encode_units(df, pieces).collect()}
 
     def best(u):
         if not u:
@@ -97,33 +99,91 @@ def test_viterbi_fold_equals_brute_force(spark):
         assert sum(table[names[k]] for k in got[i]) == pytest.approx(best(u))
 
 
-def trained(tmp_path, kind, **options):
-    import random
+def number(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes(out + bytes([n]))
 
-    import sentencepiece
 
-    r = random.Random(3)
-    words = ["".join(r.choices("abcdeé", k=r.randint(1, 7))) for _ in range(300)]
-    lines = [" ".join(r.choices(words, k=12)) for _ in range(400)]
-    same = {"normalization_rule_name": "identity", "remove_extra_whitespaces": False, "byte_fallback": True, "vocab_size": 420, "hard_vocab_limit": False, "minloglevel": 2}
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=str(tmp_path / kind), model_type=kind, **same | options)
-    return str(tmp_path / f"{kind}.model"), lines
+def field(key: int, value) -> bytes:
+    if isinstance(value, float):
+        return number(key << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, bytes):
+        return number(key << 3 | 2) + number(len(value)) + value
+    return number(key << 3) + number(value)
+
+
+def model_file(path, kind=1, byte_pieces=True, own=(), **normal) -> str:
+    """A model file with stated pieces; kind 1 is unigram, 2 BPE, 4 characters."""
+    scores = {"▁": -3.0, "a": -4.0, "b": -4.1, "c": -4.2, "d": -4.3, "é": -6.0, "ab": -4.9, "bc": -5.0, "abc": -6.5, "▁a": -4.6, "▁ab": -5.1, "cd": -5.3, "dd": -5.2, "da": -5.05, "abcd": -8.0, "éa": -7.5, "▁▁": -5.5}
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if byte_pieces]
+    rows += [(t, s, 1) for t, s in scores.items()] + [(t, 0.0, 4) for t in own]
+    body = b"".join(field(1, field(1, t.encode()) + field(2, s) + field(3, k)) for t, s, k in rows)
+    body += field(2, field(3, kind) + field(4, len(rows)) + field(35, int(byte_pieces)))
+    body += field(3, field(1, b"identity") + field(2, normal.get("charsmap", b"")) + field(3, 1) + field(4, normal.get("squeeze", 0)) + field(5, 1))
+    path.write_bytes(body)
+    return str(path)
 
 
 def test_a_loaded_unigram_model_equals_the_library(spark, tmp_path):
     import sentencepiece
 
-    path, lines = trained(tmp_path, "unigram")
+    path = model_file(tmp_path / "m")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = [*lines[:40], None, "", "  ab  cd ", "zq ☃a é", "abcde" * 12, "axbxc x"]
+    r = random.Random(3)
+    texts = ["".join(r.choices("aabbccdd é ", k=r.randint(1, 90))) for _ in range(60)]
+    texts += [None, "", "  ab  cd ", "zq ☃a é", "abcd" * 300, "axbxc x", "éé☃é"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert Pieces.load(path).kind == "unigram" and Pieces.load(default_model()).kind == "bpe"
     got = {r.doc_id: r.ids for r in encode(df, path).collect()}
     assert [i for i, t in enumerate(texts) if got[i] != m.encode(t or "")] == []
 
 
+def test_the_lattice_and_the_fold_of_long_units_agree(spark, tmp_path):
+    for pieces in (Pieces.load(model_file(tmp_path / "u")), Pieces.load(model_file(tmp_path / "b", kind=2)), Pieces.load(default_model())):
+        r = random.Random(5)
+        units = [" " * r.randint(0, 2) + "".join(r.choices("abcdé" if pieces.byte_base else "etaoins", k=r.randint(1, 30))) for _ in range(300)]
+        got = {r.key: r.ids for r in encode_units(spark.createDataFrame(list(enumerate(units)), "key long, unit string"), pieces).collect()}
+        fold = Fold(pieces)
+        assert [u for i, u in enumerate(units) if got[i] is not None and got[i] != fold(u)] == []
+        assert sum(v is not None for v in got.values()) > 250
+
+
+def test_pieces_that_one_turn_comes_to_too_early(spark):
+    assert {p.strip() for p in Pieces.load(default_model()).late} == {""}  # runs of spaces only
+    # "abc" forms from "a" and "bc", which comes later than "abc" itself
+    late = Pieces(["a", "b", "c", "d", "abc", "bc", "cd"], [0.0, -0.1, -0.2, -0.3, -1.0, -2.0, -1.5], [True] * 7, -1)
+    assert late.late == {"abc"}
+    units = ["abc", "abcabc", "bcd", "abcd", "aabc", "cdabc"]
+    got = {r.key: r.ids for r in encode_units(spark.createDataFrame(list(enumerate(units)), "key long, unit string"), late).collect()}
+    assert [got[i] for i in range(6)] == [[4], [4, 4], [1, 6], [0, 1, 6], [0, 4], [6, 4]] == [Fold(late)(u) for u in units]
+
+
+def test_very_long_units_take_near_linear_time():
+    import sentencepiece
+
+    m, fold = sentencepiece.SentencePieceProcessor(model_file=default_model()), Fold(Pieces.load(default_model()))
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    began = time.monotonic()
+    got = fold(" " + text)
+    assert time.monotonic() - began < 20
+    assert got == m.encode(text)
+    assert fold(" " + "a" * 100_000) == m.encode("a" * 100_000)
+
+
+def test_texts_with_long_units(spark):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    texts = ["x".join(["thequickbrownfox" * 400, "日本語" * 3000]), "a" * 20_000, "q" * 61]
+    got = {r.doc_id: r for r in encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), default_model()).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].ids == m.encode(t)
+
+
 def test_models_that_the_folds_do_not_fit_are_refused(tmp_path):
-    for kind, options in (("char", {}), ("unigram", {"normalization_rule_name": "nmt_nfkc"}), ("unigram", {"user_defined_symbols": ["abc"]}), ("unigram", {"byte_fallback": False, "vocab_size": 160})):
-        path, _ = trained(tmp_path, kind, **options)
-        with pytest.raises(ValueError):
-            Pieces.load(path)
+    for i, options in enumerate(({"kind": 4}, {"charsmap": b"x"}, {"squeeze": 1}, {"own": ("abc",)}, {"byte_pieces": False})):
+        with pytest.raises((ValueError, RuntimeError)):
+            Pieces.load(model_file(tmp_path / str(i), **options))
