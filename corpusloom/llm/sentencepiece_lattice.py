@@ -413,10 +413,31 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 _SENT = "shard long, block long, body binary"
 
 
-def encode(docs: DataFrame, model: str | Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text (as given), ids (array<int>) and n_tokens."""
+def _texts(flat: np.ndarray, edge: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """The texts of lists of ids, list i being flat[edge[i]:edge[i + 1]]; ids outside the table give nothing."""
+    data, off = table
+    known = (flat >= 0) & (flat < len(off) - 1)
+    at = np.where(known, flat, 0)
+    size = np.where(known, off[at + 1] - off[at], 0)
+    raw = data[K.ranges(off[at], size)]
+    cut = np.concatenate([[0], np.cumsum(size)])[edge]
+    full = np.flatnonzero(cut[1:] > cut[:-1])
+    lead = full[raw[cut[:-1][full]] == 0x20]  # the space that encoding put first
+    raw = np.delete(raw, cut[:-1][lead])
+    less = np.zeros(len(edge), np.int64)
+    less[lead + 1] = 1
+    cut = cut - np.cumsum(less)
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw)])
+    try:
+        return made.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # byte pieces that make no character
+        return pa.array([x.decode("utf-8", "replace") for x in made.to_pylist()], pa.string())
+
+
+def encode(docs: DataFrame, model: str | Pieces, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Per row: doc_id, text (as given), ids (array<int>) and n_tokens; on request also decoded, the text of the ids."""
     pieces = model if isinstance(model, Pieces) else Pieces.load(model)
-    pairs = pieces.pairs
+    pairs, table = pieces.pairs, pieces.bytes_of()
     _, n = S.sizes(docs, text_col)
     dealt = S.packed_blocks(docs, id_col, text_col, n)
 
@@ -457,16 +478,18 @@ def encode(docs: DataFrame, model: str | Pieces, id_col: str = "doc_id", text_co
         count = size[b.which]
         upto = np.concatenate([[0], np.cumsum(count)])
         edge = upto[np.searchsorted(b.starts, b.at)]
-        values = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat[K.ranges(first[b.which], count)].astype(np.int32)))
+        tokens = flat[K.ranges(first[b.which], count)].astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(tokens))
         text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b.ids), [None, pa.py_buffer(b.off.astype(np.int64)), pa.py_buffer(b.buf)]).cast(pa.large_string()).cast(pa.string())
         text = pc.if_else(pa.array(b.null), pa.scalar(None, pa.string()), text)
-        return pa.table({"doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == K.NULL_ID), "text": text, "ids": values, "n_tokens": pa.array(np.diff(edge), pa.int64())})
+        out = {"doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == K.NULL_ID), "text": text, "ids": values, "n_tokens": pa.array(np.diff(edge), pa.int64())}
+        return pa.table(out | ({"decoded": _texts(tokens, edge, table)} if decoded else {}))
 
     sent = dealt.groupBy("block").applyInArrow(request, _SENT).repartition(n, "shard")
     units = sent.groupBy("shard").applyInArrow(merge, "key long, unit string").repartition(n, "key")
     known = encode_units(units, pieces).withColumn("shard", F.shiftright("key", 32))
     answers = sent.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, S.WIRE)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put, "doc_id long, text string, ids array<int>, n_tokens long")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put, "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decoded)
 
 
 def decode(rows: DataFrame, model: str | Pieces, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -476,22 +499,15 @@ def decode(rows: DataFrame, model: str | Pieces, ids_col: str = "ids", out_col:
     names = rows.columns
 
     def run(batches):
-        data, off = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 col = part[ids_col]
                 lists = col.fill_null([]) if col.null_count else col
-                flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = np.where((flat < 0) | (flat >= len(off) - 1), -1, flat)
-                size = np.where(flat < 0, 0, off[flat + 1] - off[flat])
-                upto = np.concatenate([[0], np.cumsum(size)])
-                text = data[np.repeat(np.where(flat < 0, 0, off[flat]) - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+                flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 edge = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-                cut = upto[edge].tolist()
-                made = [text[a + (text[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                made = [None if null else m for m, null in zip(made, col.is_null().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], [*names, out_col])
+                made = pc.if_else(col.is_null(), pa.scalar(None, pa.string()), _texts(flat, edge, shared.value))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, `{out_col}` string")
@@ -506,5 +522,5 @@ def default_model() -> str:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = Pieces.load(default_model())
-    made = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), pieces), pieces)
+    made = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), pieces, decoded=True)
     return made.select("doc_id", "n_tokens", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))

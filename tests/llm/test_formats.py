@@ -73,11 +73,11 @@ def test_tokens_equal_the_library(spark):
     texts += [("thing" * 12 + "xyzqxyzq")[:k] for k in range(56, 69)]  # around the length that fits into the bits of one integer
     df = spark.createDataFrame([(i if i else None, t, 1, "p") for i, t in enumerate(texts)], "doc_id long, text string, hash long, piece string")
     pieces = Pieces.load(default_model())
-    got = decode(encode(df, pieces), pieces).collect()
+    got = decode(encode(df, pieces, decoded=True), pieces, out_col="again").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((i, t or "") for i, t in enumerate(texts))
     for r in got:
         want = m.encode(r.text or "")
-        assert r.ids == want and r.n_tokens == len(want) and r.decoded == m.decode(want)
+        assert r.ids == want and r.n_tokens == len(want) and r.decoded == r.again == m.decode(want)
     assert encode(df.limit(0), pieces).collect() == []
 
 
