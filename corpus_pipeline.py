@@ -39,11 +39,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 50 bytes that an earlier document holds are cut out of later ones; texts without cuts stay as they are."""
     raw = F.col("kept").cast("string")  # a cut may leave parts of a character; they go too
     whole = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
-    cut = suffix_dedup.suffix_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), whole.alias("__text"), F.col("n_bytes").alias("__n"))
-    # rows that share an id also need their size to tell them apart; equal ones have equal cuts
-    cut = cut.dropDuplicates(["__id", "__n"])
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (size == F.col("__n")), "left")
+    cut = suffix_dedup.suffix_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), whole.alias("__text"), F.col("text_md5").alias("__md5"))
+    cut = cut.dropDuplicates(["__id", "__md5"])  # rows of one id and one text have equal cuts
+    own = F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    rows = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__md5")), "left")
     text = F.coalesce("__text", "text")
     changed = {"text": text}
     if "n_chars" in docs.columns:

@@ -22,6 +22,8 @@ worked on in overlapping steps; other columns are not read; empty in, empty out.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,7 @@ from corpusloom.llm.suffix_sort import as_words, deep_shallow
 
 #: Bytes of an anchor; an anchor that so many documents may hold is dealt by its strings.
 GRAM, HOT = 24, 1024
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
+OUT = "doc_id long, text_md5 string, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
 _STEP = 1 << 22
 
 
@@ -225,7 +227,7 @@ def _sort_strings(length: int):
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a string of `length` bytes (28 to 250) that also starts in a document with a smaller id.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes) and spans (removed byte runs)."""
+    Returns doc_id, text_md5 (of the input's bytes, which tells rows of one id apart), n_bytes, n_removed, n_spans, kept (binary, the remaining bytes) and spans (removed byte runs)."""
     if not GRAM + 4 <= length <= 250:
         raise ValueError("length must be 28 to 250 bytes")
     total, n = S.sizes(docs, text_col)
@@ -282,6 +284,7 @@ def _result(b: K.Block, removed: np.ndarray) -> pa.Table:
     return pa.table(
         {
             "doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == K.NULL_ID),
+            "text_md5": pa.array([hashlib.md5(b.buf[x:y]).hexdigest() for x, y in zip(b.off[:-1].tolist(), b.off[1:].tolist(), strict=True)], pa.string()),
             "n_bytes": pa.array(np.diff(b.off), pa.int64()),
             "n_removed": pa.array(upto[b.off[1:]] - upto[b.off[:-1]], pa.int64()),
             "n_spans": spans.value_lengths().cast(pa.int64()),
