@@ -37,17 +37,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 50 bytes that an earlier document holds are cut out of later ones; texts without cuts stay as they are."""
+    rest = [c for c in docs.columns if c != "text"]
+    null = "_".join(["is_null", *rest])  # no column's name
+    rows = suffix_dedup.suffix_dedup(docs.withColumn(null, F.col("text").isNull()), keep=[*rest, null])  # rows travel whole, so nothing is joined back
     raw = F.col("kept").cast("string")  # a cut may leave parts of a character; they go too
-    whole = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
-    cut = suffix_dedup.suffix_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), whole.alias("__text"), F.col("text_md5").alias("__md5"))
-    cut = cut.dropDuplicates(["__id", "__md5"])  # rows of one id and one text have equal cuts
-    own = F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    rows = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__md5")), "left")
-    text = F.coalesce("__text", "text")
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__text").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumns(changed).select(*docs.columns)
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+    size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long"))
+    out = {c: F.col("row").getField(c) for c in rest}
+    if "n_chars" in out:
+        out["n_chars"] = F.coalesce(size, out["n_chars"])
+    rows = rows.withColumn("text", F.when(F.col("n_removed") > 0, text).when(~F.col("row").getField(null), raw))
+    return rows.select(*[F.col("text") if c == "text" else out[c].alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

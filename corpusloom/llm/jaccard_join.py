@@ -41,7 +41,7 @@ class _Shingles:
     """Sorted distinct shingle hashes of each document of a block."""
 
     def __init__(self, rows: pa.Table, n: int):
-        self.block = b = K.to_block(rows)
+        self.block = b = S.block_of(rows)
         parts, self.off = [], np.zeros(b.n + 1, np.int64)
         for d, e, x, y in b.pieces(1 << 22):
             buf, off = K.LOWER[b.buf[x:y]], b.off[d : e + 1] - x
@@ -137,12 +137,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     """Per row: doc_id, n_shingles and component_id, the smallest id reachable by links of Jaccard >= percent / 100."""
     total, blocks = S.sizes(docs, text_col)
     sketch = S.Sketch(total // 6, rows=1)
-    dealt = S.blocks(docs, id_col, text_col, blocks)
+    dealt = S.packed_blocks(docs, id_col, text_col, blocks)
 
     def emit(rows: pa.Table) -> pa.Table:
         return S.table(sketch.emit(rows["block"][0].as_py(), _Shingles(rows, n).h))
 
-    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE))
+    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE), sketch)
     sets = save(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sets(percent, n, sketch), _SETS))
 
     classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))

@@ -41,8 +41,8 @@ def odd(seed: int, n: int) -> np.ndarray:
 class Block:
     """Documents of one block in id order: ids, a byte buffer and offsets."""
 
-    def __init__(self, ids: np.ndarray, buf: np.ndarray, off: np.ndarray):
-        self.ids, self.buf, self.off = ids, buf, off
+    def __init__(self, ids: np.ndarray, buf: np.ndarray, off: np.ndarray, order: np.ndarray | None = None):
+        self.ids, self.buf, self.off, self.order = ids, buf, off, order
 
     @property
     def n(self) -> int:
@@ -87,7 +87,7 @@ def to_block(table: pa.Table, id_col: str = "doc_id", text_col: str = "text") ->
     off = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(ids) + 1]
     data = text.buffers()[2]
     buf = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
-    return Block(ids, buf, off - off[0])
+    return Block(ids, buf, off - off[0], order)
 
 
 def words(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +114,9 @@ def _eights(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,)).copy()
 
 
-def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 22) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 22, salt: int = 1) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; another odd salt gives an independent one."""
+    by = U64(salt)
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -124,12 +125,12 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int
         b = int(ends[j - 1])
         x8 = _eights(buf[a:b])
         s, ln = starts[i:j] - a, ends[i:j] - starts[i:j]
-        h = mix((x8[s] & _MASK8[np.minimum(ln, 8)]) + ln.astype(np.uint64) * _K)
+        h = mix((x8[s] & _MASK8[np.minimum(ln, 8)]) * by + ln.astype(np.uint64) * _K)
         rest = np.flatnonzero(ln > 8)
         at = 8
         while len(rest):
             x = x8[s[rest] + at] & _MASK8[np.minimum(ln[rest] - at, 8)]
-            h[rest] = mix(h[rest] * _M1 + x + _K)
+            h[rest] = mix(h[rest] * _M1 + x * by + _K)
             at += 8
             rest = rest[ln[rest] > at]
         out[i:j] = h

@@ -262,7 +262,8 @@ class _Units:
     """The texts of one block, their units as places in `units`, which are the distinct ones in order of (shard, text)."""
 
     def __init__(self, bodies: list[bytes], pairs, shards: int):
-        self.ids, self.null, self.off, self.buf = S.unpack_texts(bodies)
+        own = S.Texts(bodies)
+        self.ids, self.null, self.off, self.buf = own.ids, own.null, own.off, own.buf
         buf, self.at = _prefixed(self.buf, self.off)
         self.starts = _units(buf, self.at, pairs)
         edges = np.append(self.starts, len(buf)).astype(np.int64)

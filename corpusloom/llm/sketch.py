@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernel import NULL_ID, U64, member, mix
+from corpusloom.llm.kernel import NULL_ID, U64, Block, member, mix, to_block
 
 CELL_BITS = 22
 CELLS_PER_KEY = 4
@@ -167,18 +167,9 @@ def merge_shard(rows: pa.Table) -> pa.Table:
     return table(out)
 
 
-def merged(emitted: DataFrame) -> DataFrame:
+def merged(emitted: DataFrame, sketch: Sketch) -> DataFrame:
     """Block records in, answers to blocks out; one task per shard, shards of fixed width."""
-    return emitted.groupBy("key").applyInArrow(merge_shard, WIRE)
-
-
-def blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Rows (block, doc_id, text), dealt by a hash of the id; rows with one id share a block."""
-    return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).alias("block"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("binary").alias("text"),
-    ).repartition(F.col("block"))
+    return emitted.repartition(max(sketch.rows * sketch.shards, LEAST_BLOCKS), "key").groupBy("key").applyInArrow(merge_shard, WIRE)
 
 
 #: Bytes of text that one block holds on average, and the least number of blocks.
@@ -191,38 +182,68 @@ def sizes(docs: DataFrame, text_col: str) -> tuple[int, int]:
     return total, max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
 
 
-def packed_blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Rows (block, body): documents dealt by a hash of id and text, those of one task and block as one compressed packet."""
+def packed_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, keep: list[str] | None = None) -> DataFrame:
+    """Rows (block, body): documents dealt by a hash of id and text into n partitions, those of one task and block as one compressed packet.
+
+    So neither null ids nor one id of many rows make a hot block.  `keep` names columns that travel along."""
 
     def pack(batches):
         for batch in batches:
-            block = batch["block"].to_numpy()
+            block = batch["__block"].to_numpy()
             order = np.argsort(block, kind="stable")
-            text, ids = batch["text"].cast(pa.large_binary()).take(pa.array(order)), batch["doc_id"].take(pa.array(order))
+            text, ids = batch["__text"].cast(pa.large_binary()).take(pa.array(order)), batch["__id"].take(pa.array(order))
             null = text.is_null().to_numpy(zero_copy_only=False)
             text = text.fill_null(b"") if null.any() else text
             off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
             raw = memoryview(text.buffers()[2]) if text.buffers()[2] is not None else b""
             ids = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            rest = batch.select(keep).take(pa.array(order)) if keep else None
             edges = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 head = (b - a).to_bytes(4, "little") + ids[a:b].tobytes() + null[a:b].tobytes() + np.diff(off[a : b + 1]).tobytes()
-                out.append((int(block[order[a]]), head + _squeeze(bytes(raw[off[a] : off[b]]))))
+                body = _squeeze(bytes(raw[off[a] : off[b]]))
+                out.append((int(block[order[a]]), head + len(body).to_bytes(8, "little") + body + (_table_bytes(rest.slice(a, b - a)) if keep else b"")))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["block", "body"])
 
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias("block"), key.alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias("__block"), key.alias("__id"), text.alias("__text"), *(keep or []))
     return rows.mapInArrow(pack, "block long, body binary").repartition(n, "block")
 
 
-def unpack_texts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (NULL_ID for null), which texts are null, offsets and bytes of all packets, in order of their bytes."""
-    ids, null, size, raw = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], []
-    for body in sorted(bodies):
-        n = int.from_bytes(body[:4], "little")
-        ids.append(np.frombuffer(body, np.int64, n, 4))
-        null.append(np.frombuffer(body, bool, n, 4 + 8 * n))
-        size.append(np.frombuffer(body, np.int64, n, 4 + 9 * n))
-        raw.append(_swell(body[4 + 17 * n :]))
-    return np.concatenate(ids), np.concatenate(null), np.concatenate([[0], np.cumsum(np.concatenate(size))]), np.frombuffer(b"".join(raw), np.uint8)
+def _table_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+class Texts:
+    """The documents of a block's packets, in order of the packets' bytes: ids (NULL_ID for null), which texts are null, offsets, bytes, kept columns."""
+
+    def __init__(self, bodies: list[bytes]):
+        ids, null, size, raw, rest = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [], []
+        for body in sorted(bodies):
+            n = int.from_bytes(body[:4], "little")
+            ids.append(np.frombuffer(body, np.int64, n, 4))
+            null.append(np.frombuffer(body, bool, n, 4 + 8 * n))
+            size.append(np.frombuffer(body, np.int64, n, 4 + 9 * n))
+            at = 12 + 17 * n
+            end = at + int.from_bytes(body[at - 8 : at], "little")
+            raw.append(_swell(body[at:end]))
+            if len(body) > end:
+                rest.append(pa.ipc.open_stream(body[end:]).read_all())
+        self.ids, self.null = np.concatenate(ids), np.concatenate(null)
+        self.off = np.concatenate([[0], np.cumsum(np.concatenate(size))])
+        self.buf = np.frombuffer(b"".join(raw), np.uint8)
+        self.rest = pa.concat_tables(rest) if rest else None
+
+    def block(self) -> Block:
+        """Ordered by (id, text)."""
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.ids), [None, pa.py_buffer(self.off.astype(np.int64)), pa.py_buffer(self.buf)])
+        return to_block(pa.table({"doc_id": pa.array(self.ids), "text": text}))
+
+
+def block_of(rows: pa.Table) -> Block:
+    """The block of rows (block, body)."""
+    return Texts(rows["body"].to_pylist()).block()

@@ -2,7 +2,8 @@
 
 Pass 1: each block of documents adds the hashes of its windows to a sketch; sketches are
 merged shard by shard (`sketch.py`).  Pass 2: windows whose merged estimate is 2 or more
-are grouped exactly, by a 96-bit fingerprint, and the group's earliest window stays.  The
+are grouped exactly, by 128 bits from two independent hashes of each word's bytes, and the
+group's earliest window stays.  The
 estimate is never too low, so no repeated window is lost; a wrongly suspected one only
 costs a row.  A block first folds its own copies of a window into the earliest, so a
 window that a third of all documents hold is one row for each block, not for each copy.
@@ -29,15 +30,18 @@ OUT = "doc_id long, n_words long, n_removed long, kept binary, spans array<struc
 class _Windows:
     """Words and windows of one block; what all passes derive from the text in the same way."""
 
-    def __init__(self, rows: pa.Table, window: int):
-        self.block = b = K.to_block(rows)
+    def __init__(self, rows: pa.Table, window: int, again: bool = False):
+        """again: also a second hash of every word, from other multiples of its bytes."""
+        self.block = b = S.block_of(rows)
         starts, ends, first = [], [], [np.zeros(1, np.int64)]
-        hashes = []
+        hashes, others = [], []
         total = 0
         for d, e, x, y in b.pieces(1 << 22):
             off = b.off[d : e + 1] - x
             s, t, f = K.words(b.buf[x:y], off)
             hashes.append(K.hash_words(b.buf[x:y], s, t))
+            if again:
+                others.append(K.hash_words(b.buf[x:y], s, t, salt=0x9FB21C651E98DF25))
             starts.append(s + x)
             ends.append(t + x)
             first.append(f[1:] + total)
@@ -47,7 +51,7 @@ class _Windows:
         self.at = K.window_starts(self.first, window)
         h = cat(hashes, np.uint64)
         self.h = K.hash_windows(h, window)[self.at]
-        self.words = h
+        self.others = cat(others, np.uint64)
 
     def doc_of(self, word: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, word, "right") - 1
@@ -59,8 +63,8 @@ def _repeated(w: _Windows, window: int, sketch: S.Sketch, answers: pa.Table):
     second = np.zeros(len(cand), np.uint64)
     c = K.odd(77, window)
     for j in range(window):
-        second += w.words[w.at[cand] + j] * c[j]
-    second = (K.mix(second) >> np.uint64(32)).astype(np.uint32)
+        second += w.others[w.at[cand] + j] * c[j]
+    second = K.mix(second)
     order = np.lexsort((second, w.h[cand]))  # stable: by place inside a group
     cand, second = cand[order], second[order]
     h = w.h[cand]
@@ -88,10 +92,10 @@ def _earliest(rows: pa.Table) -> pa.Table:
     for k, x in zip(n, rows["body"], strict=True):
         body = x.as_py()
         hs.append(np.frombuffer(body[4 : 4 + 8 * k], np.uint64))
-        ss.append(np.frombuffer(body[4 + 8 * k : 4 + 12 * k], np.uint32))
-        ds.append(np.frombuffer(body[4 + 12 * k :], np.uint8).reshape(8, k).T.copy().view("<i8").ravel())
+        ss.append(np.frombuffer(body[4 + 8 * k : 4 + 16 * k], np.uint64))
+        ds.append(np.frombuffer(body[4 + 16 * k :], np.uint8).reshape(8, k).T.copy().view("<i8").ravel())
     h, s, d = np.concatenate(hs), np.concatenate(ss), np.concatenate(ds)
-    order = np.lexsort((d, s, h))
+    order = np.lexsort((np.repeat(rows["block"].to_numpy(), n), d, s, h))  # rows of one id come in order of their blocks
     head = np.ones(len(h), bool)
     ho, so = h[order], s[order]
     head[1:] = (ho[1:] != ho[:-1]) | (so[1:] != so[:-1])
@@ -119,16 +123,16 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     total, n = S.sizes(docs, text_col)
     sketch = S.Sketch(total // 6)
     parts = n
-    dealt = S.blocks(docs, id_col, text_col, n)
+    dealt = S.packed_blocks(docs, id_col, text_col, n)
 
     def emit(rows: pa.Table) -> pa.Table:
-        w = _Windows(rows.rename_columns(["block", "doc_id", "text"]), window)
+        w = _Windows(rows, window)
         return S.table(sketch.emit(rows["block"][0].as_py(), w.h))
 
     def suspects(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return S.table([])
-        w = _Windows(rows, window)
+        w = _Windows(rows, window, again=True)
         cand, h, second, head = _repeated(w, window, sketch, answers)
         i = np.flatnonzero(head)
         doc = w.block.ids[w.doc_of(w.at[cand[i]])]
@@ -137,7 +141,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     def remove(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _result([], [], [], [], None)
-        w = _Windows(rows, window)
+        w = _Windows(rows, window, again=True)
         answers, verdicts = _split(told)
         cand, h, second, head = _repeated(w, window, sketch, answers)
         i = np.flatnonzero(head)
@@ -154,9 +158,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         removed = K.covered(len(w.starts), gone, gone + window)
         return _finish(w, removed)
 
-    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE))
+    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE), sketch)
     entries = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(suspects, S.WIRE)
-    verdicts = entries.groupBy("key").applyInArrow(_earliest, S.WIRE)
+    verdicts = entries.repartition(n, "key").groupBy("key").applyInArrow(_earliest, S.WIRE)
     told = answers.unionByName(verdicts)
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, OUT)
 

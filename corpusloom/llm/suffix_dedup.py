@@ -22,12 +22,12 @@ worked on in overlapping steps; other columns are not read; empty in, empty out.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusloom.llm import kernel as K
 from corpusloom.llm import sketch as S
@@ -36,7 +36,7 @@ from corpusloom.llm.suffix_sort import as_words, deep_shallow
 
 #: Bytes of an anchor; an anchor that so many documents may hold is dealt by its strings.
 GRAM, HOT = 24, 1024
-OUT = "doc_id long, text_md5 string, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
 _STEP = 1 << 22
 
 
@@ -44,7 +44,8 @@ class _Anchors:
     """Anchors of a block: hash, byte place, first and last string start, and document."""
 
     def __init__(self, rows: pa.Table, length: int):
-        self.block = b = K.to_block(rows)
+        self.texts = S.Texts(rows["body"].to_pylist())
+        self.block = b = self.texts.block()
         w = length - GRAM + 1
         parts = []
         for d, e, x, y in b.pieces(_STEP, length - 1):
@@ -224,15 +225,20 @@ def _sort_strings(length: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Remove each byte covered by a string of `length` bytes (28 to 250) that also starts in a document with a smaller id.
 
-    Returns doc_id, text_md5 (of the input's bytes, which tells rows of one id apart), n_bytes, n_removed, n_spans, kept (binary, the remaining bytes) and spans (removed byte runs)."""
+    Returns doc_id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes) and spans
+    (removed byte runs); with `keep` also row, a struct of these columns of the document."""
     if not GRAM + 4 <= length <= 250:
         raise ValueError("length must be 28 to 250 bytes")
+    schema = StructType.fromDDL(OUT)
+    if keep:
+        schema = schema.add("row", docs.select(*keep).schema)
+    out = to_arrow_schema(schema)
     total, n = S.sizes(docs, text_col)
     sketch = S.Sketch(2 * total // (length - GRAM + 2), rows=2, per_key=8)
-    dealt = S.blocks(docs, id_col, text_col, n)
+    dealt = S.packed_blocks(docs, id_col, text_col, n, keep)
 
     def emit(rows: pa.Table) -> pa.Table:
         h, count = _Anchors(rows, length).weights()
@@ -246,7 +252,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     def remove(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return _result(K.to_block(rows), np.zeros(0, bool))
+            return out.empty_table()
         anchors = _Anchors(rows, length)
         answers, verdicts = _split(told)
         seg = _Segments(anchors, sketch, answers, length)
@@ -269,28 +275,29 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             s = seg.at - a
             gone.append(s[(seg.lo <= s) & (s <= seg.hi) & (seg.occ > least[seg.entry])])
         s = np.concatenate(gone)
-        return _result(anchors.block, K.covered(len(anchors.block.buf), s, s + length))
+        return _result(anchors, K.covered(len(anchors.block.buf), s, s + length)).cast(out)
 
-    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE))
+    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE), sketch)
     sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(segments, S.WIRE)
-    verdicts = sent.groupBy("key").applyInArrow(_sort_strings(length), S.WIRE)
+    verdicts = sent.repartition(n, "key").groupBy("key").applyInArrow(_sort_strings(length), S.WIRE)
     told = answers.unionByName(verdicts)
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, OUT)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, schema)
 
 
-def _result(b: K.Block, removed: np.ndarray) -> pa.Table:
-    upto = np.concatenate([[0], np.cumsum(removed)]).astype(np.int64)
+def _result(a: _Anchors, removed: np.ndarray) -> pa.Table:
+    b, upto = a.block, np.concatenate([[0], np.cumsum(removed)]).astype(np.int64)
     spans = span_array(removed, b.off)
+    rest = {} if a.texts.rest is None else {"row": pa.StructArray.from_arrays([c.combine_chunks() for c in a.texts.rest.take(pa.array(b.order)).columns], fields=list(a.texts.rest.schema))}
     return pa.table(
         {
             "doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == K.NULL_ID),
-            "text_md5": pa.array([hashlib.md5(b.buf[x:y]).hexdigest() for x, y in zip(b.off[:-1].tolist(), b.off[1:].tolist(), strict=True)], pa.string()),
             "n_bytes": pa.array(np.diff(b.off), pa.int64()),
             "n_removed": pa.array(upto[b.off[1:]] - upto[b.off[:-1]], pa.int64()),
             "n_spans": spans.value_lengths().cast(pa.int64()),
-            "kept": K.cut(b.buf, ~removed, b.off).cast(pa.binary()),
+            "kept": K.cut(b.buf, ~removed, b.off),
             "spans": spans,
         }
+        | rest
     )
 
 

@@ -55,18 +55,38 @@ def test_suffix_dedup_equals_brute_force(spark, length):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute_bytes(rows, length)
 
 
-def test_suffix_dedup_deals_hot_anchors_by_string(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 4)
-    rows = corpus(3)
-    df = spark.createDataFrame(rows, SCHEMA)
-    block = __import__("pyarrow").table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
-    anchors = suffix_dedup._Anchors(block, 50)
-    s = sketch.Sketch(10_000, 2, 8)
-    wire = sketch.table(s.emit(0, *anchors.weights()))
-    shards = [sketch.merge_shard(wire.filter(__import__("pyarrow").compute.equal(wire["key"], k))) for k in set(wire["key"].to_pylist())]
-    seg = suffix_dedup._Segments(anchors, s, __import__("pyarrow").concat_tables(shards), 50)
-    assert (seg.lo[seg.at - seg.lo == seg.at - seg.hi] == seg.hi[seg.at - seg.lo == seg.at - seg.hi]).all()
-    assert df.count() == len(rows)
+def test_suffix_dedup_of_a_passage_in_very_many_documents(spark):
+    """More documents than `HOT` hold one anchor, each with its own surroundings."""
+    r = random.Random(4)
+    passage = "a passage of seventy bytes or so that is in every document of the table."
+    rows = [(i, f"{r.random()}{passage}{r.random()}" if i % 5 else passage[: r.randint(50, 72)]) for i in range(1_400)]
+    assert len(rows) > suffix_dedup.HOT
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute_bytes(rows, 50)
+
+
+@pytest.mark.parametrize("op", ["suffix", "substring"])
+def test_texts_beyond_one_step_of_a_block(spark, op, monkeypatch):
+    """Long texts are worked on in steps; repeats across the steps' borders count."""
+    r = random.Random(6)
+    words = [f"w{r.randrange(10**6)}" for _ in range(700_000)]  # over 4 MiB in one text
+    cut = " ".join(words[520_000:540_000])
+    rows = [(1, " ".join(words)), (2, "own start " + cut + " own end"), (3, "nothing of that " * 3)]
+    assert len(rows[0][1]) > 1 << 22
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if op == "suffix":
+        got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(df).collect()}
+        assert got[1].n_removed == 0 and got[2].kept == b"own startown end" and got[2].n_removed == len(cut) + 2
+    else:
+        got = {r.doc_id: r for r in substring_dedup.substring_dedup(df).collect()}
+        assert got[1].n_removed == 0 and got[2].kept == b"own start own end" and got[2].n_removed == 20_000
+
+
+def test_kept_columns_travel_with_their_rows(spark):
+    rows = [(7, "x" * 60 + "a", {"k": [1]}, 1.5), (7, "x" * 60 + "b", None, None), (None, None, {"z": []}, 2.0), (9, "x" * 60, {}, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept map<string,array<int>>, n_removed double")
+    got = suffix_dedup.suffix_dedup(df, keep=["doc_id", "kept", "n_removed"]).collect()
+    assert sorted(((r.row.doc_id, r.row.kept, r.row.n_removed, r.n_bytes) for r in got), key=str) == sorted(((i, k, n, len(t or "")) for i, t, k, n in rows), key=str)
 
 
 def test_suffix_dedup_of_an_empty_table(spark):
