@@ -142,8 +142,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     def emit(rows: pa.Table) -> pa.Table:
         return S.table(sketch.emit(rows["block"][0].as_py(), _Shingles(rows, n).h))
 
-    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE), sketch)
-    sets = save(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sets(percent, n, sketch), _SETS))
+    answers = S.merged(dealt.groupBy("block").applyInArrow(K.lean(emit), S.WIRE), sketch)
+    sets = save(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(K.lean(_sets(percent, n, sketch)), _SETS))
 
     classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     heads = sets.where("tokens IS NOT NULL").join(classes, "digest").where("doc_id = rep")

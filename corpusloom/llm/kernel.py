@@ -7,6 +7,8 @@ handful of numpy passes and no Python loop touches single words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -153,12 +155,9 @@ def hash_windows(h: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
 def window_starts(first_word: np.ndarray, n: int) -> np.ndarray:
     """Word indices at which a window of n words lies inside one document."""
     total = int(first_word[-1])
-    ok = np.zeros(total + 1, np.int8)
     a, b = first_word[:-1], first_word[1:] - n + 1
     has = b > a
-    np.add.at(ok, a[has], 1)
-    np.add.at(ok, b[has], -1)
-    return np.flatnonzero(np.cumsum(ok[:-1]))
+    return np.flatnonzero(covered(total, a[has], b[has]))
 
 
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -169,10 +168,7 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places lie in any [start, end)."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, ends, -1)
-    return np.cumsum(d[:-1]) > 0
+    return np.cumsum(np.bincount(starts, minlength=n + 1)[:n] - np.bincount(ends, minlength=n + 1)[:n]) > 0
 
 
 def member(values: np.ndarray, query: np.ndarray, bits: int = 22) -> np.ndarray:
@@ -192,6 +188,35 @@ def member(values: np.ndarray, query: np.ndarray, bits: int = 22) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the machine: workers live on between stages, and executors are small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f):
+    """A group or cogroup function that releases memory at its end."""
+    if f.__code__.co_argcount == 1:
+
+        def run(rows):
+            try:
+                return f(rows)
+            finally:
+                release()
+    else:
+
+        def run(rows, others):
+            try:
+                return f(rows, others)
+            finally:
+                release()
+
+    return run
+
+
 def cut(buf: np.ndarray, keep: np.ndarray, off: np.ndarray) -> pa.Array:
     """The kept bytes of each document as a binary array."""
     upto = np.zeros(len(buf) + 1, np.int64)

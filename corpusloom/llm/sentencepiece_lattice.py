@@ -486,11 +486,11 @@ def encode(docs: DataFrame, model: str | Pieces, id_col: str = "doc_id", text_co
         out = {"doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == K.NULL_ID), "text": text, "ids": values, "n_tokens": pa.array(np.diff(edge), pa.int64())}
         return pa.table(out | ({"decoded": _texts(tokens, edge, table)} if decoded else {}))
 
-    sent = dealt.groupBy("block").applyInArrow(request, _SENT).repartition(n, "shard")
-    units = sent.groupBy("shard").applyInArrow(merge, "key long, unit string").repartition(n, "key")
+    sent = dealt.groupBy("block").applyInArrow(K.lean(request), _SENT).repartition(n, "shard")
+    units = sent.groupBy("shard").applyInArrow(K.lean(merge), "key long, unit string").repartition(n, "key")
     known = encode_units(units, pieces).withColumn("shard", F.shiftright("key", 32))
-    answers = sent.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, S.WIRE)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put, "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decoded)
+    answers = sent.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(K.lean(answer), S.WIRE)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(K.lean(put), "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decoded)
 
 
 def decode(rows: DataFrame, model: str | Pieces, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernel import NULL_ID, U64, Block, member, mix, to_block
+from corpusloom.llm.kernel import NULL_ID, U64, Block, lean, member, mix, release, to_block
 
 CELL_BITS = 22
 CELLS_PER_KEY = 4
@@ -169,7 +169,7 @@ def merge_shard(rows: pa.Table) -> pa.Table:
 
 def merged(emitted: DataFrame, sketch: Sketch) -> DataFrame:
     """Block records in, answers to blocks out; one task per shard, shards of fixed width."""
-    return emitted.repartition(max(sketch.rows * sketch.shards, LEAST_BLOCKS), "key").groupBy("key").applyInArrow(merge_shard, WIRE)
+    return emitted.repartition(max(sketch.rows * sketch.shards, LEAST_BLOCKS), "key").groupBy("key").applyInArrow(lean(merge_shard), WIRE)
 
 
 #: Bytes of text that one block holds on average, and the least number of blocks.
@@ -188,7 +188,7 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, keep: lis
     So neither null ids nor one id of many rows make a hot block.  `keep` names columns that travel along."""
 
     def pack(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             block = batch["__block"].to_numpy()
             order = np.argsort(block, kind="stable")
             text, ids = batch["__text"].cast(pa.large_binary()).take(pa.array(order)), batch["__id"].take(pa.array(order))
@@ -205,6 +205,7 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, keep: lis
                 body = _squeeze(bytes(raw[off[a] : off[b]]))
                 out.append((int(block[order[a]]), head + len(body).to_bytes(8, "little") + body + (_table_bytes(rest.slice(a, b - a)) if keep else b"")))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["block", "body"])
+        release()
 
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias("__block"), key.alias("__id"), text.alias("__text"), *(keep or []))

@@ -158,11 +158,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         removed = K.covered(len(w.starts), gone, gone + window)
         return _finish(w, removed)
 
-    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE), sketch)
-    entries = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(suspects, S.WIRE)
-    verdicts = entries.repartition(n, "key").groupBy("key").applyInArrow(_earliest, S.WIRE)
+    answers = S.merged(dealt.groupBy("block").applyInArrow(K.lean(emit), S.WIRE), sketch)
+    entries = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(K.lean(suspects), S.WIRE)
+    verdicts = entries.repartition(n, "key").groupBy("key").applyInArrow(K.lean(_earliest), S.WIRE)
     told = answers.unionByName(verdicts)
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, OUT)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(K.lean(remove), OUT)
 
 
 def _result(ids, n_words, n_removed, kept, spans) -> pa.Table:

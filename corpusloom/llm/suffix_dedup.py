@@ -78,7 +78,7 @@ class _Anchors:
     def weights(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes and the number of documents that hold each."""
         ids = self.block.ids[self.doc]
-        order = np.argsort(self.h, kind="stable")  # places are in id order
+        order = _by_key(self.h)  # places are in id order
         h, ids = self.h[order], ids[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
@@ -147,12 +147,19 @@ def _rows(buf: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (key, id), and which sorted rows start a group; rows of one key come in id order."""
-    order = np.argsort(key, kind="stable")
+    order = _by_key(key)
     head = np.ones(len(key), bool)
     head[1:] = key[order][1:] != key[order][:-1]
     return order, head
 
 
+def _by_key(key: np.ndarray) -> np.ndarray:
+    """Stable order of keys: a fast sort that is not stable, and then places inside each run of equal keys."""
+    order = np.argsort(key)
+    run = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+    return np.sort(run * len(key) + order) - run * len(key)
+
+
 def _digest(rows: np.ndarray) -> np.ndarray:
     w = as_words(rows)
     acc = np.zeros(len(rows), np.uint64)
@@ -180,7 +187,6 @@ def _sort_strings(length: int):
             mosts.append(most), leasts.append(least), rows.append(r)
         doc, most, least, rows = np.concatenate(ds), np.concatenate(mosts).astype(np.int64), np.concatenate(leasts).astype(np.int64), np.concatenate(rows)
         total = len(doc)
-        by_doc = np.argsort(doc, kind="stable")
         order, lcp = deep_shallow(np.ascontiguousarray(rows[:, left:]))
         back, back_lcp = deep_shallow(np.ascontiguousarray(rows[:, :left][:, ::-1]), 1)
         right_class, left_class = np.empty(total, np.int64), np.empty(total, np.int64)
@@ -189,36 +195,35 @@ def _sort_strings(length: int):
         for a in range(low, high + 1):
             right_class[order] = np.cumsum(lcp < length - a)
             left_class[back] = np.cumsum(back_lcp < a)
-            i = by_doc[(least[by_doc] <= a) & (a <= most[by_doc])]
+            i = np.flatnonzero((least <= a) & (a <= most))
             if not len(i):
                 continue
             pair = right_class[i] * (total + 1) + left_class[i]
-            by = np.argsort(pair, kind="stable")
-            p = pair[by]
+            by = np.argsort(pair)
+            p, i = pair[by], i[by]
             head = np.ones(len(by), bool)
             head[1:] = p[1:] != p[:-1]
-            best = doc[i[by]][np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
-            i = i[by]
-            better = best < doc[i]
-            runs.append((i[better], np.full(int(better.sum()), a), best[better]))
+            own = doc[i]
+            best = np.minimum.reduceat(own, np.flatnonzero(head))[np.cumsum(head) - 1]
+            better = np.flatnonzero(best < own)
+            runs.append((i[better], np.full(len(better), a)))
         if not runs:
             return S.table([])
-        e, a, best = (np.concatenate(z) for z in zip(*runs, strict=True))
+        e, a = (np.concatenate(z) for z in zip(*runs, strict=True))
         if not len(e):
             return S.table([])
-        by = np.lexsort((a, e))
-        e, a, best = e[by], a[by], best[by]
+        by = np.argsort(e * 256 + a)
+        e, a = e[by], a[by]
         head = np.ones(len(e), bool)
-        head[1:] = (e[1:] != e[:-1]) | (a[1:] != a[:-1] + 1) | (best[1:] != best[:-1])
+        head[1:] = (e[1:] != e[:-1]) | (a[1:] != a[:-1] + 1)
         f = np.flatnonzero(head)
         last = np.append(f[1:], len(e)) - 1
-        e, lo, hi, best = e[f], a[f].astype(np.uint8), a[last].astype(np.uint8), best[f]
+        e, lo, hi = e[f], a[f].astype(np.uint8), a[last].astype(np.uint8)
         out, base = [], 0
         for k, key, block in zip(n, table["key"].to_pylist(), table["block"].to_pylist(), strict=True):
             x, y = np.searchsorted(e, [base, base + k])
             if y > x:
-                planes = best[x:y].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-                out.append((-1 - key, block, int(y - x).to_bytes(4, "little") + (e[x:y] - base).astype(np.uint32).tobytes() + lo[x:y].tobytes() + hi[x:y].tobytes() + planes))
+                out.append((-1 - key, block, int(y - x).to_bytes(4, "little") + (e[x:y] - base).astype(np.uint32).tobytes() + lo[x:y].tobytes() + hi[x:y].tobytes()))
             base += k
         return S.table(out)
 
@@ -259,29 +264,31 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         to = ((seg.h >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         edges = np.searchsorted(to[order], np.arange(n + 1))
-        es, los, his, bests = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+        es, los, his = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
         for key, body in zip(verdicts["key"].to_pylist(), verdicts["body"].to_pylist(), strict=True):
             p, k = -1 - key, int.from_bytes(body[:4], "little")
             es.append(order[edges[p] : edges[p + 1]][np.frombuffer(body, np.uint32, k, 4)])
             los.append(np.frombuffer(body, np.uint8, k, 4 + 4 * k))
             his.append(np.frombuffer(body, np.uint8, k, 4 + 5 * k))
-            bests.append(np.frombuffer(body, np.uint8, 8 * k, 4 + 6 * k).reshape(8, k).T.copy().view("<i8").ravel())
-        e, lo, hi, best = map(np.concatenate, (es, los, his, bests))
-        gone = []
-        for a in range(length - GRAM + 1):
-            least = seg.ids.copy()
-            i = (lo <= a) & (a <= hi)
-            least[e[i]] = best[i]
-            s = seg.at - a
-            gone.append(s[(seg.lo <= s) & (s <= seg.hi) & (seg.occ > least[seg.entry])])
-        s = np.concatenate(gone)
-        return _result(anchors, K.covered(len(anchors.block.buf), s, s + length)).cast(out)
-
-    answers = S.merged(dealt.groupBy("block").applyInArrow(emit, S.WIRE), sketch)
-    sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(segments, S.WIRE)
-    verdicts = sent.repartition(n, "key").groupBy("key").applyInArrow(_sort_strings(length), S.WIRE)
+        e, lo, hi = np.concatenate(es), np.concatenate(los).astype(np.int64), np.concatenate(his).astype(np.int64)
+        # an occurrence in a later document of the block goes whole; one in the block's first goes where a verdict says
+        late = seg.occ > seg.ids[seg.entry]
+        first = np.flatnonzero(~late)
+        by = first[np.argsort(seg.entry[first])]
+        upto = np.searchsorted(seg.entry[by], np.arange(len(seg.ids) + 1))
+        n_of = np.diff(upto)[e]
+        v = np.repeat(np.arange(len(e)), n_of)
+        o = by[K.ranges(upto[:-1][e], n_of)]
+        a, b = np.maximum(seg.lo[o], seg.at[o] - hi[v]), np.minimum(seg.hi[o], seg.at[o] - lo[v])
+        some = a <= b
+        s, t = np.concatenate([seg.lo[late], a[some]]), np.concatenate([seg.hi[late], b[some]])
+        return _result(anchors, K.covered(len(anchors.block.buf), s, t + length)).cast(out)
+
+    answers = S.merged(dealt.groupBy("block").applyInArrow(K.lean(emit), S.WIRE), sketch)
+    sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(K.lean(segments), S.WIRE)
+    verdicts = sent.repartition(n, "key").groupBy("key").applyInArrow(K.lean(_sort_strings(length)), S.WIRE)
     told = answers.unionByName(verdicts)
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, schema)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(K.lean(remove), schema)
 
 
 def _result(a: _Anchors, removed: np.ndarray) -> pa.Table:
