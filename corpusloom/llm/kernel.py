@@ -116,7 +116,7 @@ def _eights(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,)).copy()
 
 
-def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 22, salt: int = 1) -> np.ndarray:
+def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20, salt: int = 1) -> np.ndarray:
     """A 64-bit hash of each word's bytes; another odd salt gives an independent one."""
     by = U64(salt)
     out = np.empty(len(starts), np.uint64)

@@ -37,7 +37,7 @@ from corpusloom.llm.suffix_sort import as_words, deep_shallow
 #: Bytes of an anchor; an anchor that so many documents may hold is dealt by its strings.
 GRAM, HOT = 24, 1024
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
-_STEP = 1 << 22
+_STEP = 1 << 20
 
 
 class _Anchors:
