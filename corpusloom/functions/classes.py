@@ -11,10 +11,13 @@ from corpusloom.functions.udfs import is_nfc
 
 # ---- Fixed values: line token classes (a line counts once for each class that it holds) ----
 _H = HEBREW
-_LATIN_TOKEN = r"[A-Za-z][A-Za-z0-9./&+-]*"
+_LATIN_TOKEN = r"[A-Za-z][A-Za-z0-9&.+-]*"
 _MONTHS_HE = "ינואר|פברואר|מרץ|אפריל|מאי|יוני|יולי|אוגוסט|ספטמבר|אוקטובר|נובמבר|דצמבר"
 _MONTHS_EN = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-_UNITS = r"(?:mm|cm|km|m|kg|mg|g|ml|l|kW|kWh|W|V|A|Hz|kHz|MHz|GHz|KB|MB|GB|TB|Mbps|Gbps|ms|min|h|px|dpi|°C|%)"
+_UNITS = (
+    r"(?:GB|TB|MB|KB|GHz|MHz|Hz|Mbps|Gbps|kWh|kW|kVA|W|V|A|mAh|mm|cm|km|m|kg|g|ml|L|inch|lux|dB|bar"
+    r'|מ"ר|מ"ק|ס"מ|מ"מ|ק"ג|ק"מ|קמ"ש|ליטר|מטר|גרם|טון|וואט|יח\')'
+)
 TOKEN_CLASSES = {
     "latin_any": r"[A-Za-z]",
     "latin_word": r"(?<![A-Za-z0-9])[A-Za-z][a-z]{2,}(?![A-Za-z0-9])",
@@ -77,21 +80,65 @@ MARK_KINDS = ("gershayim_in_word", "geresh_after_letter", "em_dash", "en_dash_ra
 # ---- Fixed values: sample features ----
 FINAL_FORMS = "ךםןףץ"
 _DATE = r"(?U)\b\d{1,2}/\d{1,2}/\d{2,4}\b"
-_IDENTIFIER = "\\b[A-Za-z]+-[A-Za-z0-9\\u0590-\\u05ff-]*\\d[A-Za-z0-9\\u0590-\\u05ff-]*\\b|[\\u0590-\\u05ff]-\\d{2,5}-\\d{1,3}|מספר תיק \\d+/\\d+|מזהה \\S+"
+_IDENTIFIER = "(?U)\\b[A-Za-z]+-[A-Za-z0-9\\u0590-\\u05ff-]*\\d[A-Za-z0-9\\u0590-\\u05ff-]*\\b|[\\u0590-\\u05ff]-\\d{2,5}-\\d{1,3}|מספר תיק \\d+/\\d+|מזהה \\S+"
 _PUNCTUATION = r"""[.,:;!?'"()\-/]"""
 _POINT = "[\\u0591-\\u05bd\\u05bf\\u05c1\\u05c2\\u05c4\\u05c5\\u05c7]"
 # ---- Fixed values: privacy ----
 RESERVED_HOST = r"^(?:[a-z0-9-]+\.)*(?:[a-z0-9-]+\.test|example\.(?:com|org|net))$"
-BRANDS = ("microsoft", "windows", "excel", "outlook", "google", "gmail", "android", "apple", "iphone", "ipad", "macos", "cisco", "dell")
+DOMAIN_ENDS = "com|org|net|il|io|co|gov|edu|info|biz|test|example|invalid|ai|app|dev|me|tv|uk|us|eu"
+BRANDS = (
+    "microsoft|windows|excel|outlook|google|gmail|android|apple|iphone|ipad|macos|cisco|dell|"
+    "lenovo|samsung|intel|nvidia|oracle|sap|ibm|xerox|siemens|philips|bosch|toyota|tesla|amazon|aws|azure|"
+    "whatsapp|facebook|linkedin|youtube|adobe|autocad|vmware|salesforce"
+)
 
 
 def has_class(line: Column, name: str, table: dict[str, str] = TOKEN_CLASSES) -> Column:
-    return line.rlike(table[name])
+    return line.rlike(unicode_digits(table[name]))
+
+
+#: What a line must hold for a class to be looked for: most lines lack it, and a plain search is cheap.
+_NEEDS = {
+    "date_slash": "/", "date_dot": ".", "date_iso": "-", "date_hebrew_month": " ", "time_of_day": ":", "percent": "%", "nis": "NIS", "email": "@", "url_or_domain": ".test",
+    "parenthesised_latin": "(", "parenthesised_hebrew": "(", "grouped_number": ",", "hyphenated_prefix": "-",
+}
+_DIGIT = ("alphanumeric_code", "date_slash", "date_dot", "date_iso", "date_month_year", "date_hebrew_month", "date_latin_month", "quarter_or_half", "time_of_day", "number_with_unit", "percent", "section_number", "grouped_number", "digits_no_latin")
+_LATIN = (
+    "latin_any", "latin_word", "acronym", "latin_run_2plus", "latin_run_3plus", "latin_at_start", "latin_at_end", "latin_in_middle", "alphanumeric_code", "date_latin_month",
+    "quarter_or_half", "nis", "foreign_currency", "email", "url_or_domain", "parenthesised_latin",
+)
+_HEBREW = ("latin_in_middle", "date_hebrew_month", "parenthesised_hebrew", "section_number", "hyphenated_prefix", "gershayim_in_word", "geresh_after_letter", "shekel_abbreviation")
 
 
 def class_counts(line: Column, table: dict[str, str] = TOKEN_CLASSES) -> list[Column]:
-    """One aggregate for each class: lines that hold it; all run in one pass."""
-    return [F.count_if(line.rlike(p)).alias(n) for n, p in table.items()]
+    """One aggregate for each class: lines that hold it; all run in one pass.
+
+    Columns __digit, __latin and __hebrew, where the rows have them, say what a line holds and spare the patterns that need it."""
+    return [F.count_if(class_test(line, n, p)).alias(n) for n, p in table.items()]
+
+
+def unicode_digits(pattern: str) -> str:
+    """The pattern with its digit class as the fixed values mean it: digits of all scripts."""
+    return pattern.replace("\\d", "\\p{Nd}")
+
+
+def class_test(line: Column, name: str, pattern: str) -> Column:
+    test = line.rlike(unicode_digits(pattern))
+    if TOKEN_CLASSES.get(name) != pattern:
+        return test
+    if name in _NEEDS:
+        test = line.contains(_NEEDS[name]) & test
+    for names, flag in ((_DIGIT, "__digit"), (_LATIN, "__latin"), (_HEBREW, "__hebrew")):
+        if name in names:
+            test = F.col(flag) & test
+    return test
+
+
+def class_flags(line: Column) -> dict[str, Column]:
+    """The flags that `class_test` asks for."""
+    less = lambda chars: F.octet_length(F.translate(line, chars, "")) < F.octet_length(line)
+    letters = "".join(map(chr, range(ord("a"), ord("z") + 1)))
+    return {"__digit": line.rlike(r"\p{Nd}"), "__latin": less(letters + letters.upper()), "__hebrew": line.rlike(f"[{_H}]")}
 
 
 def mark_kind_count(line: Column) -> Column:
@@ -161,29 +208,44 @@ def orthography_faults(line: Column) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in rules.items()]))
 
 
-def privacy_hits(line: Column) -> Column:
-    """Names of the privacy rules that a line breaks."""
+def privacy_rules(line: Column) -> dict[str, Column]:
+    """Each privacy rule as a column that is true where a line breaks it."""
     runs = F.regexp_extract_all(line, F.lit(r"(\d+)"), F.lit(1))
     joined = F.regexp_extract_all(line, F.lit(r"(\d+(?:[- ]\d+)+)"), F.lit(1))
     hosts = F.regexp_extract_all(line, F.lit(r"[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]*[A-Za-z0-9])"), F.lit(1))
     urls = F.regexp_extract_all(line, F.lit(r"(?:https?://|www\.)([A-Za-z0-9.-]*[A-Za-z0-9])"), F.lit(1))
-    rules = {
+    bare = F.regexp_extract_all(line, F.lit(rf"(?i)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{DOMAIN_ENDS}))(?![A-Za-z0-9])"), F.lit(1))
+    named = F.transform(F.concat(hosts, urls, bare), lambda h: F.regexp_replace(F.lower(h), r"^www\.", ""))
+    return {
         "email": F.size(hosts) > 0,
         "url": F.size(urls) > 0,
-        "open_domain": F.exists(F.concat(hosts, urls), lambda h: ~F.lower(h).rlike(RESERVED_HOST)),
+        "open_domain": F.exists(named, lambda h: ~h.rlike(RESERVED_HOST)),
         "long_digit_run": F.exists(runs, lambda r: F.char_length(r) >= 7),
         "identity_number": F.exists(runs, lambda r: (F.char_length(r) >= 5) & check_digit_valid(r)),
         "joined_digits": F.exists(joined, lambda j: F.char_length(F.regexp_replace(j, r"\D", "")) >= 9),
-        "brand": line.rlike(r"(?i)(?<![A-Za-z])(?:" + "|".join(BRANDS) + r")(?![A-Za-z])"),
+        "brand": line.rlike(rf"(?i)(?<![A-Za-z])(?:{BRANDS})(?![A-Za-z])"),
     }
+
+
+def _broken(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in rules.items()]))
 
 
+def privacy_hits(line: Column) -> Column:
+    """Names of the privacy rules that a line breaks."""
+    return _broken(privacy_rules(line))
+
+
 def hygiene_faults(content: Column) -> Column:
     """Names of the file rules that a whole text breaks."""
+    return _broken(hygiene_rules(content))
+
+
+def hygiene_rules(content: Column) -> dict[str, Column]:
+    """Each file rule as a column that is true where a text breaks it."""
     each = F.split(content, "\n", -1)
     body = F.slice(each, 1, F.size(each) - 1)
-    rules = {
+    return {
         "bom": content.startswith("﻿"),
         "carriage_return": content.contains("\r"),
         "no_final_line_feed": ~content.endswith("\n"),
@@ -192,7 +254,6 @@ def hygiene_faults(content: Column) -> Column:
         "double_space": content.contains("  "),
         "tab": content.contains("\t"),
     }
-    return F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in rules.items()]))
 
 
 def admissibility(line: Column, levels: Column) -> Column:

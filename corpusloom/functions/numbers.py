@@ -14,7 +14,7 @@ def number_tokens(text: Column) -> Column:
 
 
 def number_shape(t: Column) -> Column:
-    """Shape class of a number token; the first that fits."""
+    """Shape class of a number token; the first that fits.  Names, patterns and order are fixed values."""
     return (
         F.when(t.endswith("%"), "percent")
         .when(t.rlike(r"^\d{1,2}[./]\d{1,2}[./]\d{2,4}$"), "date")
@@ -56,8 +56,8 @@ def hebrew_numeral(n: Column) -> Column:
 
 
 def hebrew_numeral_marked(n: Column) -> Column:
-    """1 to 499 with a geresh after one letter, or gershayim before the last of several."""
+    """1 to 499 with an apostrophe after one letter, or a double quote before the last of several."""
     bare = hebrew_numeral(n)
     size = F.char_length(bare)
-    marked = F.when(size == 1, F.concat(bare, F.lit("׳"))).otherwise(F.concat(F.substr(bare, F.lit(1), size - 1), F.lit("״"), F.substr(bare, size, F.lit(1))))
+    marked = F.when(size == 1, F.concat(bare, F.lit("'"))).otherwise(F.concat(F.substr(bare, F.lit(1), size - 1), F.lit('"'), F.substr(bare, size, F.lit(1))))
     return F.when(n <= 499, marked)

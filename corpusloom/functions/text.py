@@ -20,19 +20,24 @@ NIQQUD = "ְ-ׇּׁׂ"
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none at either end."""
-    one = F.regexp_replace(text, f"[{SPACES}]+", " ")
-    return F.regexp_replace(one, "^ | $", "")
+    return F.array_join(tokens(text), " ")
+
+
+# The characters of SPACES and the single ones of LINE_ENDS.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def tokens(text: Column) -> Column:
     """Words between white space; an empty text has none."""
-    return F.filter(F.split(collapse(text), " "), lambda t: t != "")
+    plain = F.translate(text, _SPACES, " " * len(_SPACES))  # one pass over the characters, no pattern
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def lines_stripped(text: Column) -> Column:
     """Lines at any line end, stripped, blank ones dropped."""
-    cut = F.transform(F.split(text, LINE_ENDS), lambda x: F.regexp_replace(x, f"^[{SPACES}]+|[{SPACES}]+$", ""))
-    return F.filter(cut, lambda x: x != "")
+    plain = F.translate(text, _LINE_ENDS, "\n" * len(_LINE_ENDS))  # an empty line more for CR LF is dropped below
+    return F.array_remove(F.transform(F.split(plain, "\n"), lambda x: F.trim(x, F.lit(_SPACES))), "")
 
 
 def lines_strict(text: Column) -> Column:
@@ -49,9 +54,7 @@ def word_ngrams(words: Column, n: int) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Runs of n characters, spaces included, with repeats."""
-    size = F.char_length(text)
-    runs = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))  # one walk over the text
 
 
 def characters(text: Column) -> Column:

@@ -9,19 +9,20 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+@F.arrow_udf(StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
 
 def nfc(text: Column) -> Column:
-    """Normal form C; plain ASCII never leaves the JVM's side of the plan's condition."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfc(text))
+    """Normal form C.  Spark calls the function for every row, so texts of ASCII only go to it as nulls."""
+    return F.coalesce(_nfc(F.when(F.octet_length(text) != F.char_length(text), text)), text)
 
 
 def is_nfc(text: Column) -> Column:
@@ -77,10 +78,12 @@ def rtl_order(s: pd.Series) -> pd.Series:
 
 
 def number_context(token: str, read: str) -> str:
-    """How a missed number of several groups shows up in a reading; the first class that fits."""
+    """How a missed number of several groups shows up in a reading; the first class that fits.
+
+    Class names, their order and the gap patterns are fixed values."""
     left, right = r"(?<!\d)(?<!\d[.,/])", r"(?!\d)(?![.,/]\d)"
     groups = re.split(r"[.,/]", token)
-    space = r"\s*[.,/]\s+|\s+[.,/]?\s*"
+    space = r"\s*[.,/]?\s+[.,/]?\s*|\s+"
     has = lambda gs, gap: re.search(left + f"(?:{gap})".join(map(re.escape, gs)) + right, read)
     back = groups[::-1]
     classes = [

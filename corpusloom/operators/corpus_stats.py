@@ -52,10 +52,16 @@ def length_histogram(lines: DataFrame, kind: str = "open") -> DataFrame:
 
 def class_lines(lines: DataFrame, table: dict[str, str] = C.TOKEN_CLASSES) -> DataFrame:
     """(class, n): lines that hold each class, in one pass."""
-    one = lines.agg(*C.class_counts(F.col("line"), table))
+    flagged = lines.select("line", *[c.alias(n) for n, c in C.class_flags(F.col("line")).items()])
+    one = flagged.agg(*C.class_counts(F.col("line"), table))
     return one.unpivot([], list(table), "class", "n")
 
 
+def rule_counts(rows: DataFrame, rules: dict[str, Column], name: str = "rule") -> DataFrame:
+    """(rule, n): rows for which each rule holds, in one pass, zero where none does."""
+    return rows.agg(*[F.count_if(c).alias(k) for k, c in rules.items()]).unpivot([], list(rules), name, "n")
+
+
 def mark_kinds(lines: DataFrame) -> DataFrame:
     return lines.groupBy(C.mark_kind_count(F.col("line")).alias("kinds")).agg(F.count("*").alias("n"))
 
@@ -193,39 +199,63 @@ def quantile_fit(rows: DataFrame, value: str, by: list[str], points: tuple[float
     return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), *cols).where(F.col("n") >= least)
 
 
-def ks_wasserstein(rows: DataFrame, value: str, side: str, a: str, b: str) -> DataFrame:
+def ks_wasserstein(rows: DataFrame, value: str, side: str, a: str, b: str, ranges: int = 64) -> DataFrame:
     """One row: the greatest gap (ks) and the area (w1) between two cumulative distributions.
 
-    Counts of distinct values are summed by ranges of values; only running totals of ranges are carried across."""
+    Counts of distinct values are summed by `ranges` ranges of values; only the ranges' totals are carried across."""
     knots = rows.where(F.col(side).isin(a, b) & F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count_if(F.col(side) == a).alias("na"), F.count_if(F.col(side) == b).alias("nb"))
-    total = knots.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    w = Window.orderBy("x")
-    cum = knots.withColumn("ca", F.sum("na").over(w)).withColumn("cb", F.sum("nb").over(w)).withColumn("dx", F.lead("x").over(w) - F.col("x"))
-    gap = F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))
-    return cum.crossJoin(F.broadcast(total)).agg(F.max(gap).alias("ks"), F.coalesce(F.sum(gap * F.col("dx")), F.lit(0.0)).alias("w1"))
-
-
-def bootstrap(rows: DataFrame, cluster: str, a_err: str, b_err: str, size: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """One row: rates of two readers, their difference and its 2.5 and 97.5 percentiles over resampled clusters.
-
-    Clusters are summed in Spark; a draw gives each cluster a Poisson weight, so draws are sums that any task can add
-    to and no list of clusters is gathered."""
+    bounds = [] if ranges < 2 else knots.stat.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.001)  # any cut is right; it only evens the ranges
+    at = F.lit(0)
+    for b in sorted(set(bounds)):
+        at = at + (F.col("x") > b).cast("int")
+    cut = knots.withColumn("r", at)
+    # a row for each range: its totals, and where the next range with values begins
+    per = cut.groupBy("r").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("x").alias("first"))
+    up = Window.orderBy("r")
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    carried = per.select("r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in ("na", "nb")], F.sum("na").over(whole).alias("ta"), F.sum("nb").over(whole).alias("tb"), F.lead("first").over(up).alias("next"))
+    w = Window.partitionBy("r").orderBy("x")
+    cum = cut.join(F.broadcast(carried), "r").withColumn("ca", F.col("bna") + F.sum("na").over(w)).withColumn("cb", F.col("bnb") + F.sum("nb").over(w)).withColumn("dx", F.coalesce(F.lead("x").over(w), "next") - F.col("x"))
+    gap = F.abs(T.ratio(F.col("ca"), F.col("ta")) - T.ratio(F.col("cb"), F.col("tb")))
+    return cum.agg(F.max(gap).alias("ks"), F.coalesce(F.sum(gap * F.col("dx")), F.lit(0.0)).alias("w1"))
+
+
+def bootstrap(rows: DataFrame, cluster: str, a_err: str, b_err: str, size: str, draws: int = 10_000, seed: int = 0, chunk: int = 1_000) -> DataFrame:
+    """One row: rates of two readers, their difference and its 2.5 and 97.5 percentiles over k of k clusters drawn with replacement.
+
+    Clusters are summed in Spark and dealt into chunks of about `chunk`.  How many of a draw's k picks fall into each
+    chunk is multinomial; given that, a chunk picks among its own clusters alone, so draws are sums that any task can
+    add to and no list of clusters is gathered.  A single chunk draws all picks at once from the seed."""
     import numpy as np
     import pandas as pd
 
-    sums = rows.groupBy(cluster).agg(F.sum(a_err).alias("a"), F.sum(b_err).alias("b"), F.sum(size).alias("n"))
-
-    def draw(batches):
-        total = np.zeros((3, draws + 1))
-        for pdf in batches:
-            for key, a, b, n in zip(pdf[cluster], pdf["a"], pdf["b"], pdf["n"], strict=True):
-                own = np.random.default_rng([seed, int.from_bytes(str(key).encode()[-8:], "big")])
-                weight = np.append(own.poisson(1.0, draws), 1)
-                total += np.outer([a, b, n], weight)
-        yield pd.DataFrame({"draw": np.arange(draws + 1), "a": total[0], "b": total[1], "n": total[2]})
-
-    per = sums.mapInPandas(draw, "draw long, a double, b double, n double").groupBy("draw").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
-    rate = per.withColumn("delta", T.ratio(F.col("a") - F.col("b"), F.col("n")))
+    sums = rows.groupBy(F.col(cluster).cast("string").alias("cluster")).agg(F.sum(a_err).cast("double").alias("a"), F.sum(b_err).cast("double").alias("b"), F.sum(size).cast("double").alias("n"))
+    k = sums.count()
+    parts = max(1, -(-k // chunk))
+    sums = sums.withColumn("chunk", F.pmod(F.xxhash64("cluster"), F.lit(parts)))
+    have = {r["chunk"]: r["m"] for r in sums.groupBy("chunk").agg(F.count("*").alias("m")).collect()} if parts > 1 else {0: k}
+    order = sorted(have)
+    share = np.random.default_rng([seed, 1]).multinomial(k, [have[c] / k for c in order], size=draws) if parts > 1 else None
+    picks = {c: share[:, i] for i, c in enumerate(order)} if parts > 1 else {}
+
+    def draw(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("cluster")
+        values, m, c = own[["a", "b", "n"]].to_numpy(), len(own), int(own["chunk"].iloc[0])
+        total = np.empty((draws + 1, 3))
+        rng = np.random.default_rng(seed if parts == 1 else [seed, 2, c])
+        if parts == 1:
+            index = rng.integers(0, m, size=(draws, m))
+            for i in range(draws):
+                total[i] = np.bincount(index[i], minlength=m) @ values
+        else:
+            for i, n in enumerate(picks[c]):
+                total[i] = np.bincount(rng.integers(0, m, size=n), minlength=m) @ values
+        total[draws] = values.sum(axis=0)
+        return pd.DataFrame({"draw": np.arange(draws + 1), "a": total[:, 0], "b": total[:, 1], "n": total[:, 2]})
+
+    per = sums.groupBy("chunk").applyInPandas(draw, "draw long, a double, b double, n double").groupBy("draw").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+    rate = per.withColumn("delta", T.ratio(F.col("a"), F.col("n")) - T.ratio(F.col("b"), F.col("n")))
     real = F.col("draw") == draws
     return rate.agg(F.max(F.when(real, T.ratio(F.col("a"), F.col("n")))).alias("a_rate"), F.max(F.when(real, T.ratio(F.col("b"), F.col("n")))).alias("b_rate"), F.max(F.when(real, F.col("delta"))).alias("delta"), F.percentile(F.when(~real, F.col("delta")), F.lit(0.025)).alias("low"), F.percentile(F.when(~real, F.col("delta")), F.lit(0.975)).alias("high"))
 

@@ -33,49 +33,60 @@ def grams(lines: DataFrame, n: int, chars: bool = False, distinct: bool = True)
 
 
 def directed_overlap(source: DataFrame, target: DataFrame, ns: tuple[int, ...] = (1, 2, 3), char_n: int = 5) -> DataFrame:
-    """(measure, total, seen, share): share of target types and tokens that the source has; denominators of at least 1."""
-    lines_seen = target.select("line").distinct().join(source.select("line").distinct(), "line", "left_semi")
-    parts = [target.select("line").distinct().agg(F.count("*").alias("total")).crossJoin(lines_seen.agg(F.count("*").alias("seen"))).select(F.lit("lines").alias("measure"), "total", "seen")]
-    jobs = [(f"word{n}", n, False) for n in ns] + [(f"char{char_n}", char_n, True)]
-    for name, n, chars in jobs:
-        counts = grams(target, n, chars, distinct=False).groupBy("gram").agg(F.count("*").alias("n"))
-        known = grams(source, n, chars).withColumn("known", F.lit(1))
-        both = counts.join(known, "gram", "left")
-        parts.append(both.agg(F.count("*").alias("total"), F.count("known").alias("seen")).select(F.lit(f"{name}_types").alias("measure"), "total", "seen"))
-        if not chars:
-            parts.append(both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("seen")).select(F.lit(f"{name}_tokens").alias("measure"), "total", "seen"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("measure", "total", "seen", (F.col("seen") / F.greatest(F.col("total"), F.lit(1))).alias("share"))
+    """(measure, total, seen, share): share of target types and tokens that the source has; denominators of at least 1.
+
+    All grams of a line come from one split of it; the source's are cut down to those of the target (broadcast where
+    its size allows) before anything is made distinct."""
+    kinds = [("lines", lambda w, line: F.array(line))] + [(f"word{n}", lambda w, line, n=n: T.word_ngrams(w, n)) for n in ns] + [(f"char{char_n}", lambda w, line: T.char_ngrams(line, char_n))]
+
+    def each(lines: DataFrame) -> DataFrame:
+        split = lines.select("line", T.tokens(F.col("line")).alias("w"))
+        every = F.array(*[F.struct(F.lit(k).alias("kind"), make(F.col("w"), F.col("line")).alias("grams")) for k, make in kinds])
+        return split.select(F.explode(every).alias("e")).select("e.kind", F.explode("e.grams").alias("gram"))
+
+    counts = each(target).groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    seen = each(source).join(_small(counts.select("kind", "gram")), ["kind", "gram"], "left_semi").distinct().withColumn("known", F.lit(1))
+    both = counts.join(seen, ["kind", "gram"], "left")
+    sums = both.groupBy("kind").agg(F.count("*").alias("types"), F.count("known").alias("types_seen"), F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("tokens_seen"))
+    measures = [("lines", "lines", "types")] + [(f"word{n}_{t}", f"word{n}", t) for n in ns for t in ("types", "tokens")] + [(f"char{char_n}_types", f"char{char_n}", "types")]
+    wanted = F.broadcast(source.sparkSession.createDataFrame(measures, "measure string, kind string, of string")).join(sums, "kind", "left")
+    pick = lambda a, b: F.coalesce(F.when(F.col("of") == "types", F.col(a)).otherwise(F.col(b)), F.lit(0))
+    out = wanted.select("measure", pick("types", "tokens").alias("total"), pick("types_seen", "tokens_seen").alias("seen"))
+    return out.withColumn("share", F.col("seen") / F.greatest(F.col("total"), F.lit(1)))
 
 
 def gram_overlap(source: DataFrame, target: DataFrame, n: int = 3, normal: bool = False, per_line: bool = False) -> DataFrame:
     """One row: target_grams, shared_grams, share, shared_lines.
 
-    `per_line` counts each target line that the source has; otherwise distinct ones.  `normal` compares normal forms."""
+    `per_line` counts each target line that the source has; otherwise distinct ones.  `normal` compares normal forms.
+    The source's grams and lines are cut down to the target's before they are made distinct."""
     if normal:
         source, target = (d.withColumn("line", nfc(F.col("line"))) for d in (source, target))
-    own, other = grams(target, n), grams(source, n)
-    shared = own.join(_small(other), "gram", "left_semi")
-    lines = target.select("line") if per_line else target.select("line").distinct()
-    shared_lines = lines.join(source.select("line").distinct(), "line", "left_semi")
-    one = own.agg(F.count("*").alias("target_grams")).crossJoin(shared.agg(F.count("*").alias("shared_grams"))).crossJoin(shared_lines.agg(F.count("*").alias("shared_lines")))
+    own = grams(target, n)
+    shared = grams(source, n, distinct=False).join(_small(own), "gram", "left_semi").distinct()
+    lines = target.groupBy("line").agg(F.count("*").alias("k"))
+    found = source.select("line").join(_small(lines.select("line")), "line", "left_semi").distinct()
+    shared_lines = lines.join(found, "line", "left_semi").agg(F.coalesce(F.sum("k") if per_line else F.count("*"), F.lit(0)).alias("shared_lines"))
+    one = own.agg(F.count("*").alias("target_grams")).crossJoin(shared.agg(F.count("*").alias("shared_grams"))).crossJoin(shared_lines)
     return one.select("target_grams", "shared_grams", T.ratio(F.col("shared_grams"), F.col("target_grams")).alias("share"), "shared_lines")
 
 
+def _kinds(lines: DataFrame, n: int) -> DataFrame:
+    """(kind, text) of distinct normal-form lines and word n-grams; blank lines are dropped."""
+    lines = lines.select(nfc(F.col("line")).alias("line")).where(F.trim("line") != "").select("line", T.word_ngrams(T.tokens(F.col("line")), n).alias("g"))
+    both = F.array(F.struct(F.lit("line").alias("kind"), F.array("line").alias("g")), F.struct(F.lit(f"word{n}").alias("kind"), F.col("g")))
+    return lines.select(F.explode(both).alias("e")).select("e.kind", F.explode("e.g").alias("text")).distinct()
+
+
 def hash_fixture(lines: DataFrame, n: int = 3) -> DataFrame:
     """(kind, sha256) of distinct normal-form lines and word n-grams; blank lines are dropped.  The text itself stays home."""
-    lines = lines.withColumn("line", nfc(F.col("line"))).where(F.trim("line") != "")
-    own = lines.select(F.lit("line").alias("kind"), T.sha256(F.col("line")).alias("sha256"))
-    return own.unionByName(grams(lines, n).select(F.lit(f"word{n}").alias("kind"), T.sha256(F.col("gram")).alias("sha256"))).distinct()
+    return _kinds(lines, n).select("kind", T.sha256(F.col("text")).alias("sha256"))
 
 
 def hashed_overlap(lines: DataFrame, fixture: DataFrame, n: int = 3) -> DataFrame:
-    """(kind, total, shared) of a corpus against a hash-only fixture."""
-    own = hash_fixture(lines, n)
-    hit = own.join(fixture.select("kind", "sha256").distinct().withColumn("hit", F.lit(1)), ["kind", "sha256"], "left")
-    return hit.groupBy("kind").agg(F.count("*").alias("total"), F.count("hit").alias("shared"))
+    """(kind, total, shared) of a corpus against a hash-only fixture; each distinct text is hashed once."""
+    known = _small(fixture.select("kind", "sha256").distinct().withColumn("hit", F.lit(1)))
+    return hash_fixture(lines, n).join(known, ["kind", "sha256"], "left").groupBy("kind").agg(F.count("*").alias("total"), F.count("hit").alias("shared"))
 
 
 def letter_words(text: Column) -> Column:
@@ -124,10 +135,11 @@ def template_refill(lines: DataFrame, most: int = 25, distinct_share: float = 0.
 def duplicate_rows(docs: DataFrame, text_col: str, order_col: str) -> DataFrame:
     """Rows with `seen_before`: the normal, space-collapsed text was seen earlier in the order.
 
-    The earliest place of each text is an aggregate, so a text with many copies is no hot task."""
-    norm = docs.withColumn("norm", F.xxhash64(T.collapse(nfc(F.coalesce(F.col(text_col), F.lit("")))))).withColumn("norm2", F.sha2(T.collapse(nfc(F.coalesce(F.col(text_col), F.lit("")))), 256))
-    first = norm.groupBy("norm2").agg(F.min(order_col).alias("first"))
-    return norm.join(first, "norm2").withColumn("seen_before", F.col(order_col) > F.col("first")).drop("norm", "norm2", "first")
+    The earliest place of each text is an aggregate; only texts with several rows are joined back, broadcast where they
+    are few, so a text with many copies is no hot task then."""
+    norm = docs.withColumn("__h", F.sha2(F.array_join(T.tokens(nfc(F.coalesce(F.col(text_col), F.lit("")))), " "), 256))
+    first = norm.groupBy("__h").agg(F.min(order_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    return norm.join(_small(first), "__h", "left").withColumn("seen_before", F.coalesce(F.col(order_col) > F.col("__first"), F.lit(False))).drop("__h", "__first")
 
 
 def duplicate_groups(rows: DataFrame, key: str) -> DataFrame:

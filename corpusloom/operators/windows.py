@@ -20,9 +20,9 @@ def region_index(lines: DataFrame, page: list[str], region: str, pos: str = "pos
     return first.withColumn("region_index", F.row_number().over(w) - 1).withColumn("reading_order_index", F.when(F.col("scored"), run - 1))
 
 
-def order_violations(lines: DataFrame, page: list[str], index: str, logical: str) -> DataFrame:
-    """Lines whose index is not their place, or whose logical index falls: (page, index, rule)."""
-    w = Window.partitionBy(*page).orderBy(index)
+def order_violations(lines: DataFrame, page: list[str], index: str, logical: str, ties: list[str] | None = None) -> DataFrame:
+    """Lines whose index is not their place, or whose logical index falls: (page, index, rule).  `ties` order lines of one index."""
+    w = Window.partitionBy(*page).orderBy(index, *(ties or []))
     seen = F.max(logical).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = lines.withColumn("place", F.row_number().over(w) - 1).withColumn("seen", seen)
     rule = F.when(F.col(index) != F.col("place"), "position").when(F.col(logical) < F.col("seen"), "monotone")
@@ -66,16 +66,29 @@ def truncate(items: Column, k: int) -> tuple[Column, Column]:
 
 
 def interleave(main: DataFrame, extra: DataFrame, order: str, key: str, seed: int) -> DataFrame:
-    """Rows of both with `slot`: extra rows at seeded places, main rows in their order."""
-    h = lambda tag: F.sha2(F.concat(F.lit(f"{seed}:{tag}:"), F.col(key).cast("string")), 256)
+    """Rows of both with `slot`: extra rows at seeded places, main rows in their order.
+
+    Every row gets its rank in its own table from `ranked`; the slots of extra rows are the least hashes of all
+    slots, and the i-th main row goes to the i-th slot that is left."""
+    h = F.sha2(F.concat(F.lit(f"{seed}:x:"), F.col(key).cast("string")), 256)
+    a, b = ranked(main, F.col(order)), ranked(extra, h)
     total = main.count() + extra.count()
     n_extra = extra.count()
     places = main.sparkSession.range(total).select(F.col("id").alias("slot"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256).alias("h"))
-    taken = places.orderBy("h").limit(n_extra).select("slot", F.row_number().over(Window.orderBy("h")).alias("rn"))
-    left = places.join(taken, "slot", "left_anti").select("slot", F.row_number().over(Window.orderBy("slot")).alias("rn"))
-    a = main.withColumn("rn", F.row_number().over(Window.orderBy(order))).join(left, "rn").drop("rn")
-    b = extra.withColumn("rn", F.row_number().over(Window.orderBy(h("x")))).join(taken, "rn").drop("rn")
-    return a.unionByName(b)
+    taken = ranked(ranked(places, F.col("h"), "__by_hash").where(F.col("__by_hash") < n_extra), F.col("h")).select("slot", "__rank")
+    left = ranked(places.join(taken, "slot", "left_anti"), F.col("slot")).select("slot", "__rank")
+    return a.join(left, "__rank").drop("__rank").unionByName(b.join(taken, "__rank").drop("__rank"))
+
+
+def ranked(rows: DataFrame, by: Column, name: str = "__rank") -> DataFrame:
+    """Rows with their rank from 0 in the order of a column, without a window over all rows.
+
+    Spark's range partitioning sorts the rows; only the number of rows of each partition reaches the driver's plan."""
+    spread = rows.withColumn("__by", by).repartitionByRange(F.col("__by")).sortWithinPartitions("__by").withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+    spread = spread.withColumn("__in", F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33))
+    sizes = spread.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return spread.join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn(name, F.col("__before") + F.col("__in")).drop("__by", "__part", "__id", "__in", "__p", "__before")
 
 
 def keep_first(rows: DataFrame, value: str, key: str, seed: int, n: int | None = None) -> DataFrame:
@@ -117,8 +130,21 @@ def best_choice(rows: DataFrame, by: list[str], value: str, order: list[str]) ->
 
 
 def page_pack(lines: DataFrame, by: list[str], order: str, sizes: Column) -> DataFrame:
-    """`paragraph`: consecutive lines in paragraphs whose sizes a column of each line's start proposes (2 to 6)."""
+    """`paragraph`: consecutive lines in paragraphs, each as long as its own first line's size says (2 to 6).
+
+    A page's sizes are folded in order: where a line is the next to start a paragraph, its size says where the one after starts."""
     w = Window.partitionBy(*by).orderBy(order)
-    grouped = lines.withColumn("__n", F.row_number().over(w) - 1)
-    size = F.least(F.greatest(sizes, F.lit(2)), F.lit(6))
-    return grouped.withColumn("paragraph", F.floor(F.col("__n") / size)).drop("__n")
+    placed = lines.withColumn("__n", F.row_number().over(w)).withColumn("__size", F.least(F.greatest(sizes, F.lit(2)), F.lit(6)).cast("int"))
+    page = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__n", "__size"))).alias("s"))
+    zero = F.struct(F.lit(1).alias("next"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(a, x):
+        new = x["__n"] == a["next"]
+        at = F.when(new, a["at"] + 1).otherwise(a["at"])
+        return F.struct(F.when(new, a["next"] + x["__size"]).otherwise(a["next"]).alias("next"), at.alias("at"), F.concat(a["out"], F.array(at)).alias("out"))
+
+    packed = page.select(*[F.col(c).alias(f"__{c}") for c in by], F.posexplode(F.aggregate("s", zero, step)["out"]).alias("__i", "paragraph"))
+    same = F.col("__n") == F.col("__i") + 1
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return placed.join(packed, same).drop("__n", "__size", "__i", *[f"__{c}" for c in by])

@@ -177,38 +177,77 @@ def _(spark, d):
     return S.top_words(doc_lines(spark, d), 20).select("word", "n")
 
 
-# classes that a regular expression engine without look-around can state
-_PLAIN = {k: v for k, v in C.TOKEN_CLASSES.items() if "(?<" not in v and "(?=" not in v and "(?!" not in v}
-_LOOK = {
+# ---- the same classes for an engine without look-around: context is consumed instead ----
+_H = "א-ת"
+_TOKEN_SQL = r"[A-Za-z][A-Za-z0-9&.+-]*"
+_HE = "ינואר|פברואר|מרץ|אפריל|מאי|יוני|יולי|אוגוסט|ספטמבר|אוקטובר|נובמבר|דצמבר"
+_EN = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+_UNIT_SQL = r"""(GB|TB|MB|KB|GHz|MHz|Hz|Mbps|Gbps|kWh|kW|kVA|W|V|A|mAh|mm|cm|km|m|kg|g|ml|L|inch|lux|dB|bar|מ"ר|מ"ק|ס"מ|מ"מ|ק"ג|ק"מ|קמ"ש|ליטר|מטר|גרם|טון|וואט|יח')"""
+_D = r"\p{Nd}"
+_TOKEN_TESTS = {
+    "latin_any": r"[A-Za-z]",
     "latin_word": r"(^|[^A-Za-z0-9])[A-Za-z][a-z]{2,}($|[^A-Za-z0-9])",
     "acronym": r"(^|[^A-Za-z0-9-])[A-Z]{2,6}s?($|[^A-Za-z0-9])",
-    "date_iso": r"(^|[^0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}($|[^0-9])",
+    "latin_run_2plus": rf"(^|[^A-Za-z0-9]){_TOKEN_SQL}[),:]? \(?{_TOKEN_SQL}",
+    "latin_run_3plus": rf"(^|[^A-Za-z0-9]){_TOKEN_SQL}[),:]? \(?{_TOKEN_SQL}[),:]? \(?{_TOKEN_SQL}",
+    "latin_at_start": r"""^[("']?[A-Za-z]""",
+    "latin_at_end": r"""[A-Za-z][A-Za-z0-9]*[).,:;!?"']*$""",
+    "latin_in_middle": rf"""[{_H}].* \(?["']?[A-Za-z][^ ]* .*[{_H}]""",
+    "date_slash": rf"(^|[^{_D}/]){_D}{{1,2}}/{_D}{{1,2}}/({_D}{{4}}|{_D}{{2}})($|[^{_D}/])",
+    "date_dot": rf"(^|[^{_D}.]){_D}{{1,2}}\.{_D}{{1,2}}\.({_D}{{4}}|{_D}{{2}})($|[^{_D}.])",
+    "date_iso": rf"(^|[^{_D}]){_D}{{4}}-{_D}{{2}}-{_D}{{2}}($|[^{_D}])",
+    "date_month_year": rf"(^|[^{_D}/.])(0?[1-9]|1[0-2])[/.]{_D}{{4}}($|[^{_D}/.])",
+    "date_hebrew_month": rf"ב?({_HE}) {_D}{{4}}",
+    "date_latin_month": rf"({_D}{{1,2}} {_EN} {_D}{{4}}|{_EN} {_D}{{1,2}},? {_D}{{4}}|{_EN} {_D}{{4}})",
     "quarter_or_half": r"(^|[^A-Za-z0-9])[QH][1-4]($|[^A-Za-z0-9])",
+    "time_of_day": rf"(^|[^{_D}:])([01]?{_D}|2[0-3]):[0-5]{_D}($|[^{_D}:])",
+    "number_with_unit": rf"{_D}([{_D},.]*{_D})? ?{_UNIT_SQL}($|[^A-Za-z{_H}])",
+    "percent": rf"{_D}%",
+    "shekel_sign": "₪",
     "nis": r"(^|[^A-Za-z])NIS($|[^A-Za-z])",
+    "shekel_abbreviation": 'ש"ח',
     "foreign_currency": r"(^|[^A-Za-z])(USD|EUR)($|[^A-Za-z])",
     "email": r"[a-z0-9.-]+@[a-z0-9-]+\.test($|[^A-Za-z])",
-    "time_of_day": r"(^|[^0-9:])([01]?[0-9]|2[0-3]):[0-5][0-9]($|[^0-9:])",
+    "url_or_domain": r"(^|[^@A-Za-z0-9.-])(https?://)?(www\.)?[a-z0-9-]+\.test",
+    "parenthesised_latin": r"\([^()]*[A-Za-z][^()]*\)",
+    "parenthesised_hebrew": rf"\([^()A-Za-z]*[{_H}][^()A-Za-z]*\)",
+    "version_string": rf"(^|[^A-Za-z0-9])v{_D}+(\.{_D}+)+|גרסה {_D}+|Rev\. ?[A-Z0-9]+|(^|[^A-Za-z])V{_D}+\.{_D}+",
+    "section_number": rf"(סעיף|סעיפים|בסעיף|לסעיף|מסעיף|פרק|פריט|תת-סעיף) {_D}+",
+    "grouped_number": rf"{_D}{{1,3}}(,{_D}{{3}})+",
+    "hyphenated_prefix": rf"[{_H}]-({_D}|[A-Za-z])",
+    "slash": "/",
+    "colon": ":",
+    "ascii_double_quote": '"',
+    "gershayim_in_word": rf'[{_H}]"[{_H}]',
+    "geresh_after_letter": rf"[{_H}]'",
+    "plain_hebrew": r"^[^A-Za-z0-9]*$",
 }
-_CLASSES = [*_PLAIN, *_LOOK]
 _quoted = lambda p: p.replace("'", "''")
+_matches = lambda p: f"regexp_matches(line, '{_quoted(p)}')"
+_TOKEN_SQL_TESTS = {n: _matches(p) for n, p in _TOKEN_TESTS.items()} | {
+    "alphanumeric_code": "len(list_filter(regexp_extract_all(line, '[A-Za-z0-9/-]+'), lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]'))) > 0",
+    "digits_no_latin": f"{_matches(_D)} AND NOT {_matches('[A-Za-z]')}",
+}
+_MARK_TESTS = {
+    "gershayim_in_word": rf"[{_H}]״[{_H}]", "geresh_after_letter": rf"[{_H}]׳", "geresh_letter_numeral": rf"(^|[^{_H}])[{_H}]׳($|[^{_H}])", "geresh_foreign_sound": rf"[גזצ]׳[{_H}]",
+    "em_dash": "—", "en_dash": "–", "en_dash_range": rf"[0-9{_H}׳]–[0-9{_H}]", "en_dash_spaced": " – ", "double_quotes": "“[^”]+”", "low_double_quotes": "„[^”]+”",
+    "single_quotes": "‘[^’]+’", "ellipsis": "…", "semicolon": ";", "digits": _D, "latin": "[A-Za-z]",
+}
 
 
-@query("token_class_lines", f"WITH {LINES} " + " UNION ALL ".join(f"SELECT '{n}' AS class, count(*) FILTER (regexp_matches(line, '{_quoted(_LOOK.get(n) or _PLAIN[n])}')) AS n FROM ln" for n in _CLASSES))
-def _(spark, d):
-    return S.class_lines(doc_lines(spark, d), {n: C.TOKEN_CLASSES[n] for n in _CLASSES})
+def _count_each(name: str, tests: dict[str, str], table: str) -> str:
+    """One scan that counts each test, as rows (name, n)."""
+    one = ", ".join(f"count(*) FILTER ({t})" for t in tests.values())
+    names = ", ".join(f"'{n}'" for n in tests)
+    return f"SELECT unnest([{names}]) AS {name}, unnest([{one}]) AS n FROM {table}"
 
 
-@query("token_class_lines_all")
+@query("token_class_lines_all", f"WITH {LINES} " + _count_each("class", _TOKEN_SQL_TESTS, "ln"))
 def _(spark, d):
     return S.class_lines(doc_lines(spark, d))
 
 
-@query("mark_class_lines", f"WITH {LINES} " + " UNION ALL ".join(f"SELECT '{n}' AS class, count(*) FILTER (regexp_matches(line, '{_quoted(p)}')) AS n FROM ln" for n, p in C.MARK_CLASSES.items() if "(?<" not in p))
-def _(spark, d):
-    return S.class_lines(doc_lines(spark, d), {n: p for n, p in C.MARK_CLASSES.items() if "(?<" not in p})
-
-
-@query("mark_class_lines_all")
+@query("mark_class_lines_all", f"WITH {LINES} " + _count_each("class", {n: _matches(p) for n, p in _MARK_TESTS.items()}, "ln"))
 def _(spark, d):
     return S.class_lines(doc_lines(spark, d), C.MARK_CLASSES)
 
@@ -218,7 +257,22 @@ def _(spark, d):
     return S.mark_kinds(doc_lines(spark, d))
 
 
-@query("text_features")
+_WORDISH = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+_POINTS = "[֑-ׇֽֿׁׂׅׄ]"
+_FEATURE_TESTS = {
+    "final_forms": "regexp_matches(text, '[ךםןףץ]')",
+    "punctuation": r"""regexp_matches(text, '[.,:;!?''"()/-]')""",
+    "numerals": rf"regexp_matches(text, '{_D}')",
+    "dates": rf"regexp_matches(text, '(^|[^{_WORDISH}]){_D}{{1,2}}/{_D}{{1,2}}/{_D}{{2,4}}($|[^{_WORDISH}])')",
+    "identifiers": rf"regexp_matches(text, '(^|[^{_WORDISH}])[A-Za-z]+-[A-Za-z0-9\x{{0590}}-\x{{05ff}}-]*{_D}[A-Za-z0-9\x{{0590}}-\x{{05ff}}-]*($|[^{_WORDISH}])|[\x{{0590}}-\x{{05ff}}]-{_D}{{2,5}}-{_D}{{1,3}}|מספר תיק {_D}+/{_D}+|מזהה \S+')",
+    "latin_fragments": "regexp_matches(text, '[A-Za-z]')",
+    "sparse_niqqud": f"regexp_matches(text, '{_POINTS}')",
+    "fuller_niqqud": rf"len(list_filter(string_split_regex(text, '\s+'), lambda x: len(regexp_extract_all(x, '{_POINTS}')) >= 4)) > 0",
+    "nfc_logical_order_text": "nfc_normalize(text) = text",
+}
+
+
+@query("text_features", f"SELECT feature, n FROM ({_count_each('feature', _FEATURE_TESTS, 'documents')}) WHERE n > 0")
 def _(spark, d):
     docs = read(spark, d, "documents")
     return docs.select(F.explode(C.text_features(F.col("text"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
@@ -235,26 +289,41 @@ def _(spark, d):
     return t.groupBy(N.number_shape(F.col("t")).alias("shape")).agg(F.count("*").alias("n"))
 
 
-@query("privacy_hits", rf"""WITH {LINES}, r AS (SELECT * , regexp_extract_all(line, '[0-9]+') AS runs FROM ln) SELECT 'email' AS rule, count(*) AS n FROM r WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]') UNION ALL SELECT 'long_digit_run', count(*) FROM r WHERE len(list_filter(runs, lambda x: length(x) >= 7)) > 0 UNION ALL SELECT 'joined_digits', count(*) FROM r WHERE len(list_filter(regexp_extract_all(line, '[0-9]+(?:[- ][0-9]+)+'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 9)) > 0""")
-def _(spark, d):
-    hits = doc_lines(spark, d).select(F.explode(C.privacy_hits(F.col("line"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
-    return hits.where(F.col("rule").isin("email", "long_digit_run", "joined_digits"))
+_HOST_END = "com|org|net|il|io|co|gov|edu|info|biz|test|example|invalid|ai|app|dev|me|tv|uk|us|eu"
+_RUNS = "regexp_extract_all(line, '[0-9]+')"
+_NAMES = rf"list_concat(list_concat(regexp_extract_all(line, '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]*[A-Za-z0-9])', 1), regexp_extract_all(line, '(?:https?://|www\.)([A-Za-z0-9.-]*[A-Za-z0-9])', 1)), regexp_extract_all(line, '(?i)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_HOST_END}))(?:$|[^A-Za-z0-9])', 1))"
+_DIGIT_SUM = "list_sum([CASE WHEN lpad(x, 9, '0')[i]::INT * (2 - i % 2) > 9 THEN lpad(x, 9, '0')[i]::INT * (2 - i % 2) - 9 ELSE lpad(x, 9, '0')[i]::INT * (2 - i % 2) END FOR i IN range(1, 10)])"
+_PRIVACY_TESTS = {
+    "email": "regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]')",
+    "url": r"regexp_matches(line, '(https?://|www\.)[A-Za-z0-9.-]*[A-Za-z0-9]')",
+    "open_domain": rf"len(list_filter({_NAMES}, lambda x: NOT regexp_matches(regexp_replace(lower(x), '^www\.', ''), '^([a-z0-9-]+\.)*([a-z0-9-]+\.test|example\.(com|org|net))$'))) > 0",
+    "long_digit_run": f"len(list_filter({_RUNS}, lambda x: length(x) >= 7)) > 0",
+    "identity_number": f"len(list_filter(list_filter({_RUNS}, lambda x: length(x) BETWEEN 5 AND 9), lambda x: {_DIGIT_SUM} % 10 = 0)) > 0",
+    "joined_digits": "len(list_filter(regexp_extract_all(line, '[0-9]+(?:[- ][0-9]+)+'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 9)) > 0",
+    "brand": "regexp_matches(line, '(?i)(^|[^A-Za-z])(microsoft|windows|excel|outlook|google|gmail|android|apple|iphone|ipad|macos|cisco|dell|lenovo|samsung|intel|nvidia|oracle|sap|ibm|xerox|siemens|philips|bosch|toyota|tesla|amazon|aws|azure|whatsapp|facebook|linkedin|youtube|adobe|autocad|vmware|salesforce)($|[^A-Za-z])')",
+}
 
 
-@query("privacy_hits_all")
+@query("privacy_hits_all", f"WITH {LINES} " + _count_each("rule", _PRIVACY_TESTS, "ln"))
 def _(spark, d):
-    return doc_lines(spark, d).select(F.explode(C.privacy_hits(F.col("line"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return S.rule_counts(doc_lines(spark, d), C.privacy_rules(F.col("line")))
 
 
-@query("hygiene_faults", r"SELECT 'no_final_line_feed' AS rule, count(*) AS n FROM documents WHERE NOT ends_with(text, chr(10)) HAVING count(*) > 0 UNION ALL SELECT 'double_space', count(*) FROM documents WHERE contains(text, '  ') HAVING count(*) > 0 UNION ALL SELECT 'tab', count(*) FROM documents WHERE contains(text, chr(9)) HAVING count(*) > 0 UNION ALL SELECT 'carriage_return', count(*) FROM documents WHERE contains(text, chr(13)) HAVING count(*) > 0")
-def _(spark, d):
-    own = read(spark, d, "documents").select(F.explode(C.hygiene_faults(F.col("text"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
-    return own.where(F.col("rule").isin("no_final_line_feed", "double_space", "tab", "carriage_return"))
+_INNER = "string_split(text, chr(10))[1:len(string_split(text, chr(10))) - 1]"
+_HYGIENE_TESTS = {
+    "bom": "starts_with(text, chr(65279))",
+    "carriage_return": "contains(text, chr(13))",
+    "no_final_line_feed": "NOT ends_with(text, chr(10))",
+    "blank_line": f"len(list_filter({_INNER}, lambda x: trim(x) = '')) > 0",
+    "padding": rf"len(list_filter({_INNER}, lambda x: x <> '' AND regexp_matches(x, '^[ \t\n\x0B\f\r]|[ \t\n\x0B\f\r]$'))) > 0",
+    "double_space": "contains(text, '  ')",
+    "tab": "contains(text, chr(9))",
+}
 
 
-@query("hygiene_faults_all")
+@query("hygiene_faults_all", _count_each("rule", _HYGIENE_TESTS, "documents"))
 def _(spark, d):
-    return read(spark, d, "documents").select(F.explode(C.hygiene_faults(F.col("text"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return S.rule_counts(read(spark, d, "documents"), C.hygiene_rules(F.col("text")))
 
 
 # ---- leakage ----
@@ -327,10 +396,9 @@ def _(spark, d):
     return L.decontaminated(doc_lines(spark, d), [("benchmark", item_lines(spark, d))]).select("id", "line_no", "line")
 
 
-@query("control_hits", f"WITH {LINES}, b AS (SELECT id, line, {_LETTERS} AS w FROM bl) SELECT count(*) AS lines, count(*) AS hits, count(*) > 0 AS ok FROM b WHERE len(w) >= 6")
+@query("control_hits", f"WITH {LINES}, c AS (SELECT id, line_no, {_LETTERS} AS w FROM ln), g AS (SELECT DISTINCT g FROM ({_SIX('bl')})), h AS (SELECT DISTINCT id, line_no FROM (SELECT id, line_no, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT id, line_no, w, unnest(range(1, len(w) - 4)) AS i FROM c WHERE len(w) >= 6)) WHERE g IN (SELECT g FROM g)) SELECT (SELECT count(*) FROM c) AS lines, (SELECT count(*) FROM h) AS hits, (SELECT count(*) FROM c) = (SELECT count(*) FROM h) AS ok")
 def _(spark, d):
-    own = item_lines(spark, d)
-    return L.control_hits(own.where(F.size(L.letter_words(F.col("line"))) >= 6), [("benchmark", own)])
+    return L.control_hits(doc_lines(spark, d), [("benchmark", item_lines(spark, d))])
 
 
 @query("disjoint_sources", "SELECT line, count(DISTINCT source) AS corpora FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, E' \\t') <> '' GROUP BY line HAVING count(DISTINCT source) > 1")
@@ -354,14 +422,17 @@ def _(spark, d):
     return W.reconstruct(c, ["page"], "turn", "logical", "join", "text").select(F.col("logical").alias("conv_id"), "line")
 
 
-@query("turn_order_check", "WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) SELECT conv_id, turn, 'position' AS rule FROM t WHERE turn <> place")
+@query("turn_order_check", "WITH c AS (SELECT conv_id, turn + CASE WHEN hash_k = 0 THEN 1 ELSE 0 END AS idx, (turn * 7) % 5 AS logical FROM (SELECT *, length(text) % 3 AS hash_k FROM conversations)), t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx, logical) - 1 AS place, max(logical) OVER (PARTITION BY conv_id ORDER BY idx, logical ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c) SELECT rule, count(*) AS n FROM (SELECT CASE WHEN idx <> place THEN 'position' WHEN logical < seen THEN 'monotone' END AS rule FROM t) WHERE rule IS NOT NULL GROUP BY rule")
 def _(spark, d):
-    return W.order_violations(read(spark, d, "conversations").withColumn("logical", F.col("turn")), ["conv_id"], "turn", "logical")
+    """Turns whose index is moved at fixed rows and whose logical index rises and falls, so that both rules are broken."""
+    c = read(spark, d, "conversations").select("conv_id", (F.col("turn") + F.when(F.char_length("text") % 3 == 0, 1).otherwise(0)).alias("idx"), ((F.col("turn") * 7) % 5).alias("logical"))
+    return W.order_violations(c, ["conv_id"], "idx", "logical", ["logical"]).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("first_page_per_sample", "SELECT conv_id, arg_min(role, turn) AS role, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id")
 def _(spark, d):
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"), F.min_by("text", "turn").alias("text"))
+    turns = read(spark, d, "conversations").select(F.lit("b").alias("batch_id"), F.col("conv_id").alias("sample_id"), F.col("turn").alias("page_pos"), "role", "text")
+    return batch.first_pages(turns).select(F.col("sample_id").alias("conv_id"), "role", "text")
 
 
 @query("first_appearance", "SELECT conv_id, role, dense_rank() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS rank FROM conversations GROUP BY conv_id, role")
@@ -472,15 +543,15 @@ def _(spark, d):
     return batch.validate_reviews(*_worksheet(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("review_counts", """WITH w AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'maybe' WHEN doc_id % 3 = 0 THEN 'hold' WHEN doc_id % 11 = 0 THEN '' ELSE 'pass' END AS d FROM labels) SELECT value, count(d) AS n FROM (SELECT unnest(['pass', 'hold', 'reject']) AS value) LEFT JOIN w ON d = value GROUP BY value""")
+@query("review_counts", """WITH w AS (SELECT doc_id AS k FROM labels), f AS (SELECT 'decision' AS field, CASE WHEN k % 7 = 0 THEN 'maybe' WHEN k % 3 = 0 THEN 'hold' WHEN k % 11 = 0 THEN '' ELSE 'pass' END AS value FROM w UNION ALL SELECT 'severity', CASE WHEN k % 6 = 0 THEN 'P9' WHEN k % 4 = 0 THEN 'P1' ELSE '' END FROM w UNION ALL SELECT 'reason_code', CASE WHEN k % 2 = 0 THEN 'text_clipped' WHEN k % 13 = 0 THEN 'nonsense' END FROM w), dom AS (SELECT 'decision' AS field, unnest(['pass', 'hold', 'reject']) AS value UNION ALL SELECT 'severity', unnest(['P0', 'P1', 'P2', 'info']) UNION ALL SELECT 'reason_code', unnest(['invalid_manifest', 'unsafe_asset_path', 'missing_asset', 'hash_mismatch', 'blank_or_near_blank_page', 'hebrew_not_readable', 'text_clipped', 'text_overlap', 'layout_implausible', 'degradation_obscures_text', 'metadata_image_mismatch', 'catalog_join_problem', 'excessive_repetition', 'style_condition_not_distinct', 'forbidden_claim_risk', 'reviewer_uncertain'])) SELECT dom.field, dom.value, count(f.value) AS n FROM dom LEFT JOIN f ON f.field = dom.field AND f.value = dom.value GROUP BY dom.field, dom.value""")
 def _(spark, d):
-    return batch.review_counts(_worksheet(spark, d)[0]).where("field = 'decision'").select("value", "n")
+    return batch.review_counts(_worksheet(spark, d)[0]).select("field", "value", "n")
 
 
-@query("quality_rollup", "SELECT source, count(*) AS pages, sum(length(text))::BIGINT AS chars, sum(CASE WHEN contains(text, '  ') THEN 1 ELSE 0 END)::BIGINT AS double_spaces FROM documents GROUP BY ROLLUP (source)")
+@query("quality_rollup", "SELECT source, pages, chars, double_spaces, CASE WHEN double_spaces / pages > 0.1 THEN 'double_spaces' ELSE '' END AS over FROM (SELECT source, count(*) AS pages, sum(length(text))::BIGINT AS chars, sum(CASE WHEN contains(text, '  ') THEN 1 ELSE 0 END)::BIGINT AS double_spaces FROM documents GROUP BY ROLLUP (source))")
 def _(spark, d):
     rows = read(spark, d, "documents").select("source", F.char_length("text").cast("long").alias("chars"), F.col("text").contains("  ").cast("int").alias("double_spaces"))
-    return batch.quality_rollup(rows, "source", ["chars", "double_spaces"], {"double_spaces": 0.1}).drop("over")
+    return batch.quality_rollup(rows, "source", ["chars", "double_spaces"], {"double_spaces": 0.1}).withColumn("over", F.array_join("over", ","))
 
 
 @query("cap_decision", "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), t AS (SELECT source, n, n / (SELECT sum(n) FROM c) AS share FROM c) SELECT source, n, share, CASE WHEN share > 0.3 THEN 'over_cap' ELSE 'within_cap' END AS status, CASE WHEN share > 0.3 THEN 'share_cap' END AS reason FROM t")
@@ -490,14 +561,8 @@ def _(spark, d):
     return S.cap_decision(n, "source", caps)
 
 
-@query("stratified_cer", "WITH p AS (SELECT lang, replace(text[1:200], ' ', '') AS r, replace(lower(text[1:200]), ' ', '') AS h FROM documents) SELECT lang, sum(length(r))::BIGINT AS chars, sum(levenshtein(r, h))::BIGINT AS edits, sum(levenshtein(r, h)) / sum(length(r)) AS cer FROM p WHERE r = regexp_replace(r, '[^\\x00-\\x7F]', '', 'g') GROUP BY lang")
-def _(spark, d):
-    first = F.substring("text", 1, 200)  # the feature compares line-sized readings; whole documents are no lines
-    rows = read(spark, d, "documents").select("lang", first.alias("ref"), F.lower(first).alias("hyp")).where(F.col("ref").rlike(r"^[\x00-\x7F]*$"))
-    return S.stratified_cer(rows, ["lang"], "ref", "hyp").select("lang", F.col("chars").cast("long").alias("chars"), F.col("edits").cast("long").alias("edits"), "cer")
-
-
-@query("stratified_cer_all")
+# Lower-casing changes characters in place, and no changed one occurs in the result: each is one edit.
+@query("stratified_cer_all", f"WITH {LINES}, p AS (SELECT lang, replace(line, ' ', '') AS r FROM ln) SELECT lang, sum(length(r))::BIGINT AS chars, sum(len(list_filter(string_split(r, ''), lambda c: lower(c) <> c)))::BIGINT AS edits, sum(len(list_filter(string_split(r, ''), lambda c: lower(c) <> c))) / sum(length(r)) AS cer FROM p GROUP BY lang")
 def _(spark, d):
     lines = read(spark, d, "documents").select("lang", F.explode(T.lines_stripped(F.col("text"))).alias("ref"))
     return S.stratified_cer(lines.withColumn("hyp", F.lower("ref")), ["lang"], "ref", "hyp").select("lang", F.col("chars").cast("long").alias("chars"), F.col("edits").cast("long").alias("edits"), "cer")

@@ -48,17 +48,27 @@ def test_numbers(spark):
     assert column(spark, ["a 1.5, 20% and 3/4."], N.number_tokens) == [["1.5", "20%", "3/4"]]
     assert column(spark, ["000000018", "123456782", "12345", "x"], N.check_digit_valid) == [True, True, False, False]
     assert column(spark, [1, 15, 16, 115, 499, 999, 1000], N.hebrew_numeral, "int") == ["א", "טו", "טז", "קטו", "תצט", "תתקצט", None]
-    assert column(spark, [1, 15, 499, 500], N.hebrew_numeral_marked, "int") == ["א׳", "ט״ו", "תצ״ט", None]
+    assert column(spark, [1, 15, 499, 500], N.hebrew_numeral_marked, "int") == ["א'", 'ט"ו', 'תצ"ט', None]
     assert column(spark, ["31.2", "2.31", "13.2", "31.2"], lambda x: N.reordered(F.lit("31.2"), x)) == [False, True, False, False]
 
 
 # invented strings
 CONTEXT = [
-    ("3.1", "at 1.3 now", "reversed_groups_no_space"), ("3.1", "at 1 .3 now", "reversed_groups_with_space"), ("3.1", "at 3. 1 now", "same_order_with_space"),
-    ("3.1", "at 31 now", "separators_dropped"), ("3.1", "at 3,1 now", "same_order_sep_changed_or_doubled"), ("3.1", "at 3..1 now", "same_order_sep_changed_or_doubled"),
-    ("3.1", "line 3 and part 1", "groups_scattered"), ("3.1", "line 3 only", "no_group"), ("3.1", "13.5 and 3.12", "no_group"),
-    ("17.11.2026", "17.11.2026.5", "no_group"), ("17.11.2026", "2026.11.17", "reversed_groups_no_space"), ("17.11.2026", "in 2026 only", "some_groups_only"), ("2.2.4", "2 and 2 and 4", "groups_scattered"),
-]
+    ("8.25", "rule 25.8 applies", "reversed_groups_no_space"),
+    ("40/7", "7,40", "reversed_groups_no_space"),
+    ("8.25", "25 . 8", "reversed_groups_with_space"),
+    ("8.25", "25. ,8", "reversed_groups_with_space"),
+    ("8.25", "is 8 25 long", "same_order_with_space"),
+    ("8.25", "8. /25", "same_order_with_space"),
+    ("6.5.44", "6544", "separators_dropped"),
+    ("6.5.44", "it is 4456", "separators_dropped"),
+    ("6.5.44", "6/5,44", "same_order_sep_changed_or_doubled"),
+    ("6.5.44", "6,/5..44", "same_order_sep_changed_or_doubled"),
+    ("6.5.44", "5 of 44, then 6", "groups_scattered"),
+    ("6.5.44", "44 pages", "some_groups_only"),
+    ("6.5.44", "5 pages", "no_group"),
+    ("6.5.44", "6.5.44.9", "no_group"),
+]
 
 
 def test_number_context(spark):
@@ -97,6 +107,24 @@ def test_every_token_class_hits_and_misses(spark):
         assert column(spark, [hit, miss], lambda x, n=name: C.has_class(x, n)) == [True, False], name
 
 
+def test_units_runs_and_domains(spark):
+    has = lambda name, *lines: column(spark, list(lines), lambda x: C.has_class(x, name))
+    assert has("number_with_unit", "5 מטר", '3 ק"מ', "2 kVA", "4 יח'", "7 mg", "8 px") == [True, True, True, True, False, False]
+    assert has("latin_run_2plus", "a/b c", "one/two", "R&D team") == [True, False, True]
+    domains = column(spark, ["see www.real.org now", "real.co.il", "ok.test", "www.example.org", "a.b.example.com x", "see real.shop"], C.privacy_hits)
+    assert ["open_domain" in d for d in domains] == [True, True, False, False, False, False]
+    assert column(spark, ["a Xerox copy", "saps"], C.privacy_hits) == [["brand"], []]
+
+
+def test_class_counts_equal_plain_patterns(spark):
+    from corpusloom.operators.corpus_stats import class_lines
+
+    lines = spark.createDataFrame([(x,) for pair in HITS.values() for x in pair], "line string")
+    got = {r["class"]: r.n for r in class_lines(lines).collect()}
+    want = lines.agg(*[F.count_if(F.col("line").rlike(p)).alias(n) for n, p in C.TOKEN_CLASSES.items()]).first().asDict()
+    assert got == want
+
+
 def test_marks_features_privacy_and_hygiene(spark):
     marks = {"gershayim_in_word": "א״ב", "geresh_letter_numeral": "א׳", "geresh_foreign_sound": "ג׳ו", "em_dash": "—", "en_dash_range": "1–2", "en_dash_spaced": "a – b", "double_quotes": "“a”", "low_double_quotes": "„a”", "single_quotes": "‘a’", "ellipsis": "…", "semicolon": ";"}
     for n, hit in marks.items():

@@ -68,6 +68,19 @@ def test_strata_and_fits(spark):
     boot = frame(spark, [(f"c{i}", 10 + i % 3, 9, 100) for i in range(30)], "c string, a int, b int, n int")
     r = S.bootstrap(boot, "c", "a", "b", "n", 500).first()
     assert r.low <= r.delta <= r.high and r.a_rate == pytest.approx(0.11)
+    import numpy as np
+
+    data = [(f"unit-{i % 3}-{i:08d}", 5 * i % 17, 3 * i % 11, 100 + 7 * i) for i in range(12)]
+    r = S.bootstrap(frame(spark, data, "c string, a int, b int, n int"), "c", "a", "b", "n", 2000, seed=3).first()
+    v = np.array([x[1:] for x in sorted(data)], float)
+    d = v[np.random.default_rng(3).integers(0, 12, size=(2000, 12))].sum(axis=1)
+    delta = d[:, 0] / d[:, 2] - d[:, 1] / d[:, 2]
+    assert (r.low, r.high) == (pytest.approx(np.percentile(delta, 2.5)), pytest.approx(np.percentile(delta, 97.5)))
+    many = S.bootstrap(frame(spark, data, "c string, a int, b int, n int"), "c", "a", "b", "n", 2000, seed=3, chunk=3).first()
+    assert abs(many.low - r.low) < 0.01 and abs(many.high - r.high) < 0.01 and many.delta == pytest.approx(r.delta)
+    ks = spark.range(500).selectExpr("if(id % 3 = 0, 'a', 'b') AS s", "double(id * id % 97) AS v")
+    one, more = S.ks_wasserstein(ks, "v", "s", "a", "b", 1).first(), S.ks_wasserstein(ks, "v", "s", "a", "b", 16).first()
+    assert more[:] == pytest.approx(one[:]) and one.ks > 0
     lines = frame(spark, [("a" * n,) for n in (1, 7, 12, 56, 90)], "line string")
     assert rows(S.length_histogram(lines, "sparse"), "bin", "n") == [(0, 1), (10, 1), (5, 1), (55, 2)]
     assert len(rows(S.length_histogram(lines, "fixed"), "bin")) == 11 and len(rows(S.length_histogram(lines, "open"), "bin")) == 19
@@ -90,6 +103,8 @@ def test_order_operators(spark):
     assert W.keep_first(g, "g", "id", 2, 3).count() == 3 and W.keep_first(g, "g", "id", 2).count() == 4
     mixed = W.interleave(spark.range(8).selectExpr("id"), spark.range(100, 103).selectExpr("id"), "id", "id", 4).orderBy("slot").collect()
     assert [r.slot for r in mixed] == list(range(11)) and [r.id for r in mixed if r.id < 100] == list(range(8))
+    sizes = frame(spark, [(1, i, s) for i, s in enumerate([2, 6, 2, 2, 6, 3])] + [(2, 0, 9), (None, 5, 2)], "page int, i int, s int")
+    assert rows(W.page_pack(sizes, ["page"], "i", F.col("s")), "page", "i", "paragraph") == sorted([(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 2), (2, 0, 0), (None, 5, 0)], key=str)
     regions = frame(spark, [(1, "r1", 3, True), (1, "r2", 0, False), (1, "r3", 5, True)], "page int, r string, pos int, sc boolean")
     assert rows(W.region_index(regions, ["page"], "r", "pos", "sc"), "r", "region_index", "reading_order_index") == [("r1", 1, 0), ("r2", 0, None), ("r3", 2, 1)]
     assert spark.range(5).select(W.round_robin(F.col("id"), ["x", "y"])).collect()[3][0] == "y"
