@@ -73,7 +73,7 @@ def gram_overlap(source: DataFrame, target: DataFrame, n: int = 3, normal: bool
 
 def _kinds(lines: DataFrame, n: int) -> DataFrame:
     """(kind, text) of distinct normal-form lines and word n-grams; blank lines are dropped."""
-    lines = lines.select(nfc(F.col("line")).alias("line")).where(F.trim("line") != "").select("line", T.word_ngrams(T.tokens(F.col("line")), n).alias("g"))
+    lines = lines.select(nfc(F.col("line")).alias("line")).where(F.trim("line") != "").select("line", T.tokens(F.col("line")).alias("w")).select("line", T.word_ngrams(F.col("w"), n).alias("g"))
     both = F.array(F.struct(F.lit("line").alias("kind"), F.array("line").alias("g")), F.struct(F.lit(f"word{n}").alias("kind"), F.col("g")))
     return lines.select(F.explode(both).alias("e")).select("e.kind", F.explode("e.g").alias("text")).distinct()
 
