@@ -37,7 +37,7 @@ from corpusloom.llm.suffix_sort import as_words, deep_shallow
 #: Bytes of an anchor; an anchor that so many documents may hold is dealt by its strings.
 GRAM, HOT = 24, 1024
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
-_STEP = 1 << 20
+_STEP, _SLICE = 1 << 20, 1 << 16
 
 
 class _Anchors:
@@ -98,21 +98,24 @@ class _Segments:
         if len(hot):  # each string on its own, dealt by its content
             n = a.hi[hot] - a.lo[hot] + 1
             s = np.repeat(a.lo[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            whole = _rows(a.block.buf, s, length)
+            whole = _windows(a.block.buf, length)[s + length]
             key = K.mix(_digest(whole) + np.uint64(9))
             h, doc = np.concatenate([h, key]), np.concatenate([doc, np.repeat(a.doc[hot], n)])
             at, lo, hi = np.concatenate([at, np.repeat(a.at[hot], n)]), np.concatenate([lo, s]), np.concatenate([hi, s])
         width = left + length
-        rows = _rows(a.block.buf, at - left, width)
-        col = np.arange(width)
-        rows[(col < (left - (at - lo))[:, None]) | (col >= (left + length - (at - hi))[:, None])] = 0
+        view, col = _windows(a.block.buf, width), np.arange(width)
         most, least = (at - lo).astype(np.uint8), (at - hi).astype(np.uint8)
-        rows = np.concatenate([rows, most[:, None], least[:, None]], axis=1)
-        key = K.mix(_digest(rows) * np.uint64(3) + h)
+        rows, key = np.empty((len(at), width + 2), np.uint8), np.empty(len(at), np.uint64)
+        for x in range(0, len(at), _SLICE):  # slices, so that masks and copies stay small
+            y = x + _SLICE
+            r = view[at[x:y] - left + width]
+            r[(col < (left - most[x:y].astype(int))[:, None]) | (col >= (width - least[x:y].astype(int))[:, None])] = 0
+            rows[x:y, :-2], rows[x:y, -2], rows[x:y, -1] = r, most[x:y], least[x:y]
+            key[x:y] = K.mix(_digest(rows[x:y]) * np.uint64(3) + h[x:y])
         ids = a.block.ids[doc]
         order, head = _grouped(key)
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-        if (rows[order] != rows[lead]).any():  # two contents with one digest: group by content
+        if any((rows[order[x : x + _SLICE]] != rows[lead[x : x + _SLICE]]).any() for x in range(0, len(order), _SLICE)):  # two contents with one digest: group by content
             both = np.concatenate([rows, h.view(np.uint8).reshape(-1, 8)], axis=1)
             key = np.unique(both, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
             order, head = _grouped(key)
@@ -139,10 +142,10 @@ class _Segments:
         return out
 
 
-def _rows(buf: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """width bytes from each place; places outside the buffer read as zero."""
+def _windows(buf: np.ndarray, width: int) -> np.ndarray:
+    """A view: row i holds the width bytes from place i - width on; places outside the buffer read as zero."""
     padded = np.concatenate([np.zeros(width, np.uint8), buf, np.zeros(width, np.uint8)])
-    return np.lib.stride_tricks.sliding_window_view(padded, width)[at + width]
+    return np.lib.stride_tricks.sliding_window_view(padded, width)
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
