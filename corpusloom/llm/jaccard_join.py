@@ -6,10 +6,12 @@
    that link share one of the rarest shingles of either (prefix filter, rarest by merged
    count).  For each such shingle its least class is the *hub*; two classes with a common
    prefix shingle meet in that hub's group.
-3. A hub's classes are dealt into chunks of about `CHUNK`, the hub in each.  A chunk builds
-   a signature tree and joins it with itself.  Classes that a chunk could not tie to the
-   hub are then matched with the trees of all chunks; two classes tied to the hub need no
-   comparison.  So no task gets a large group and no pairs are listed.
+3. A hub's classes are dealt by size range into chunks of about `CHUNK`, the hub in each.  A
+   chunk builds a signature tree and joins it with itself.  Classes that no chunk could tie
+   to the hub are dealt into chunks as well, and each of these meets the trees of the chunks
+   of its own and the neighbouring size ranges (others cannot link).  Two classes tied to the
+   hub need no comparison.  So a task gets two chunks at most, and no pairs are listed; how
+   many chunks meet grows with the square of a hub's classes that are unlike the hub.
 4. The links form components by least labels.
 
 Edge cases: null text counts as empty; documents without words are alone; rows that share
@@ -20,16 +22,18 @@ other columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernel as K
 from corpusloom.llm import signature_tree as T
 from corpusloom.llm import sketch as S
 from corpusloom.llm.components import connected_components
+from corpusloom.llm.skew import skew_join
 from corpusloom.llm.store import save
 
 #: Classes of one hub that one task compares.
@@ -100,6 +104,11 @@ def _sets_table(ids, size, digests, prefixes, tokens) -> pa.Table:
 _LINKS = "hub long, chunk long, rep long, root long, tied boolean"
 
 
+def size_range(size: Column, percent: int) -> Column:
+    """Sets of neighbouring or equal ranges only can be similar enough: their sizes differ by a factor of 100 / percent at most."""
+    return F.floor(F.log(size) / (math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("long")
+
+
 def _join_chunk(percent: int):
     """Signature-tree self join of a chunk; rows with query = true are only matched with the others."""
 
@@ -145,38 +154,44 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     answers = S.merged(dealt.groupBy("block").applyInArrow(K.lean(emit), S.WIRE), sketch)
     sets = save(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(K.lean(_sets(percent, n, sketch)), _SETS))
 
-    classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = save(sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     heads = sets.where("tokens IS NOT NULL").join(classes, "digest").where("doc_id = rep")
-    heads = heads.dropDuplicates(["digest"])
-    terms = heads.select("rep", F.explode("prefix").alias("term"))
+    heads = save(heads.dropDuplicates(["digest"]).select("rep", "prefix", "tokens", size_range(F.octet_length("tokens") / 8, percent).alias("range")))
+    terms = heads.select("rep", "range", F.explode("prefix").alias("term"))
     hubs = terms.groupBy("term").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("term", "hub")
-    members = save(terms.join(hubs, "term").select("hub", "rep").distinct())
-    size = members.groupBy("hub").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    dealt_out = members.join(size, "hub").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    others = dealt_out.where("rep <> hub").select("hub", "chunk", "rep")
+    members = save(terms.join(hubs, "term").select("hub", "rep", "range").distinct())
+
+    def chunked(rows: DataFrame, name: str) -> DataFrame:
+        """Rows (hub, rep, range) with the chunk of their size range: range * 2^32 and a number below the chunks of the range."""
+        size = rows.groupBy("hub", "range").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+        return rows.join(size, ["hub", "range"]).withColumn(name, F.shiftleft("range", 32) + F.pmod(F.xxhash64("rep"), F.col("chunks"))).drop("chunks")
+
+    others = chunked(members.where("rep <> hub"), "chunk").select("hub", "chunk", "rep")
     hub_rows = others.select("hub", "chunk").distinct().select("hub", "chunk", F.col("hub").alias("rep"))
     bodies = heads.select("rep", "tokens")
     plan = save(others.unionByName(hub_rows))
     first = plan.join(bodies, "rep").select("hub", "chunk", "rep", F.lit(False).alias("query"), "tokens")
-    links = save(first.groupBy("hub", "chunk").applyInArrow(_join_chunk(percent), _LINKS))
+    links = save(first.groupBy("hub", "chunk").applyInArrow(K.lean(_join_chunk(percent)), _LINKS))
 
-    # classes not tied to their hub, against all chunks of that hub
+    # classes not tied to their hub, against the hub's chunks of similar sizes
     many = plan.groupBy("hub").agg(F.count_distinct("chunk").alias("k")).where("k > 1").select("hub")
-    loose = links.where("NOT tied").join(many, "hub").select("hub", "rep").distinct()
-    chunks = plan.select("hub", "chunk").distinct().join(loose.select("hub").distinct(), "hub")
-    asked = chunks.join(loose, "hub").select("hub", "chunk", "rep", F.lit(True).alias("query"))
-    own = plan.join(chunks, ["hub", "chunk"], "left_semi").select("hub", "chunk", "rep", F.lit(False).alias("query"))
+    loose = links.where("NOT tied").join(many, "hub").select("hub", "rep").distinct().join(members, ["hub", "rep"])
+    loose = save(chunked(loose, "asked").select("hub", "rep", "asked"))
+    trees = plan.select("hub", "chunk").distinct().withColumn("near", F.shiftright("chunk", 32))
+    asking = loose.select("hub", "asked").distinct().withColumn("near", F.explode(F.array(*[F.shiftright("asked", 32) + i for i in (-1, 0, 1)])))
+    meet = save(trees.join(asking, ["hub", "near"]).select("hub", "chunk", "asked"))
+    own = meet.join(plan, ["hub", "chunk"]).select("hub", "chunk", "asked", "rep", F.lit(False).alias("query"))
+    queries = meet.join(loose, ["hub", "asked"]).select("hub", "chunk", "asked", "rep", F.lit(True).alias("query"))
     # written first: a union of differently dealt sides must not pass for one that is dealt by group
-    second = save(own.unionByName(asked)).join(bodies, "rep").select("hub", "chunk", "rep", "query", "tokens")
-    more = second.groupBy("hub", "chunk").applyInArrow(_join_chunk(percent), _LINKS)
+    second = save(own.unionByName(queries)).join(bodies, "rep").select("hub", "chunk", "asked", "rep", "query", "tokens")
+    more = second.groupBy("hub", "chunk", "asked").applyInArrow(K.lean(_join_chunk(percent)), _LINKS)
 
     edges = links.unionByName(more).select(F.col("rep").alias("a"), F.col("root").alias("b"))
     label = connected_components(edges)
-    # documents without a partner have no digest; their own id spreads them over the tasks
-    key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
-    out = sets.select("doc_id", "n_shingles", key.alias("digest")).join(classes, "digest", "left").join(label, F.col("rep") == F.col("node"), "left")
+    named = save(classes.join(label, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("component")))
+    out = skew_join(sets.select("doc_id", "n_shingles", "digest"), named, "digest")
     known = lambda c: F.when(c != K.NULL_ID, c)
-    return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("label", "rep", "doc_id")).alias("component_id"))
+    return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

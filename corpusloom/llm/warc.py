@@ -206,7 +206,7 @@ def read_whole(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark)}/corpusloom/warc-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     digest = F.when(F.col("record_type") == "response", F.col("sha1")).otherwise(F.substring_index("declared", ":", -1))
     return read_whole(spark, path).select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
