@@ -6,7 +6,8 @@ every short item.  Documents are tokenised once and exploded by word inside one
 generated stage; a half-window is looked up at every sixth word only, because each full
 window holds one that starts there.  Only words that hit carry their surroundings on,
 where each candidate window is compared as text.  A benchmark over `broadcast_rows` hashes is joined by
-shuffle instead.
+shuffle instead: keys travel with places only, hits are gathered by document and meet its words once, and
+candidate windows are joined by their text; clean documents take no part in these joins.
 
 Edge cases: null or empty text has no words and is clean; null items and items without
 words are ignored; repeated items count once by their id; a repeated document id is one
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.store import save
+
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents always match this key once, so that clean ones stay in the result.
@@ -55,8 +58,9 @@ def contaminated_windows(docs: DataFrame, items: DataFrame, window: int = 10, id
     spark = docs.sparkSession
     keys = halves.unionByName(firsts).unionByName(spark.range(1).select(F.lit(_ALWAYS).cast("long").alias("key"))).distinct()
     small = bench.groupBy().agg(F.count("*").alias("rows"), F.collect_set(F.when(F.col("n") < window, F.col("n"))).alias("lengths")).first()
-    fits = small["rows"] * (window - half + 1) <= broadcast_rows
-    keys = F.broadcast(keys) if fits else keys
+    if small["rows"] * (window - half + 1) > broadcast_rows:
+        return _by_shuffle(docs, bench, halves.unionByName(firsts).distinct(), sorted(small["lengths"] or []), window, id_col, text_col)
+    keys = F.broadcast(keys)
 
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), ascii_words(F.col(text_col)).alias("w"))
     each = words.select("doc_id", "row_id", "w", F.posexplode_outer("w").alias("pos", "word"))
@@ -86,13 +90,39 @@ def contaminated_windows(docs: DataFrame, items: DataFrame, window: int = 10, id
     tried = hits.select("doc_id", "row_id", F.size("w").alias("n_words"), "w", F.explode_outer(F.when(~is_always, spans)).alias("s"), is_always.alias("always")).where(F.col("always") | F.col("s").isNotNull())
     texts = tried.select("doc_id", "row_id", "n_words", F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.when(F.col("s").isNotNull(), F.array_join(F.slice("w", F.col("s.start") + 1, F.col("s.n")), " ")).alias("words"), "always")
     verify = bench.select("item_id", F.col("n").alias("bn"), F.col("words").alias("bw"))
-    verify = F.broadcast(verify) if fits else verify
+    verify = F.broadcast(verify)
     return texts.join(verify, (F.col("words") == F.col("bw")) & (F.col("n") == F.col("bn")), "left").where(F.col("always") | F.col("item_id").isNotNull()).select("doc_id", "row_id", "n_words", "start", "n", "item_id")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _by_shuffle(docs: DataFrame, bench: DataFrame, keys: DataFrame, lengths: list[int], window: int, id_col: str, text_col: str) -> DataFrame:
+    """The same rows for a benchmark too large to broadcast.  Rows are numbered once, in a saved table."""
+    half = window // 2
+    stride = window - half + 1
+    words = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text")))
+    words = words.select("doc_id", "row_id", ascii_words(F.col("text")).alias("w"))
+    each = words.select("row_id", "w", F.posexplode("w").alias("pos", "word"))
+    pos = F.col("pos")
+    on_grid = (pos % stride == 0) & (pos + half <= F.size("w"))
+    key = F.when(on_grid, F.array(_slice_key(F.col("w"), pos, half))).otherwise(F.array().cast("array<bigint>"))
+    key = F.concat(key, F.array(F.xxhash64(F.lit(1), F.col("word")))) if lengths else key
+    hits = each.select("row_id", "pos", F.explode(key).alias("key")).join(keys, "key").groupBy("row_id").agg(F.collect_set("pos").alias("places"))
+    first = lambda p: F.greatest(F.lit(0), p - (stride - 1))
+    last = lambda p: F.least(p, F.size("w") - window)
+    none = F.array().cast("array<struct<start:int,n:int>>")
+    full = lambda p: F.when((p % stride == 0) & (last(p) >= first(p)), F.transform(F.sequence(first(p), last(p)), lambda s: F.struct(s.alias("start"), F.lit(window).alias("n")))).otherwise(none)
+    here = lambda p: F.filter(F.array(*[F.struct(p.alias("start"), F.lit(n).alias("n")) for n in lengths]), lambda x: x["start"] + x["n"] <= F.size("w"))
+    spans = F.array_distinct(F.flatten(F.transform("places", lambda p: F.concat(full(p), here(p)) if lengths else full(p))))
+    tried = words.join(hits, "row_id").select("doc_id", "row_id", F.size("w").alias("n_words"), "w", F.explode(spans).alias("s"))
+    texts = tried.select("doc_id", "row_id", "n_words", F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.array_join(F.slice("w", F.col("s.start") + 1, F.col("s.n")), " ").alias("words"))
+    verify = bench.select("item_id", F.col("n").alias("bn"), F.col("words").alias("bw"))
+    found = texts.join(verify, (F.col("words") == F.col("bw")) & (F.col("n") == F.col("bn"))).select("doc_id", "row_id", "n_words", "start", "n", "item_id")
+    lone = words.select("doc_id", "row_id", F.size("w").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n"))
+    return lone.withColumn("item_id", F.lit(None).cast(bench.schema["item_id"].dataType)).unionByName(found)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside an occurrence), item_ids (sorted as strings), hit_spans (merged word runs [start, end)), contaminated."""
-    found = contaminated_windows(docs, items, window, id_col, text_col, item_id, item_text)
+    found = contaminated_windows(docs, items, window, id_col, text_col, item_id, item_text, broadcast_rows)
     order = Window.partitionBy("row_id").orderBy("start", "n")
     reach = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.col("start").isNotNull() & (reach.isNull() | (reach < F.col("start")))
