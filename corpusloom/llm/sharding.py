@@ -1,17 +1,20 @@
 """Operator 7: sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 The ring has a fixed number of cells, whatever the input.  A key's cell is a hash of its
-id; each shard owns `replicas` virtual nodes; a key belongs to the next virtual node
+id, text hash and size, so null ids or one id of many rows spread over the ring; each shard owns `replicas` virtual nodes; a key belongs to the next virtual node
 clockwise.  Shards are bounded: the first (rows mod shards) hold one row more than the
 others and together they hold every row, so counts differ by one at most.  Keys that
 meet a full shard continue clockwise to the next virtual node with room.
 
 Only the number of keys in each cell (at most `CELLS` numbers) reaches the driver, which
 walks the ring once and returns a table of ranges: ranks [from, to) of a cell go to a
-shard, from a slot on.  Ranks come from a window over one cell's rows, a 65,536th of all,
-so no task holds more than that share, whatever the ids.
+shard, from a slot on.  Ranks come from a window over one cell's rows, a 65,536th of all
+rows that differ in id or text; rows equal in both share a cell.
 
-Edge cases: null ids are keys of their own cell; rows with equal ids are ordered by text
+Groups of equal texts are not held together: the law is `rows`, and full shards pass any
+row on.
+
+Edge cases: null ids are placed by their text; rows with equal ids are ordered by text
 hash and size; null text has no bytes; fewer rows than shards leave shards empty; an empty
 table gives an empty table; other columns are not read.
 """
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 CELLS, REPLICAS = 1 << 16, 64
 
 
-def cell_of(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 48).cast("int")
+def cell_of(*key: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*key), 48).cast("int")
 
 
 def ring(shards: int, replicas: int = REPLICAS, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -68,11 +71,12 @@ def place(counts: dict[int, int], shards: int, nodes: list[tuple[int, int]]) ->
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", replicas: int = REPLICAS) -> DataFrame:
     """Per row: doc_id, size (bytes of text plus 1), text_crc32, law, shard, slot (gapless in a shard), grown_shard (null: bounds tie rows together)."""
     spark = docs.sparkSession
-    counts = {r[0]: r[1] for r in docs.groupBy(cell_of(F.col(id_col)).alias("cell")).count().collect()}
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = rows.withColumn("cell", cell_of(F.col("doc_id"), F.col("text_crc32"), F.col("size")))
+    counts = {r[0]: r[1] for r in rows.groupBy("cell").count().collect()}
     ranges = place(counts, shards, ring(shards, replicas))
     table = F.broadcast(spark.createDataFrame(ranges, "cell int, lo long, hi long, shard int, base long"))
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), cell_of(F.col(id_col)).alias("cell"))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")) - 1
     placed = rows.withColumn("rank", rank).join(table, "cell").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
