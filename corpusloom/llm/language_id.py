@@ -16,7 +16,9 @@ is taken out of its host's counts first.
 
 Edge cases: null or empty html leaves the other evidence; null or broken addresses have
 the empty host; unknown declarations are no evidence; ties go to the language that is
-first by name; no labelled documents is an error; other columns are not read.
+first by name; without labelled documents every language and posterior is null; empty
+pages give an empty table; rows that share an id are judged each; pages of any length are
+read whole, in linear time; other columns are not read, so clashing names cannot matter.
 """
 
 from __future__ import annotations
@@ -27,19 +29,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernel as K
+from corpusloom.llm.skew import skew_join
 from corpusloom.llm.store import save
 
 #: Hash buckets of trigrams, pseudo-count of a trigram, labelled documents at most for each language, and weight of the wider prior.
 BUCKETS, ALPHA, MAX_LABELLED, S = 1 << 14, 0.5, 5_000, 5.0
+#: Languages at most: a row of the model each.
+MAX_LANGUAGES = 1_000
 #: A text's trigrams count as so many independent ones at most, as neighbours overlap.
 TRUST = 40.0
 
 
+def _without(html: Column, opening: str, closing: str) -> Column:
+    """Everything from an opening mark to the next closing one becomes a space; openings that are never closed stay.
+
+    The text is cut at closing marks, and each piece is searched once, so the time is linear in the page."""
+    pieces = F.split(html, closing)
+    inner = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_replace(p, f"{opening}(?s:.*)\\z", " "))
+    return F.concat(F.array_join(inner, " "), F.when(F.size(pieces) > 1, " ").otherwise(""), F.element_at(pieces, -1))
+
+
 def visible(html: Column) -> Column:
     """Text of a page: scripts, styles, comments, navigation and tags become spaces."""
     html = F.coalesce(html.cast("string"), F.lit(""))
-    html = F.regexp_replace(html, r"(?is)<(script|style|nav|head)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(html, r"<[^>]*>|&[a-zA-Z#0-9]{1,8};", " ")
+    for tag in ("script", "style", "head", "nav"):
+        html = _without(html, rf"(?i)<{tag}\b[^<>]*>", rf"(?i)</{tag}\s*>")
+    html = _without(html, "<!--", "-->")
+    return F.regexp_replace(html, r"<[^<>]*>|&[a-zA-Z#0-9]{1,8};", " ")
 
 
 def declared(html: Column) -> Column:
@@ -73,7 +89,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = known.groupBy(F.col(lang_col).alias("lang")).count().toArrow().to_pandas()  # as many rows as languages
     if not len(rows):
-        raise ValueError("no labelled documents")
+        return [], np.zeros((0, BUCKETS))
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"{len(rows)} languages; the model holds {MAX_LANGUAGES} at most")
     share = {lang: min(1.0, max_labelled / n) for lang, n in zip(rows["lang"], rows["count"], strict=True)}
     limit = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(float(s)))])[F.col(lang_col)]
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
@@ -122,6 +140,9 @@ def _best(values: Column) -> Column:
 def identify(pages: DataFrame, names: list[str], model: np.ndarray, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 200_000) -> DataFrame:
     """Per row: page_id, lang, posterior (of that language), text_lang, declared_lang, address_lang, host."""
     k = len(names)
+    if not k:
+        none = F.lit(None).cast("string")
+        return pages.select(F.col(id_col).cast("long").alias("page_id"), none.alias("lang"), F.lit(None).cast("double").alias("posterior"), none.alias("text_lang"), none.alias("declared_lang"), none.alias("address_lang"), host(F.col(url_col)).alias("host"))
     known = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     code = lambda c: known[c]
     html, url = F.col(html_col), F.coalesce(F.col(url_col).cast("string"), F.lit(""))
@@ -154,9 +175,12 @@ def identify(pages: DataFrame, names: list[str], model: np.ndarray, id_col: str
     every = np.array([total[i] for i in range(k)], float) + 1.0
     every /= every.sum()
     domains = hosts.groupBy(F.col("domain").alias("d")).agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(k)])
-    prior = save(hosts.join(domains, F.col("domain") == F.col("d")).select(F.col("host").alias("h"), F.array(*[f"c{i}" for i in range(k)]).alias("own"), F.array(*[f"d{i}" for i in range(k)]).alias("wide")))
-    prior = F.broadcast(prior) if prior.count() <= broadcast_rows else prior
-    joined = rows.join(prior, F.col("host") == F.col("h"), "left")
+    wide = skew_join(hosts, domains.withColumnRenamed("d", "domain"), "domain")  # a domain may have very many hosts
+    prior = save(wide.select(F.col("host").alias("h"), F.array(*[f"c{i}" for i in range(k)]).alias("own"), F.array(*[f"d{i}" for i in range(k)]).alias("wide")))
+    if prior.count() <= broadcast_rows:
+        joined = rows.join(F.broadcast(prior), F.col("host") == F.col("h"), "left")
+    else:  # a host may hold a large share of all pages
+        joined = skew_join(rows, prior.withColumnRenamed("h", "host"), "host")
     less = lambda a: F.transform(F.coalesce(a, zero), lambda x, i: (x - F.when(i == F.col("guess"), 1).otherwise(0)).cast("double"))
     joined = joined.withColumns({"own": less(F.col("own")), "wide": less(F.col("wide"))})
     sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)

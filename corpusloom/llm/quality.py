@@ -10,8 +10,9 @@ the quantile from the median beyond it, and at least `SLACK` above it, so a unif
 rejects nothing.  The thresholds join back to the documents, and the filter follows.
 
 Edge cases: null text counts as empty, has no words and fails the base rule; null
-languages and sources are groups of their own; a group under `LEAST` documents uses the
-sketch of all groups; repeated rows are judged each; other columns are not read.
+languages and sources are groups of their own; a group of under `least` documents (a
+parameter, 50 unless set: fewer give no quantiles to speak of) uses the sketch of all
+groups; repeated rows are judged each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -123,13 +124,13 @@ def quantiles(merged: DataFrame, keys: list[str]) -> DataFrame:
     return upto.groupBy(*keys, "metric").agg(F.first("total").alias("total"), at(QUANTILE).alias("low"), at(0.5).alias("mid"), at(1 - QUANTILE).alias("high"))
 
 
-def thresholds(rows: DataFrame) -> DataFrame:
-    """One row for each language and source: the allowed range of each metric."""
+def thresholds(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row for each language and source: the allowed range of each metric; groups of under `least` documents use the sketch of all."""
     merged = sketch(rows, ["lang", "source"])
     own = quantiles(merged, ["lang", "source"])
     every = quantiles(merged.groupBy("metric", "bucket").agg(F.sum("n").alias("n")), []).select("metric", *[F.col(c).alias(f"all_{c}") for c in ("low", "mid", "high")])
     own = own.join(F.broadcast(every), "metric")
-    pick = {c: F.when(F.col("total") >= LEAST, F.col(c)).otherwise(F.col(f"all_{c}")) for c in ("low", "mid", "high")}
+    pick = {c: F.when(F.col("total") >= least, F.col(c)).otherwise(F.col(f"all_{c}")) for c in ("low", "mid", "high")}
     slack = F.create_map(*[x for m, (_, s) in METRICS.items() for x in (F.lit(m), F.lit(s))])[F.col("metric")]
     top = pick["mid"] + F.greatest(FENCE * (pick["high"] - pick["mid"]), slack)
     bottom = pick["mid"] - F.greatest(FENCE * (pick["mid"] - pick["low"]), slack)
@@ -138,12 +139,12 @@ def thresholds(rows: DataFrame) -> DataFrame:
     return wide.groupBy("lang", "source").agg(*pivot)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST) -> DataFrame:
     """Per row: counts, metrics, base_failed, failed (array of metrics outside their thresholds) and kept."""
     rows = save(text_counts(docs, id_col, text_col, lang_col, source_col))  # small: the texts are read once
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", base)
-    limits = save(thresholds(rows.where("NOT base_failed")))
+    limits = save(thresholds(rows.where("NOT base_failed"), least))
     limits = limits.withColumnsRenamed({"lang": "l_lang", "source": "l_source"})
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
     rows = rows.withColumns(metric_columns()).join(limits, F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("source").eqNullSafe(F.col("l_source")), "left")
