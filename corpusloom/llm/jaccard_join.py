@@ -37,7 +37,7 @@ from corpusloom.llm.skew import skew_join
 from corpusloom.llm.store import save
 
 #: Classes of one hub that one task compares.
-CHUNK = 256
+CHUNK = 96
 _SETS = "doc_id long, n_shingles long, digest binary, prefix array<long>, tokens binary"
 
 

@@ -176,10 +176,10 @@ def merged(emitted: DataFrame, sketch: Sketch) -> DataFrame:
 BLOCK_BYTES, LEAST_BLOCKS = 6 << 20, 48
 
 
-def sizes(docs: DataFrame, text_col: str) -> tuple[int, int]:
-    """(bytes of text, blocks to deal it into)."""
+def sizes(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
+    """(bytes of text, blocks of about `block_bytes` to deal it into)."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
-    return total, max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
+    return total, max(LEAST_BLOCKS, -(-total // block_bytes))
 
 
 def packed_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, keep: list[str] | None = None) -> DataFrame:
@@ -188,7 +188,7 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, keep: lis
     So neither null ids nor one id of many rows make a hot block.  `keep` names columns that travel along."""
 
     def pack(batches):
-        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+        for batch in batches:
             block = batch["__block"].to_numpy()
             order = np.argsort(block, kind="stable")
             text, ids = batch["__text"].cast(pa.large_binary()).take(pa.array(order)), batch["__id"].take(pa.array(order))

@@ -244,7 +244,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     if keep:
         schema = schema.add("row", docs.select(*keep).schema)
     out = to_arrow_schema(schema)
-    total, n = S.sizes(docs, text_col)
+    total, n = S.sizes(docs, text_col, S.BLOCK_BYTES // 2)  # a task holds the strings around anchors beside its text
     sketch = S.Sketch(2 * total // (length - GRAM + 2), rows=2, per_key=8)
     dealt = S.packed_blocks(docs, id_col, text_col, n, keep)
 

@@ -84,6 +84,7 @@ def _batches(batches, id_col: str, text_col: str):
             for d, e, x, y in b.pieces(1 << 20):
                 keys, at = _paths(K.LOWER[b.buf[x:y]], b.off[d : e + 1] - x)
                 yield b.ids[d:e], keys, at, batch.slice(first + d, e - d)
+    K.release()
 
 
 @dataclass
