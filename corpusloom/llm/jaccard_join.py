@@ -144,7 +144,7 @@ def _join_chunk(percent: int):
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest id reachable by links of Jaccard >= percent / 100."""
-    total, blocks = S.sizes(docs, text_col)
+    total, blocks = S.sizes(docs, text_col, 10 << 20)  # larger blocks send fewer cells and bodies
     sketch = S.Sketch(total // 6, rows=1)
     dealt = S.packed_blocks(docs, id_col, text_col, blocks)
 
