@@ -44,9 +44,12 @@ def _without(html: Column, opening: str, closing: str) -> Column:
     """Everything from an opening mark to the next closing one becomes a space; openings that are never closed stay.
 
     The text is cut at closing marks, and each piece is searched once, so the time is linear in the page."""
-    pieces = F.split(html, closing)
-    inner = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_replace(p, f"{opening}(?s:.*)\\z", " "))
-    return F.concat(F.array_join(inner, " "), F.when(F.size(pieces) > 1, " ").otherwise(""), F.element_at(pieces, -1))
+
+    def strip(pieces: Column) -> Column:
+        inner = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_replace(p, f"{opening}(?s:.*)\\z", " "))
+        return F.concat(F.array_join(inner, " "), F.when(F.size(pieces) > 1, " ").otherwise(""), F.element_at(pieces, -1))
+
+    return F.get(F.transform(F.array(F.split(html, closing)), strip), F.lit(0))  # the pieces are made once
 
 
 def visible(html: Column) -> Column:
