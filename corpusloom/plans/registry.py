@@ -12,7 +12,9 @@ from corpusloom.functions import numbers as N
 from corpusloom.functions import text as T
 from corpusloom.operators import bank, batch
 from corpusloom.operators import corpus_stats as S
+from corpusloom.operators import governance as G
 from corpusloom.operators import leakage as L
+from corpusloom.operators import validation as V
 from corpusloom.operators import windows as W
 from corpusloom.streaming.events import windowed_counts
 
@@ -571,3 +573,117 @@ def _(spark, d):
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY 1, 2")
 def _(spark, d):
     return windowed_counts(read(spark, d, "events"))
+
+
+# ---- schemas, findings, bands, gaps and caps ----
+
+_DOC_SCHEMA = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["doc_id", "lang"],
+    "properties": {
+        "doc_id": {"type": "integer", "minimum": 10},
+        "lang": {"enum": ["en", "de"]},
+        "n_chars": {"type": "integer", "exclusiveMinimum": 100, "maximum": 2000},
+        "source": {"type": "string", "minLength": 5, "pattern": "[0-9]$"},
+    },
+}
+_DOC_FAULTS = """SELECT doc_id, '$.doc_id' AS location, 'minimum' AS keyword FROM documents WHERE doc_id < 10
+UNION ALL SELECT doc_id, '$.lang', 'enum' FROM documents WHERE lang NOT IN ('en', 'de')
+UNION ALL SELECT doc_id, '$.n_chars', 'exclusiveMinimum' FROM documents WHERE n_chars <= 100
+UNION ALL SELECT doc_id, '$.n_chars', 'maximum' FROM documents WHERE n_chars > 2000
+UNION ALL SELECT doc_id, '$.source', 'minLength' FROM documents WHERE length(source) < 5
+UNION ALL SELECT doc_id, '$.source', 'pattern' FROM documents WHERE NOT regexp_matches(source, '[0-9]$')
+UNION ALL SELECT doc_id, '$.odd', 'additionalProperties' FROM documents WHERE doc_id % 3 = 0"""
+
+
+def _doc_json(spark, d):
+    docs = read(spark, d, "documents")
+    odd = F.when(F.col("doc_id") % 3 == 0, F.lit(1)).alias("odd")
+    return docs.select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars", "source", odd)).alias("manifest"))
+
+
+@query("schema_faults", _DOC_FAULTS)
+def _(spark, d):
+    return _doc_json(spark, d).select("doc_id", F.inline(V.schema_faults(F.try_parse_json("manifest"), _DOC_SCHEMA)))
+
+
+@query(
+    "validate_batches",
+    f"""WITH f AS ({_DOC_FAULTS}), g AS (SELECT doc_id, min(location) AS place, count(*) AS n FROM f GROUP BY 1), e AS (SELECT f.doc_id, any_value(place) AS place, min(keyword) AS k, any_value(n) AS n FROM f JOIN g ON f.doc_id = g.doc_id AND f.location = g.place GROUP BY 1)
+SELECT CAST(d.doc_id AS VARCHAR) AS path, d.doc_id % 7 <> 0 AND d.doc_id % 11 <> 0 AND e.n IS NULL AS valid, CASE WHEN d.doc_id % 7 = 0 THEN 'path_missing at $' WHEN d.doc_id % 11 = 0 THEN 'manifest_json_invalid at $' WHEN e.n > 0 THEN 'manifest_schema ' || k || ' at ' || place END AS error,
+CASE WHEN d.doc_id % 7 = 0 OR d.doc_id % 11 = 0 THEN 1 ELSE coalesce(e.n, 0) END::BIGINT AS n_errors FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id""",
+)
+def _(spark, d):
+    cut = F.when(F.col("doc_id") % 11 == 0, F.substring("manifest", 1, 5)).otherwise(F.col("manifest"))
+    batches = _doc_json(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 7 == 0, "missing").otherwise("folder").alias("kind"), cut.alias("manifest"))
+    return V.validate_batches(batches, _DOC_SCHEMA).select("path", "valid", "error", "n_errors")
+
+
+@query(
+    "run_findings",
+    """SELECT 'wet_run_not_passed' AS code, 'P0' AS severity, count(*) AS n FROM documents WHERE lang <> 'en' HAVING count(*) > 0
+UNION ALL SELECT 'wet_run_report_invalid', 'P0', count(*) FROM documents WHERE doc_id % 5 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'wet_run_batch_path_invalid', 'P0', count(*) FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0 HAVING count(*) > 0""",
+)
+def _(spark, d):
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, "../").otherwise(""), F.lit("batches/"), F.col("doc_id").cast("string"))
+    batch = F.when(F.col("doc_id") % 5 != 0, F.struct(F.col("doc_id").cast("string").alias("batch_id"), path.alias("batch_path"), F.lit("batches/m.json").alias("manifest_path")))
+    report = F.to_json(F.struct(F.when(F.col("lang") == "en", "passed").otherwise("failed").alias("status"), batch.alias("generated_batch")))
+    return V.run_findings(read(spark, d, "documents").select(report.alias("report"))).groupBy("code", "severity").agg(F.sum("n").alias("n"))
+
+
+_LEVEL = "CASE WHEN value > {0} THEN 'hold' WHEN value > {1} THEN 'warn' ELSE 'ok' END"
+
+
+@query(
+    "skew_bands",
+    f"""WITH s AS (SELECT max(n) / sum(n) AS value FROM (SELECT count(*) AS n FROM documents GROUP BY source)), t AS (SELECT sum(n - 1) / sum(n) AS value FROM (SELECT count(*) AS n FROM documents GROUP BY text)),
+r AS (SELECT lang, count(quality) / count(*) AS value, count(quality) AS k FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang)
+SELECT 'single_template_dominance' AS pattern, 'source' AS stratum, value, {_LEVEL.format(0.75, 0.5)} AS level FROM s
+UNION ALL SELECT 'duplicate_text', 'text', value, {_LEVEL.format(0.2, 0.05)} FROM t
+UNION ALL SELECT 'unreviewed_stratum', lang, value, CASE WHEN value > 0 THEN 'ok' ELSE 'hold' END FROM r
+UNION ALL SELECT 'style_control_skew', lang, value, CASE WHEN k = 0 THEN 'hold' WHEN k < 5 OR value > 0.8 THEN 'warn' ELSE 'ok' END FROM r""",
+)
+def _(spark, d):
+    docs = read(spark, d, "documents")
+    share = lambda pattern, stratum, value, non_default=F.lit(None): (F.lit(pattern).alias("pattern"), stratum.alias("stratum"), value.alias("value"), non_default.cast("long").alias("non_default"))
+    top = S.largest_share(docs, ["source"]).select(*share("single_template_dominance", F.lit("source"), F.col("share")))
+    rate = docs.groupBy(F.xxhash64("text"), "text").count().agg((F.sum(F.col("count") - 1) / F.sum("count")).alias("v")).select(*share("duplicate_text", F.lit("text"), F.col("v")))
+    seen = S.reviewed_share(docs, read(spark, d, "labels"), "doc_id", ["lang"], "quality")
+    metrics = top.unionByName(rate).unionByName(seen.select(*share("unreviewed_stratum", F.col("lang"), F.col("share")))).unionByName(seen.select(*share("style_control_skew", F.col("lang"), F.col("share"), F.col("reviewed"))))
+    return G.skew_bands(metrics.withColumns({"claimed": F.lit(True), "strict": F.lit(True), "tiny": F.lit(False)}))
+
+
+@query(
+    "profile_gaps",
+    """WITH c AS (SELECT source, count(*) AS observed, count(quality) AS reviewed, count(*) FILTER (quality = 1) AS capped, sum(count(*)) OVER () AS t FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)
+SELECT 'source_corpus_skew' AS reason, 'observed' AS layer, source AS stratum, observed AS n FROM c WHERE observed / t > 0.02
+UNION ALL SELECT 'cap_conflict', 'observed', source, observed FROM c WHERE observed > 10
+UNION ALL SELECT 'unreviewed_requested_stratum', 'reviewed', source, reviewed FROM c WHERE reviewed = 0
+UNION ALL SELECT 'missing_stratum', 'capped', source, capped FROM c WHERE capped = 0
+UNION ALL SELECT 'utility_evidence_missing', 'profile', NULL, NULL""",
+)
+def _(spark, d):
+    rows = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    strata = rows.groupBy(F.col("source").alias("stratum")).agg(F.count("*").alias("observed"), F.count("quality").alias("reviewed"), F.count_if(F.col("quality") == 1).alias("capped"))
+    fixed = {"dimension": F.lit("source_corpus"), "class": F.lit("required"), "max_share": F.lit(0.02), "max_n": F.lit(10).cast("long"), "is_default": F.lit(False)}
+    none = {c: F.lit(None).cast("long") for c in ("least_n", "requested", "released")}
+    profile = spark.createDataFrame([("utility_evidence_missing", True), ("seed_concentration", False)], "reason string, broken boolean")
+    return G.profile_gaps(strata.withColumns(fixed | none), profile).select("reason", "layer", "stratum", "n")
+
+
+@query(
+    "cap_status",
+    """WITH c AS (SELECT lang, count(*) AS n, count(quality) AS reviewed, (SELECT count(*) FROM documents) AS t FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang),
+f AS (SELECT *, n / t AS share, floor(round(0.2 * (t - n) / 0.8, 9))::BIGINT AS fit FROM c)
+SELECT lang AS slice, n, share, CASE WHEN reviewed = 0 THEN 0 ELSE least(n, fit, 1000000) END::BIGINT AS admitted, CASE WHEN reviewed = 0 THEN 'hold' WHEN n > fit AND fit = 0 THEN 'reject' WHEN n > fit THEN 'admit_reduced' ELSE 'admit_for_dry_run' END AS status,
+CASE WHEN n > fit THEN 'synthetic_percentage_cap_exceeded' ELSE 'within_release_profile_cap' END AS last_reason FROM f""",
+)
+def _(spark, d):
+    n = S.reviewed_share(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id", ["lang"], "quality")
+    total = read(spark, d, "documents").agg(F.count("*").alias("t"))
+    flags = {c: F.lit(False) for c in G.EVIDENCE} | {"unreviewed": F.col("reviewed") == 0}
+    slices = n.crossJoin(F.broadcast(total)).select(F.col("lang").alias("slice"), F.lit("dry_run").alias("purpose"), F.col("total").alias("n"), (F.col("t") - F.col("total")).alias("others"), F.lit(1_000_000).cast("long").alias("max_n"), F.lit(0.2).alias("max_share"), "reviewed").withColumns(flags)
+    none = spark.createDataFrame([], "slice string, dimension string, n long, max_n long")
+    return G.cap_status(slices, none).select("slice", "n", "share", "admitted", "status", F.element_at("reasons", -1).alias("last_reason"))
