@@ -35,6 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def mix_into(x: np.ndarray, spare: np.ndarray) -> None:
+    """`mix` in place, with another array of the size of x to work in."""
+    for shift, by in ((30, _M1), (27, _M2), (31, None)):
+        np.right_shift(x, U64(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if by is not None:
+            np.multiply(x, by, out=x)
+
+
 def odd(seed: int, n: int) -> np.ndarray:
     """n odd multipliers from a seed."""
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _K + U64(seed)) | U64(1)
@@ -116,6 +125,13 @@ def _eights(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,)).copy()
 
 
+def eights_into(buf: np.ndarray, out: np.ndarray) -> None:
+    """The eight bytes from each place of which all eight exist, as little-endian integers, to the start of out."""
+    n = len(buf) - 7
+    if n > 0:
+        out[:n] = np.ndarray((n,), dtype="<u8", buffer=buf, strides=(1,))
+
+
 def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20, salt: int = 1) -> np.ndarray:
     """A 64-bit hash of each word's bytes; another odd salt gives an independent one."""
     by = U64(salt)

@@ -31,13 +31,14 @@ from pyspark.sql.types import StructType
 
 from corpusloom.llm import kernel as K
 from corpusloom.llm import sketch as S
-from corpusloom.llm.substring_dedup import _split, span_array
+from corpusloom.llm.substring_dedup import _split
 from corpusloom.llm.suffix_sort import as_words, deep_shallow
 
 #: Bytes of an anchor; an anchor that so many documents may hold is dealt by its strings.
 GRAM, HOT = 24, 1024
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
-_STEP, _SLICE = 1 << 20, 1 << 16
+#: Bytes of a step, whose dozen passes stay in the cache, and rows of a slice.
+_STEP, _SLICE = 1 << 16, 1 << 14
 
 
 class _Anchors:
@@ -46,31 +47,46 @@ class _Anchors:
     def __init__(self, rows: pa.Table, length: int):
         self.texts = S.Texts(rows["body"].to_pylist())
         self.block = b = self.texts.block()
-        w = length - GRAM + 1
+        w, c, low = length - GRAM + 1, K.odd(5, 3), np.uint64(0xFFFFFF)
+        place = np.arange(_STEP + length, dtype=np.uint64)
+        x8, hash_, spare, other = (np.empty_like(place) for _ in range(4))  # memory of all steps
         parts = []
         for d, e, x, y in b.pieces(_STEP, length - 1):
             buf = b.buf[x:y]
             if len(buf) < length:
                 continue
-            x8 = K._eights(buf)
             m = len(buf) - GRAM + 1
-            c = K.odd(5, 3)
-            h = K.mix(x8[:m] * c[0] + K.mix(x8[8 : 8 + m] * c[1] + x8[16 : 16 + m] * c[2]))
-            v = (h & ~np.uint64(0xFFFFFF)) | np.arange(m, dtype=np.uint64)
-            least, span = v, 1
-            while span * 2 <= w:
-                least = np.minimum(least[:-span], least[span:])
-                span *= 2
-            if span < w:
-                least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
+            K.eights_into(buf, x8)
+            h, v, least = hash_[:m], spare[:m], other[:m]
+            np.multiply(x8[8 : 8 + m], c[1], out=h)
+            np.multiply(x8[16 : 16 + m], c[2], out=v)
+            h += v
+            K.mix_into(h, v)
+            np.multiply(x8[:m], c[0], out=v)
+            h += v
+            K.mix_into(h, v)
+            np.bitwise_and(h, ~low, out=least)
+            least |= place[:m]
+            span = 1
+            while span < w:
+                more = min(span, w - span)
+                least, v = np.minimum(least[:-more], least[more:], out=v[: len(least) - more]), least
+                span += more
             off = b.off[d : e + 1] - x if e - d > 1 else np.array([0, len(buf)])
-            at = K.window_starts(off, length)
-            p = (least[at] & np.uint64(0xFFFFFF)).astype(np.int64)
-            cut = np.flatnonzero((np.diff(p, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
-            if not len(cut):
+            start, stop = off[:-1], off[1:] - length + 1
+            has = stop > start
+            start, stop = start[has], stop[has]
+            if not len(start):
                 continue
-            last = np.append(cut[1:], len(at)) - 1
-            parts.append((h[p[cut]], p[cut] + x, at[cut] + x, at[last] + x))
+            edge = np.ones(len(least) + 1, bool)  # where the anchor of the strings, or the document, changes
+            np.not_equal(least[1:], least[:-1], out=edge[1:-1])
+            edge[start] = edge[stop] = True
+            edge = np.flatnonzero(edge)
+            doc = np.searchsorted(start, edge[:-1], "right") - 1
+            in_doc = np.flatnonzero((doc >= 0) & (edge[:-1] < stop[doc]))
+            lo, hi = edge[in_doc], edge[in_doc + 1] - 1
+            p = (least[lo] & low).astype(np.int64)
+            parts.append((h[p], p + x, lo + x, hi + x))
         none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
         self.h, self.at, self.lo, self.hi = (np.concatenate(z) for z in zip(*parts, strict=True)) if parts else none
         self.doc = np.searchsorted(b.off, self.at, "right") - 1
@@ -103,19 +119,20 @@ class _Segments:
             h, doc = np.concatenate([h, key]), np.concatenate([doc, np.repeat(a.doc[hot], n)])
             at, lo, hi = np.concatenate([at, np.repeat(a.at[hot], n)]), np.concatenate([lo, s]), np.concatenate([hi, s])
         width = left + length
-        view, col = _windows(a.block.buf, width), np.arange(width)
+        view = _windows(a.block.buf, width)
         most, least = (at - lo).astype(np.uint8), (at - hi).astype(np.uint8)
         rows, key = np.empty((len(at), width + 2), np.uint8), np.empty(len(at), np.uint64)
         for x in range(0, len(at), _SLICE):  # slices, so that masks and copies stay small
             y = x + _SLICE
             r = view[at[x:y] - left + width]
-            r[(col < (left - most[x:y].astype(int))[:, None]) | (col >= (width - least[x:y].astype(int))[:, None])] = 0
+            r *= _used(most[x:y], least[x:y], left, width)
             rows[x:y, :-2], rows[x:y, -2], rows[x:y, -1] = r, most[x:y], least[x:y]
             key[x:y] = K.mix(_digest(rows[x:y]) * np.uint64(3) + h[x:y])
         ids = a.block.ids[doc]
         order, head = _grouped(key)
-        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-        if any((rows[order[x : x + _SLICE]] != rows[lead[x : x + _SLICE]]).any() for x in range(0, len(order), _SLICE)):  # two contents with one digest: group by content
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))][~head] if len(order) else order
+        like = order[~head]
+        if any((rows[like[x : x + _SLICE]] != rows[lead[x : x + _SLICE]]).any() for x in range(0, len(like), _SLICE)):  # two contents with one digest: group by content
             both = np.concatenate([rows, h.view(np.uint8).reshape(-1, 8)], axis=1)
             key = np.unique(both, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
             order, head = _grouped(key)
@@ -130,18 +147,27 @@ class _Segments:
         order = np.argsort(to, kind="stable")
         edges = np.searchsorted(to[order], np.arange(parts + 1))
         width = self.rows.shape[1] - 2
+        h, planes, most, least = self.h[order], self.ids[order].astype("<i8").view(np.uint8).reshape(-1, 8), self.rows[order, -2], self.rows[order, -1]
+        text = [np.zeros(0, np.uint8)]
+        for x in range(0, len(order), _SLICE):
+            y = x + _SLICE
+            text.append(self.rows[order[x:y], :-2][_used(most[x:y], least[x:y], self.left, width)])
+        text = np.concatenate(text)
+        upto = np.concatenate([[0], np.cumsum(width - self.left + most.astype(np.int64) - least)])
         out = []
-        for p in np.flatnonzero(np.diff(edges)):
-            i = order[edges[p] : edges[p + 1]]
-            r = self.rows[i]
-            col = np.arange(width)
-            used = (col >= (self.left - r[:, -2].astype(int))[:, None]) & (col < (width - r[:, -1].astype(int))[:, None])
-            planes = self.ids[i].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-            text = pa.compress(r[:, :-2][used].tobytes(), codec="zstd", asbytes=True)
-            out.append((int(p), block, len(i).to_bytes(8, "little") + self.h[i].tobytes() + planes + r[:, -2].tobytes() + r[:, -1].tobytes() + text))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            x, y = int(edges[p]), int(edges[p + 1])
+            packed = pa.compress(text[upto[x] : upto[y]], codec="zstd", asbytes=True)
+            out.append((p, block, b"".join([(y - x).to_bytes(8, "little"), h[x:y].tobytes(), planes[x:y].T.tobytes(), most[x:y].tobytes(), least[x:y].tobytes(), packed])))
         return out
 
 
+def _used(most: np.ndarray, least: np.ndarray, left: int, width: int) -> np.ndarray:
+    """Which bytes of each row of `width` bytes around an anchor its strings cover: from `most` before the anchor on, without the last `least`."""
+    col = np.arange(width, dtype=np.int16)
+    return (col >= (left - most.astype(np.int16))[:, None]) & (col < (width - least.astype(np.int16))[:, None])
+
+
 def _windows(buf: np.ndarray, width: int) -> np.ndarray:
     """A view: row i holds the width bytes from place i - width on; places outside the buffer read as zero."""
     padded = np.concatenate([np.zeros(width, np.uint8), buf, np.zeros(width, np.uint8)])
@@ -176,31 +202,33 @@ def _sort_strings(length: int):
     width = left + length
 
     def run(table: pa.Table) -> pa.Table:
-        ds, mosts, leasts, rows, n = [], [], [], [], []
-        for x in table["body"]:
-            body = x.as_py()
+        ds, mosts, leasts, texts, n = [], [], [], [], []
+        for body in table["body"].to_pylist():
             k = int.from_bytes(body[:8], "little")
             n.append(k)
-            ds.append(np.frombuffer(body, np.uint8, 8 * k, 8 + 8 * k).reshape(8, k).T.copy().view("<i8").ravel())
-            most, least = np.frombuffer(body, np.uint8, k, 8 + 16 * k), np.frombuffer(body, np.uint8, k, 8 + 17 * k)
-            r = np.zeros((k, width), np.uint8)
-            col = np.arange(width)
-            used = (col >= (left - most.astype(int))[:, None]) & (col < (width - least.astype(int))[:, None])
-            r[used] = np.frombuffer(pa.decompress(body[8 + 18 * k :], decompressed_size=int(used.sum()), codec="zstd", asbytes=True), np.uint8)
-            mosts.append(most), leasts.append(least), rows.append(r)
-        doc, most, least, rows = np.concatenate(ds), np.concatenate(mosts).astype(np.int64), np.concatenate(leasts).astype(np.int64), np.concatenate(rows)
+            ds.append(np.frombuffer(body, np.uint8, 8 * k, 8 + 8 * k).reshape(8, k).T)
+            mosts.append(np.frombuffer(body, np.uint8, k, 8 + 16 * k)), leasts.append(np.frombuffer(body, np.uint8, k, 8 + 17 * k))
+            size = length * k + int(mosts[-1].sum(dtype=np.int64)) - int(leasts[-1].sum(dtype=np.int64))
+            texts.append(pa.decompress(memoryview(body)[8 + 18 * k :], decompressed_size=size, codec="zstd", asbytes=True))
+        doc, most, least, text = np.ascontiguousarray(np.concatenate(ds)).view("<i8").ravel(), np.concatenate(mosts), np.concatenate(leasts), np.frombuffer(b"".join(texts), np.uint8)
+        rows = np.zeros((len(doc), width), np.uint8)
+        rows[_used(most, least, left, width)] = text
+        most, least = most.astype(np.int64), least.astype(np.int64)
         total = len(doc)
         order, lcp = deep_shallow(np.ascontiguousarray(rows[:, left:]))
-        back, back_lcp = deep_shallow(np.ascontiguousarray(rows[:, :left][:, ::-1]), 1)
+        back, back_lcp = deep_shallow(np.ascontiguousarray(rows[:, :left][:, ::-1]))
         right_class, left_class = np.empty(total, np.int64), np.empty(total, np.int64)
+        # the longest prefix that each suffix shares with any other one
+        near, back_near = np.empty(total, np.int64), np.empty(total, np.int64)
+        near[order], back_near[back] = np.maximum(lcp, np.append(lcp[1:], 0)), np.maximum(back_lcp, np.append(back_lcp[1:], 0))
         runs = []
-        low, high = int(least.min()), int(most.max())
-        for a in range(low, high + 1):
-            right_class[order] = np.cumsum(lcp < length - a)
-            left_class[back] = np.cumsum(back_lcp < a)
-            i = np.flatnonzero((least <= a) & (a <= most))
+        first, last = np.maximum(least, length - near), np.minimum(most, back_near)  # other strings equal none
+        for a in range(int(first.min()), int(last.max()) + 1):
+            i = np.flatnonzero((first <= a) & (a <= last))
             if not len(i):
                 continue
+            right_class[order] = np.cumsum(lcp < length - a)
+            left_class[back] = np.cumsum(back_lcp < a)
             pair = right_class[i] * (total + 1) + left_class[i]
             by = np.argsort(pair)
             p, i = pair[by], i[by]
@@ -285,7 +313,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         a, b = np.maximum(seg.lo[o], seg.at[o] - hi[v]), np.minimum(seg.hi[o], seg.at[o] - lo[v])
         some = a <= b
         s, t = np.concatenate([seg.lo[late], a[some]]), np.concatenate([seg.hi[late], b[some]])
-        return _result(anchors, K.covered(len(anchors.block.buf), s, t + length)).cast(out)
+        return _result(anchors, s, t + length).cast(out)
 
     answers = S.merged(dealt.groupBy("block").applyInArrow(K.lean(emit), S.WIRE), sketch)
     sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(K.lean(segments), S.WIRE)
@@ -294,18 +322,31 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(K.lean(remove), schema)
 
 
-def _result(a: _Anchors, removed: np.ndarray) -> pa.Table:
-    b, upto = a.block, np.concatenate([[0], np.cumsum(removed)]).astype(np.int64)
-    spans = span_array(removed, b.off)
+def _result(a: _Anchors, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """Rows of the block's documents without the bytes of any [start, end), each inside one document."""
+    b = a.block
+    by = np.argsort(starts)
+    starts, reach = starts[by], np.maximum.accumulate(ends[by])
+    doc = np.searchsorted(b.off, starts, "right") - 1
+    head = np.ones(len(by), bool)
+    head[1:] = (starts[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(head)
+    doc, s, e = doc[first], starts[first], reach[np.append(first[1:], len(by)) - 1] if len(by) else reach
+    at, gone = np.searchsorted(doc, np.arange(b.n + 1)), np.concatenate([[0], np.cumsum(e - s)])
+    n_removed = gone[at]
+    edges = np.concatenate([[0], np.stack([s, e], axis=1).ravel(), [len(b.buf)]])
+    keep = np.repeat(np.arange(len(edges) - 1) % 2 == 0, np.diff(edges))
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.n, [None, pa.py_buffer((b.off - n_removed).astype(np.int64).tobytes()), pa.py_buffer(b.buf[keep].tobytes())])
+    runs = pa.StructArray.from_arrays([pa.array(s - b.off[doc], pa.int64()), pa.array(e - b.off[doc], pa.int64())], ["start", "end"])
     rest = {} if a.texts.rest is None else {"row": pa.StructArray.from_arrays([c.combine_chunks() for c in a.texts.rest.take(pa.array(b.order)).columns], fields=list(a.texts.rest.schema))}
     return pa.table(
         {
             "doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == K.NULL_ID),
             "n_bytes": pa.array(np.diff(b.off), pa.int64()),
-            "n_removed": pa.array(upto[b.off[1:]] - upto[b.off[:-1]], pa.int64()),
-            "n_spans": spans.value_lengths().cast(pa.int64()),
-            "kept": K.cut(b.buf, ~removed, b.off),
-            "spans": spans,
+            "n_removed": pa.array(np.diff(n_removed), pa.int64()),
+            "n_spans": pa.array(np.diff(at), pa.int64()),
+            "kept": kept,
+            "spans": pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs),
         }
         | rest
     )

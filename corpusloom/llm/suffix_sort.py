@@ -1,10 +1,10 @@
 """Deep-shallow sorting of fixed-width suffixes.
 
 Shallow: multikey quicksort over eight-byte characters, all open groups at once; each
-round splits every group by its pivot into smaller, equal and larger, and only the equal
-part goes on to the next character.  Deep: groups that still share the shallow prefix are
-ordered by blind tries (one branch byte a node, one full comparison an insertion).
-Equal suffixes meet in one leaf.
+round sorts every group by its next character, and only rows that are equal so far go on
+to the one after.  Deep: groups that still share the shallow prefix are ordered by blind
+tries of their distinct suffixes (one branch byte a node, one full comparison an
+insertion).  Equal suffixes meet in one leaf.
 """
 
 from __future__ import annotations
@@ -20,60 +20,52 @@ def multikey(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order rows of big-endian words by their first `depth` words; (order, group number of each sorted row)."""
     n = len(words)
     order, group = np.arange(n), np.zeros(n, np.int64)
-    #: the character each row's group is compared by; rows of a group of one are done
-    char = np.zeros(n, np.int64)
-    while True:
-        size = np.bincount(group, minlength=group[-1] + 1 if n else 0)
-        open_rows = np.flatnonzero((char < depth) & (size[group] > 1)) if n else np.zeros(0, np.int64)
+    for char in range(depth):
+        size = np.bincount(group)
+        open_rows = np.flatnonzero(size[group] > 1) if n else order  # rows of a group of one are done
         if not len(open_rows):
-            return order, group
-        g, o, c = group[open_rows], order[open_rows], char[open_rows]
-        key = words[o, c]
-        first = _starts(g)
-        count = np.diff(np.append(first, len(g)))
-        three = np.stack([key[first], key[first + count // 2], key[first + count - 1]])
-        pivot = np.sort(three, axis=0)[1]
-        side = np.repeat(pivot, count)
-        side = (key > side).astype(np.int8) - (key < side)
-        local = np.repeat(np.arange(len(first)), count)
-        place = np.argsort(local * 3 + side + 1, kind="stable")  # a counting sort: groups stay in place
-        order[open_rows] = o[place]
-        char[open_rows] = (c + (side == 0))[place]
+            break
+        o, g = order[open_rows], group[open_rows]
+        key = words[o, char]
+        by = np.argsort(key)
+        rank = np.empty(len(o), np.int64)
+        rank[by] = np.cumsum(np.diff(key[by], prepend=key[by[:1]]) != 0)
+        both = g * len(o) + rank
+        by = np.argsort(both) if char else by  # groups stay in place
+        order[open_rows] = o[by]
         part = np.zeros(n, np.int64)
-        part[open_rows] = (side + 1)[place]
-        both = group * 3 + part
-        group = np.cumsum(np.diff(both, prepend=both[:1] if n else both) != 0)
+        part[open_rows] = rank[by]
+        head = np.diff(group, prepend=group[:1]) != 0
+        head[1:] |= part[1:] != part[:-1]
+        group = np.cumsum(head)
+    return order, group
 
 
 class _Node:
-    __slots__ = ("depth", "kids", "rows", "text")
-
-    def __init__(self, depth, kids=None, rows=None, text=None):
-        self.depth, self.kids, self.rows, self.text = depth, kids, rows, text
-
-
-def _common(a: bytes, b: bytes, start: int) -> int:
-    n = len(a)
-    while start < n and a[start] == b[start]:
-        start += 1
-    return start
-
-
-def blind_trie(texts: list[bytes], rows: list[int], start: int) -> list[int]:
-    """Rows ordered by their texts of one length, all sharing the first `start` bytes."""
-    root = _Node(len(texts[0]), rows=[rows[0]], text=texts[0])
-    for text, row in zip(texts[1:], rows[1:], strict=True):
+    __slots__ = ("depth", "kids", "number", "rows", "text")
+
+    def __init__(self, depth, kids=None, rows=None, text=None, number=0):
+        self.depth, self.kids, self.rows, self.text, self.number = depth, kids, rows, text, number
+
+
+def blind_trie(texts: list[bytes], rows: list[int]) -> list[int]:
+    """Rows ordered by their texts, which are of one length."""
+    equal: dict[bytes, list[int]] = {}
+    for text, row in zip(texts, rows, strict=True):
+        equal.setdefault(text, []).append(row)
+    root = None
+    for text, mine in equal.items():
+        leaf = _Node(len(text), rows=mine, text=text, number=int.from_bytes(text))
+        if root is None:
+            root = leaf
+            continue
         node = root
         while node.kids:  # blind: only branch bytes are looked at
             node = node.kids.get(text[node.depth]) or next(iter(node.kids.values()))
-        at = _common(text, node.text, start)
-        if at == len(text):
-            node.rows.append(row)
-            continue
+        at = len(text) - ((leaf.number ^ node.number).bit_length() + 7 >> 3)  # the first byte that differs
         parent, node = None, root
         while node.depth < at:
             parent, node = node, node.kids[text[node.depth]]
-        leaf = _Node(len(text), rows=[row], text=text)
         if node.depth == at and node.kids:
             node.kids[text[at]] = leaf
             continue
@@ -110,17 +102,25 @@ def deep_shallow(rows: np.ndarray, shallow: int = 4) -> tuple[np.ndarray, np.nda
     words = as_words(rows)
     order, group = multikey(words, min(shallow, words.shape[1]))
     if words.shape[1] > shallow:
-        rest = words[order][:, shallow:]
+        rest = words[order, shallow:]
         differs = np.zeros(n, bool)
         differs[1:] = (group[1:] == group[:-1]) & (rest[1:] != rest[:-1]).any(axis=1)
         first = _starts(group)
-        size = np.diff(np.append(first, n))
-        for f in first[np.add.reduceat(differs, first) > 0]:
-            k = int(size[np.searchsorted(first, f)])
-            mine = order[f : f + k]
-            order[f : f + k] = blind_trie([rows[i].tobytes() for i in mine], mine.tolist(), 8 * shallow)
-    lcp = np.zeros(n, np.int64)
-    sorted_rows = rows[order]
-    same = sorted_rows[1:] == sorted_rows[:-1]
-    lcp[1:] = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
-    return order, lcp
+        last = np.append(first[1:], n)
+        mixed = np.flatnonzero(np.logical_or.reduceat(differs, first))
+        raw, at = np.ascontiguousarray(rows[:, 8 * shallow :]).tobytes(), width - 8 * shallow
+        for f, e in zip(first[mixed].tolist(), last[mixed].tolist(), strict=True):
+            mine = order[f:e].tolist()
+            order[f:e] = blind_trie([raw[i * at : (i + 1) * at] for i in mine], mine)
+    return order, _prefixes(words[order], width)
+
+
+def _prefixes(words: np.ndarray, width: int) -> np.ndarray:
+    """The common prefix, in bytes, of each row of big-endian words with the row before it."""
+    lcp = np.zeros(len(words), np.int64)
+    differ = words[1:] ^ words[:-1]
+    at = np.argmax(differ != 0, axis=1)
+    x = differ[np.arange(len(at)), at]
+    same = sum((x < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))  # leading bytes that are equal
+    lcp[1:] = np.where(x == 0, width, 8 * at + same)
+    return lcp

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import jaccard_join, signature_tree, sketch, substring_dedup, suffix_dedup, suffix_sort
@@ -106,6 +108,40 @@ def test_deep_shallow_sorts(width):
         assert a[:n] == b[:n] and (n == width or a[n] != b[n])
 
 
+def test_deep_shallow_takes_few_rounds(monkeypatch):
+    """A round sorts whole groups by a character, so their number follows the characters, not the rows; copies enter a trie once."""
+    r = np.random.RandomState(5)
+    rows = r.randint(0, 256, (20_000, 50)).astype(np.uint8)
+    rows[:300, :40] = rows[0, :40]  # one trie
+    rows[10_000:] = rows[:10_000]
+    sorts, leaves = [], []
+    argsort, node = np.argsort, suffix_sort._Node
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or argsort(*a, **b))
+    monkeypatch.setattr(suffix_sort, "_Node", lambda *a, **b: leaves.append("rows" in b) or node(*a, **b))
+    order, _ = suffix_sort.deep_shallow(rows)
+    assert [rows[i].tobytes() for i in order] == sorted(x.tobytes() for x in rows)
+    assert len(sorts) <= 8 and sum(leaves) == 300
+
+
+def test_anchors_of_a_block_work_in_small_steps():
+    """Passes over a block's bytes reuse the memory of one step."""
+    r = np.random.RandomState(6)
+    texts = [r.randint(97, 123, n).astype(np.uint8).tobytes() for n in [3_000] * 500 + [0, 20, 49, 50, 51] + [700_000]]
+    ids = np.arange(len(texts))
+    raw = sketch._squeeze(b"".join(texts))
+    body = len(ids).to_bytes(4, "little") + ids.tobytes() + np.zeros(len(ids), bool).tobytes() + np.array([len(x) for x in texts]).tobytes() + len(raw).to_bytes(8, "little") + raw
+    rows = pa.table({"block": [0], "body": pa.array([body], pa.binary())})
+    tracemalloc.start()
+    try:
+        a = suffix_dedup._Anchors(rows, 50)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (a.hi - a.lo + 1).sum() == sum(max(0, len(x) - 49) for x in texts)  # every string has one anchor
+    assert ((a.lo <= a.at) & (a.at <= a.lo + 26) & (a.hi <= a.at)).all() and (a.block.off[a.doc + 1] >= a.hi + 50).all()
+    assert peak < 12 * len(a.block.buf)
+
+
 def brute_windows(rows, n):
     order = sorted(((float("-inf") if i is None else i), t or "", i) for i, t, *_ in rows)
     seen, out = set(), []
