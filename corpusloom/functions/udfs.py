@@ -6,13 +6,15 @@ import json
 import random
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType
 
 
 @F.arrow_udf(StringType())
@@ -25,6 +27,84 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(F.octet_length(text) != F.char_length(text), text)), text)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit numbers spread over the whole number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def part_signatures(hashes: Column, percent: float) -> Column:
+    """Signatures of a set, given as 64-bit hashes of its elements; sets with a Jaccard similarity of at least
+    percent / 100 have one in common.
+
+    Sizes are cut into ranges so that near sets are in one range or in neighbours.  A set is dealt by its elements'
+    hashes into parts for its own range and for the next, one part more than the elements in which two near sets of
+    these sizes can differ; so one part at least is equal.  A signature is the range, the part and the sum of its hashes."""
+    share = Fraction(percent) / 100
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def signatures(a: pa.Array) -> pa.Array:
+        size = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = [0]
+        while ends[-1] < size.max(initial=0):
+            ends.append(int((ends[-1] + 1) / share))
+        ends.append(int((ends[-1] + 1) / share))
+        parts = np.array([int(2 * n * (1 - share) / (1 + share)) + 1 for n in ends], np.int64)
+        own = np.searchsorted(ends, size)  # the range of each set: sizes up to ends[own]
+        values, starts = a.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.append(0, np.cumsum(size))
+        out, counts = [], np.where(size > 0, parts[own] + parts[own + (size > 0)], 0)
+        for at in range(0, len(size), 1000):  # bounds the memory
+            n, r = size[at : at + 1000], own[at : at + 1000]
+            v = values[starts[at] : starts[at + len(n)]]
+            first = np.append(0, np.cumsum(counts[at : at + 1000]))
+            sums, names = np.zeros(first[-1], np.uint64), np.zeros(first[-1], np.uint64)
+            shift = np.zeros(len(n), np.int64)
+            for k in (r, r + (n > 0)):
+                m = np.where(n > 0, parts[k], 0)
+                begin = first[:-1] + shift
+                place = np.repeat(begin, n) + ((v >> np.uint64(20)) % np.repeat(m, n).astype(np.uint64)).astype(np.int64)
+                np.add.at(sums, place, v)
+                slots = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)  # 0 to m - 1 for each set
+                names[np.repeat(begin, m) + slots] = (np.repeat(k, m).astype(np.uint64) << np.uint64(32)) + slots.astype(np.uint64)
+                shift = m
+            out.append(_mixed(sums + _mixed(names + np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
+        offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, np.concatenate(out) if out else np.zeros(0, np.int64))
+
+    return signatures(hashes)
+
+
+def compare_sets(percent: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows (place, i, j, ha, hb, id, s) ordered by place, i, j: sets, whose hb is null, and after
+    them the pairs of hashes to compare.  Yields (a, b, both, either) of pairs similar enough, a with the lesser id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, {}
+        for batch in batches:
+            place, i, j, ha, hb, ids = (batch.column(c).to_pylist() for c in range(6))
+            sets, out = batch.column(6), []
+            values, ends = sets.flatten().to_pylist(), np.cumsum(sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            for r, end in enumerate(ends):
+                if here != (at := (place[r], i[r], j[r])):
+                    here, held = at, {}
+                if hb[r] is None:
+                    held.setdefault(ha[r], []).append((ids[r], set(values[ends[r - 1] if r else 0 : end])))
+                    continue
+                for a, x in held[ha[r]]:
+                    for b, y in held[hb[r]]:
+                        if a < b:
+                            both = len(x & y)
+                            either = len(x) + len(y) - both
+                            if both * 100 >= either * percent:
+                                out.append((a, b, both, either))
+            kinds = (batch.schema.field(5).type, batch.schema.field(5).type, pa.int32(), pa.int32())
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "both", "either"])
+
+    return run
+
+
 def is_nfc(text: Column) -> Column:
     return text == nfc(text)
 

@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.udfs import nfc
+from corpusloom.functions.udfs import compare_sets, nfc, part_signatures
 
 #: A protected side of at most so many grams is broadcast; a larger one is shuffled.
 BROADCAST_GRAMS = 1_000_000
 
+#: From this similarity on a part of a set holds about five elements or more, and sets are compared by parts.
+PARTS_PERCENT = 80
+
+#: So many sets on each side of a task's comparisons; a place with more pairs is cut.
+SQUARE = 256
+
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, line_no from 0, line): stripped lines, blank ones dropped."""
@@ -153,26 +159,48 @@ def duplicate_rate(rows: DataFrame, key: str, digits: int = 6) -> DataFrame:
     return sizes.agg(F.count_if(F.col("count") > 1).alias("groups"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("extra"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).withColumn("rate", T.ratio(F.col("extra"), F.col("rows"), digits))
 
 
-def near_duplicate_pairs(docs: DataFrame, id_col: str, sets: Column, percent: int = 90) -> DataFrame:
+def _by_rare_elements(rows: DataFrame, percent: float) -> DataFrame:
+    """Candidates (ha, hb, place): of each set only its rarest elements are indexed, as many as a partner has to share one of.
+
+    For low percentages only, whose sets have too few elements a part."""
+    each = rows.select("id", "h", F.size("s").alias("n"), F.explode("s").alias("x"))
+    shared = each.join(each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"), "x")
+    own = Window.partitionBy("id", "h", "n")
+    ones = F.col("n") - F.count("*").over(own)  # elements of one document only come first
+    head = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "x")) + ones).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    a, b = (head.select("x", *[F.col(c).alias(f"{c}{side}") for c in ("id", "h", "n")]) for side in "ab")
+    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    return a.join(b, "x").where((F.col("ida") < F.col("idb")) & near).select("ha", "hb", F.col("ha").alias("place")).distinct()
+
+
+def _by_parts(rows: DataFrame, percent: float) -> DataFrame:
+    """Candidates (ha, hb, place): sets that have the same elements in one of so many parts that a partner cannot differ
+    in all.  They meet where their least common part is, so that many near copies of a text have few places."""
+    each = rows.select("id", "h", F.explode(part_signatures(F.transform("s", lambda x: F.xxhash64(x)), percent)).alias("part"))
+    a, b = (each.select("part", F.col("id").alias(f"id{side}"), F.col("h").alias(f"h{side}")) for side in "ab")
+    return a.join(b, "part").where("ida < idb").groupBy("ha", "hb").agg(F.min("part").alias("place"))
+
+
+def near_duplicate_pairs(docs: DataFrame, id_col: str, sets: Column, percent: float = 90) -> DataFrame:
     """(a, b, both, either) of documents whose sets have a Jaccard similarity of at least percent / 100.
 
-    Equal sets fold to their least id first.  Of each set only its rarest elements are indexed, as many as a partner
-    has to share one of; candidates are then compared in full."""
-    rows = docs.select(F.col(id_col).alias("id"), F.array_distinct(sets).alias("s")).where(F.size("s") > 0)
-    rows = rows.groupBy(F.sort_array("s").alias("s")).agg(F.min("id").alias("id"))
-    each = rows.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
-    rarity = each.groupBy("x").agg(F.count("*").alias("df"))
-    shared = each.join(rarity.where("df > 1"), "x")
-    need = F.ceil(F.col("n") * percent / 100)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))
-    ones = F.col("n") - F.count("*").over(Window.partitionBy("id"))  # elements of one document only come first
-    head = shared.withColumn("rank", rank).withColumn("ones", ones).where(F.col("rank") + F.col("ones") <= F.col("n") - need + 1)
-    a, b = head.select(F.col("id").alias("a"), "x", F.col("n").alias("na")), head.select(F.col("id").alias("b"), "x", F.col("n").alias("nb"))
-    cand = a.join(b, "x").where((F.col("a") < F.col("b")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct()
-    left, right = rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), rows.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = cand.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    both = both.withColumn("either", F.size("sa") + F.size("sb") - F.col("both"))
-    return both.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b", "both", "either")
+    Equal sets fold to their least id first.  Each set gives about a tenth as many signatures as it has elements, twice,
+    whatever the size of the corpus; each stands for about ten elements, so common elements alone make no candidates.
+    Candidates name hashes only; a set travels once to each place where it is compared in full, not once a candidate.
+    A place of many pairs is cut into squares of about `SQUARE` sets a side."""
+    rows = docs.select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(sets)).alias("s")).where((F.size("s") > 0) & F.col("id").isNotNull())
+    rows = rows.select("id", "s", F.xxhash64("s").alias("h")).repartition("h").groupBy("h", "s").agg(F.min("id").alias("id"))
+    cand = _by_parts(rows, percent) if percent >= PARTS_PERCENT else _by_rare_elements(rows, percent)
+    large = cand.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > SQUARE * SQUARE).select("place", F.ceil(F.sqrt("n") / SQUARE).alias("k"))
+    k = F.coalesce("k", F.lit(1))
+    cand = cand.join(F.broadcast(large), "place", "left").select("place", F.pmod("ha", k).alias("i"), F.pmod("hb", k).alias("j"), "ha", "hb")
+    at = ["place", "i", "j"]
+    goes = cand.select(*at, F.explode(F.array("ha", "hb")).alias("h")).distinct()
+    none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    sent = goes.join(rows, "h").select(*at, F.col("h").alias("ha"), F.lit(None).cast("long").alias("hb"), "id", "s")
+    both = sent.unionByName(cand.select(*at, "ha", "hb", none("id"), none("s"))).repartition(*at).sortWithinPartitions(*at, F.col("hb").asc_nulls_first())
+    kind = rows.schema["id"].dataType.simpleString()
+    return both.mapInArrow(compare_sets(percent), f"a {kind}, b {kind}, both int, either int")
 
 
 def cross_corpus_lines(lines: DataFrame, corpus: str) -> DataFrame:

@@ -53,6 +53,28 @@ def test_duplicates_and_near_duplicates(spark):
     assert rows(L.multiset_difference(frame(spark, [("x",)] * 3, "t string"), frame(spark, [("x",), ("y",)], "t string"), ["t"]), "t", "missed", "extra", "common") == [("x", 2, 0, 1), ("y", 0, 1, 0)]
 
 
+def test_near_duplicates_of_common_elements_have_few_candidates(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = [(i, rng.sample([f"w{k}" for k in range(120)], 60)) for i in range(300)]  # every element is in half of the sets
+    sets += [(500 + i, [*sets[i][1][:-1], f"e{i}"]) for i in range(20)]
+    sets += [(7, sets[1][1][:-2]), (None, sets[2][1]), (900, [])]  # a repeated id, no id, no elements
+    sets += [(1000 + i, [f"h{k}" for k in range(60) if k != i % 30 and k != 30 + i // 30]) for i in range(300)]  # a large group of near copies
+    docs = frame(spark, sets, "id long, s array<string>")
+    want = sorted((a, b, len(x & y), len(x | y)) for a, x in ((k, set(v)) for k, v in sets if k is not None) for b, y in ((k, set(v)) for k, v in sets if k is not None) if a < b and 10 * len(x & y) >= 9 * len(x | y) and x | y)
+    assert sorted(map(tuple, L.near_duplicate_pairs(docs, "id", F.col("s"), 90).collect())) == want
+    square, L.SQUARE = L.SQUARE, 8
+    try:
+        assert sorted(map(tuple, L.near_duplicate_pairs(docs, "id", F.col("s"), 90).collect())) == want
+    finally:
+        L.SQUARE = square
+    low = sorted((a, b) for a, x in ((k, set(v)) for k, v in sets[:330] if k is not None) for b, y in ((k, set(v)) for k, v in sets[:330] if k is not None) if a < b and 10 * len(x & y) >= 4 * len(x | y) and x | y)
+    assert rows(L.near_duplicate_pairs(docs.where("id < 1000 OR id IS NULL"), "id", F.col("s"), 40), "a", "b") == sorted((t for t in low if max(t) < 1000), key=str)
+    few = docs.where("id < 300 AND size(s) > 0").select("id", "s", F.xxhash64("s").alias("h"))
+    assert L._by_parts(few, 90).count() < 300  # of 44,850 pairs, nearly all of which share a rarest element
+
+
 def test_strata_and_fits(spark):
     df = frame(spark, [("a", None, 1), ("a", "x", 2), ("b", "x", 3), ("a", "x", 7)], "p string, q string, k int")
     assert rows(S.stratum_counts(df, ["p", "q"]), "dimension", "value", "n") == [("p", "a", 3), ("p", "b", 1), ("q", "x", 3), ("q", None, 1)]
