@@ -27,15 +27,39 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_GRAMS else df
 
 
-def grams(lines: DataFrame, n: int, chars: bool = False, distinct: bool = True) -> DataFrame:
-    """Column `gram` of all lines; a line's own repeats fold before the shuffle."""
-    if chars:
-        make = T.char_ngrams(F.col("line"), n)
-    else:  # words once a line, not once a gram
-        lines, make = lines.select(T.tokens(F.col("line")).alias("w")), T.word_ngrams(F.col("w"), n)
-    if distinct:
-        return lines.select(F.explode(F.array_distinct(make)).alias("gram")).distinct()
-    return lines.select(F.explode(make).alias("gram"))
+#: Kinds of grams beside the word n-grams, whose kind is their n.
+LINE, CHARS = 0, -1
+
+#: Lines are cut into pieces of so many characters, so that a character's place is found in few steps.
+PIECE = 64
+
+
+def grams(lines: DataFrame, ns: tuple[int, ...] = (), char_n: int = 0) -> DataFrame:
+    """(kind, gram) of all lines with repeats: the lines themselves, word n-grams and runs of char_n characters.
+
+    Rows are exploded by place and grams made one by one, in one pass and in generated code; no list of the grams of
+    a line is made.  (The outer explodes keep Spark from splitting each line a second time to test for emptiness.)"""
+    pieces = F.array("line")
+    if char_n:
+        pieces = F.concat(pieces, F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{char_n},{PIECE + char_n - 1}}})).{{1,{PIECE}}}"), F.lit(1)))
+    whole, at = F.col("piece") == 0, F.col("at")
+    each = lines.where("line IS NOT NULL").select(F.posexplode_outer(pieces).alias("piece", "text"))
+    each = each.select("piece", "text", F.when(whole, T.tokens(F.col("text"))).alias("w"))
+    places = F.when(whole, F.greatest(F.size("w"), F.lit(1))).otherwise(F.char_length("text") - (char_n - 1))
+    each = each.select("piece", "text", "w", F.explode_outer(F.sequence(F.lit(0), places - 1)).alias("at"))
+    made = [(LINE, F.when(at == 0, F.col("text")))]
+    made += [(n, F.when(at + n <= F.size("w"), F.concat_ws(" ", *[F.get("w", at + i) for i in range(n)]))) for n in ns]
+    some = F.array(*[F.struct(F.lit(kind).alias("kind"), gram.alias("gram")) for kind, gram in made])
+    if char_n:
+        some = F.when(whole, some).otherwise(F.array(F.struct(F.lit(CHARS).alias("kind"), F.substring(F.col("text"), at + 1, F.lit(char_n)).alias("gram"))))
+    return each.select(F.explode_outer(some).alias("e")).select("e.kind", "e.gram").where("gram IS NOT NULL")
+
+
+def _seen(source: DataFrame, wanted: DataFrame, ns: tuple[int, ...], char_n: int = 0) -> DataFrame:
+    """Distinct (kind, gram) of the source, those of `wanted` among them and hardly others: by a hash, which is looked up
+    much faster than a text.  What is counted in the end is joined by the texts again."""
+    h = F.xxhash64("kind", "gram").alias("h")
+    return grams(source, ns, char_n).select("kind", "gram", h).join(_small(wanted.select(h)), "h", "left_semi").select("kind", "gram").distinct()
 
 
 def directed_overlap(source: DataFrame, target: DataFrame, ns: tuple[int, ...] = (1, 2, 3), char_n: int = 5) -> DataFrame:
@@ -65,15 +89,14 @@ def gram_overlap(source: DataFrame, target: DataFrame, n: int = 3, normal: bool
     """One row: target_grams, shared_grams, share, shared_lines.
 
     `per_line` counts each target line that the source has; otherwise distinct ones.  `normal` compares normal forms.
-    The source's grams and lines are cut down to the target's before they are made distinct."""
+    The source is read once; its grams and lines are cut down to the target's before they are made distinct."""
     if normal:
-        source, target = (d.withColumn("line", nfc(F.col("line"))) for d in (source, target))
-    own = grams(target, n)
-    shared = grams(source, n, distinct=False).join(_small(own), "gram", "left_semi").distinct()
-    lines = target.groupBy("line").agg(F.count("*").alias("k"))
-    found = source.select("line").join(_small(lines.select("line")), "line", "left_semi").distinct()
-    shared_lines = lines.join(found, "line", "left_semi").agg(F.coalesce(F.sum("k") if per_line else F.count("*"), F.lit(0)).alias("shared_lines"))
-    one = own.agg(F.count("*").alias("target_grams")).crossJoin(shared.agg(F.count("*").alias("shared_grams"))).crossJoin(shared_lines)
+        source, target = (d.select(nfc(F.col("line")).alias("line")) for d in (source, target))
+    counts = grams(target, (n,)).groupBy("kind", "gram").agg(F.count("*").alias("k"))
+    both = counts.join(_seen(source, counts, (n,)).withColumn("known", F.lit(1)), ["kind", "gram"], "left")
+    known = F.col("known") == 1
+    lines = F.coalesce(F.sum(F.when(known & (F.col("kind") == LINE), F.col("k"))), F.lit(0)) if per_line else F.count_if(known & (F.col("kind") == LINE))
+    one = both.agg(F.count_if(F.col("kind") == n).alias("target_grams"), F.count_if(known & (F.col("kind") == n)).alias("shared_grams"), lines.alias("shared_lines"))
     return one.select("target_grams", "shared_grams", T.ratio(F.col("shared_grams"), F.col("target_grams")).alias("share"), "shared_lines")
 
 

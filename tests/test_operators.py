@@ -32,6 +32,18 @@ def test_overlap_measures_differ_where_they_should(spark):
     assert rows(L.hashed_overlap(src, fix), "kind", "total", "shared") == [("line", 3, 2), ("word3", 4, 3)]
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlap_reads_the_source_once(spark, tmp_path):
+    frame(spark, [("a b c d",), ("e\u0301 f  g",), ("",), (None,)], "line string").write.parquet(str(tmp_path / "src"))
+    src, dst = spark.read.parquet(str(tmp_path / "src")), frame(spark, [("\u00e9 f g",), ("\u00e9 f  g",), ("\u00e9 f  g",), ("b c d e",)], "line string")
+    df = L.gram_overlap(src, dst, normal=True, per_line=True)
+    assert rows(df, "target_grams", "shared_grams", "shared_lines") == [(3, 2, 2)]
+    assert plan(df).count("] parquet") == 1
+
+
 def test_pools_give_the_hit_to_the_first(spark):
     lines = frame(spark, [(1, 0, "one two three four five six seven"), (1, 1, "alpha beta gamma delta epsilon zeta"), (2, 0, "short line")], "id long, line_no int, line string")
     pools = [("a", frame(spark, [("Two, three four five six seven",)], "line string")), ("b", frame(spark, [("one two three four five six",), ("alpha beta gamma delta epsilon zeta",)], "line string"))]
