@@ -67,19 +67,12 @@ def directed_overlap(source: DataFrame, target: DataFrame, ns: tuple[int, ...] =
 
     All grams of a line come from one split of it; the source's are cut down to those of the target (broadcast where
     its size allows) before anything is made distinct."""
-    kinds = [("lines", lambda w, line: F.array(line))] + [(f"word{n}", lambda w, line, n=n: T.word_ngrams(w, n)) for n in ns] + [(f"char{char_n}", lambda w, line: T.char_ngrams(line, char_n))]
-
-    def each(lines: DataFrame) -> DataFrame:
-        split = lines.select("line", T.tokens(F.col("line")).alias("w"))
-        every = F.array(*[F.struct(F.lit(k).alias("kind"), make(F.col("w"), F.col("line")).alias("grams")) for k, make in kinds])
-        return split.select(F.explode(every).alias("e")).select("e.kind", F.explode("e.grams").alias("gram"))
-
-    counts = each(target).groupBy("kind", "gram").agg(F.count("*").alias("n"))
-    seen = each(source).join(_small(counts.select("kind", "gram")), ["kind", "gram"], "left_semi").distinct().withColumn("known", F.lit(1))
+    counts = grams(target, ns, char_n).groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    seen = _seen(source, counts, ns, char_n).withColumn("known", F.lit(1))
     both = counts.join(seen, ["kind", "gram"], "left")
     sums = both.groupBy("kind").agg(F.count("*").alias("types"), F.count("known").alias("types_seen"), F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("tokens_seen"))
-    measures = [("lines", "lines", "types")] + [(f"word{n}_{t}", f"word{n}", t) for n in ns for t in ("types", "tokens")] + [(f"char{char_n}_types", f"char{char_n}", "types")]
-    wanted = F.broadcast(source.sparkSession.createDataFrame(measures, "measure string, kind string, of string")).join(sums, "kind", "left")
+    measures = [("lines", LINE, "types")] + [(f"word{n}_{t}", n, t) for n in ns for t in ("types", "tokens")] + [(f"char{char_n}_types", CHARS, "types")]
+    wanted = F.broadcast(source.sparkSession.createDataFrame(measures, "measure string, kind int, of string")).join(sums, "kind", "left")
     pick = lambda a, b: F.coalesce(F.when(F.col("of") == "types", F.col(a)).otherwise(F.col(b)), F.lit(0))
     out = wanted.select("measure", pick("types", "tokens").alias("total"), pick("types_seen", "tokens_seen").alias("seen"))
     return out.withColumn("share", F.col("seen") / F.greatest(F.col("total"), F.lit(1)))

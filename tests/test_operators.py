@@ -44,6 +44,24 @@ def test_overlap_reads_the_source_once(spark, tmp_path):
     assert plan(df).count("] parquet") == 1
 
 
+def test_grams_by_place_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("ab \u00e9\U0001f600") for _ in range(n)).strip() or "x"
+    for char_n in (1, 5):
+        src, dst = ([line(rng.choice([*range(1, 9), 63, 64, 65, 67, 68, 69, 70, 128, 133, 400])) for _ in range(60)] for _ in range(2))
+        word = lambda of, n: [" ".join(w[i : i + n]) for x in of for w in [x.split()] for i in range(len(w) - n + 1)]
+        chars = lambda of: {x[i : i + char_n] for x in of for i in range(len(x) - char_n + 1)}  # noqa: B023, E731
+        want = {"lines": (len(set(dst)), len(set(dst) & set(src))), f"char{char_n}_types": (len(chars(dst)), len(chars(dst) & chars(src)))}
+        for n in (1, 2, 3):
+            own, other = word(dst, n), set(word(src, n))
+            want |= {f"word{n}_types": (len(set(own)), len(set(own) & other)), f"word{n}_tokens": (len(own), sum(g in other for g in own))}
+        df = L.directed_overlap(frame(spark, [(x,) for x in src], "line string"), frame(spark, [(x,) for x in dst], "line string"), char_n=char_n)
+        assert {r.measure: (r.total, r.seen) for r in df.collect()} == want
+        assert "transform(sequence" not in plan(df)  # no list of a line's grams
+
+
 def test_pools_give_the_hit_to_the_first(spark):
     lines = frame(spark, [(1, 0, "one two three four five six seven"), (1, 1, "alpha beta gamma delta epsilon zeta"), (2, 0, "short line")], "id long, line_no int, line string")
     pools = [("a", frame(spark, [("Two, three four five six seven",)], "line string")), ("b", frame(spark, [("one two three four five six",), ("alpha beta gamma delta epsilon zeta",)], "line string"))]
