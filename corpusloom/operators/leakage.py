@@ -94,21 +94,32 @@ def gram_overlap(source: DataFrame, target: DataFrame, n: int = 3, normal: bool
 
 
 def _kinds(lines: DataFrame, n: int) -> DataFrame:
-    """(kind, text) of distinct normal-form lines and word n-grams; blank lines are dropped."""
-    lines = lines.select(nfc(F.col("line")).alias("line")).where(F.trim("line") != "").select("line", T.tokens(F.col("line")).alias("w")).select("line", T.word_ngrams(F.col("w"), n).alias("g"))
-    both = F.array(F.struct(F.lit("line").alias("kind"), F.array("line").alias("g")), F.struct(F.lit(f"word{n}").alias("kind"), F.col("g")))
-    return lines.select(F.explode(both).alias("e")).select("e.kind", F.explode("e.g").alias("text")).distinct()
+    """(kind, text) of normal-form lines and word n-grams with repeats; blank lines are dropped."""
+    each = grams(lines.select(nfc(F.col("line")).alias("line")).where(F.trim("line") != ""), (n,))
+    return each.select(F.when(F.col("kind") == LINE, "line").otherwise(f"word{n}").alias("kind"), F.col("gram").alias("text"))
 
 
 def hash_fixture(lines: DataFrame, n: int = 3) -> DataFrame:
     """(kind, sha256) of distinct normal-form lines and word n-grams; blank lines are dropped.  The text itself stays home."""
-    return _kinds(lines, n).select("kind", T.sha256(F.col("text")).alias("sha256"))
+    return _kinds(lines, n).distinct().select("kind", T.sha256(F.col("text")).alias("sha256"))
 
 
 def hashed_overlap(lines: DataFrame, fixture: DataFrame, n: int = 3) -> DataFrame:
-    """(kind, total, shared) of a corpus against a hash-only fixture; each distinct text is hashed once."""
-    known = _small(fixture.select("kind", "sha256").distinct().withColumn("hit", F.lit(1)))
-    return hash_fixture(lines, n).join(known, ["kind", "sha256"], "left").groupBy("kind").agg(F.count("*").alias("total"), F.count("hit").alias("shared"))
+    """(kind, total, shared) of a corpus against a hash-only fixture.
+
+    Where the fixture can be broadcast, each text is hashed and looked up where it stands; two numbers travel in its place,
+    120 bits of two hashes with kind and hit in the rest.  They are dealt before they are made distinct, as most
+    n-grams of a task are distinct and would only spill.  For a larger fixture the distinct texts travel."""
+    known = fixture.select("kind", "sha256").distinct()
+    if known.count() > BROADCAST_GRAMS:
+        return hash_fixture(lines, n).join(known.withColumn("hit", F.lit(1)), ["kind", "sha256"], "left").groupBy("kind").agg(F.count("*").alias("total"), F.count("hit").alias("shared"))
+    looked = _kinds(lines, n).withColumn("sha256", T.sha256(F.col("text"))).join(F.broadcast(known.withColumn("hit", F.lit(1))), ["kind", "sha256"], "left")
+    mark = F.when(F.col("kind") == "line", 2).otherwise(0) + F.coalesce("hit", F.lit(0))
+    low = F.xxhash64(F.lit(1), F.col("text")).bitwiseAND(F.lit(-256)).bitwiseOR(mark.cast("long"))
+    keys = looked.select(F.xxhash64("text").alias("high"), low.alias("low")).repartition("high", "low").distinct()
+    marks = keys.groupBy(F.col("low").bitwiseAND(F.lit(3)).alias("mark")).agg(F.count("*").alias("n"))
+    kind = F.when(F.col("mark") >= 2, "line").otherwise(f"word{n}").alias("kind")
+    return marks.groupBy(kind).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("mark") % 2 == 1, F.col("n"))), F.lit(0)).alias("shared"))
 
 
 def letter_words(text: Column) -> Column:

@@ -62,6 +62,19 @@ def test_grams_by_place_equal_brute_force(spark):
         assert "transform(sequence" not in plan(df)  # no list of a line's grams
 
 
+def test_hashed_overlap_moves_hashes_only(spark):
+    src = frame(spark, [("a b c d",), ("a b c d",), ("b c  d",), (" ",), (None,), ("q",)], "line string")
+    fix = L.hash_fixture(frame(spark, [("q",), ("a b c",), ("z",)], "line string"))
+    df = L.hashed_overlap(src, fix)
+    assert rows(df, "kind", "total", "shared") == [("line", 3, 1), ("word3", 2, 1)]
+    assert "RepartitionByExpression [high" in plan(df)
+    most, L.BROADCAST_GRAMS = L.BROADCAST_GRAMS, 0
+    try:
+        assert rows(L.hashed_overlap(src, fix), "kind", "total", "shared") == [("line", 3, 1), ("word3", 2, 1)]
+    finally:
+        L.BROADCAST_GRAMS = most
+
+
 def test_pools_give_the_hit_to_the_first(spark):
     lines = frame(spark, [(1, 0, "one two three four five six seven"), (1, 1, "alpha beta gamma delta epsilon zeta"), (2, 0, "short line")], "id long, line_no int, line string")
     pools = [("a", frame(spark, [("Two, three four five six seven",)], "line string")), ("b", frame(spark, [("one two three four five six",), ("alpha beta gamma delta epsilon zeta",)], "line string"))]
