@@ -76,20 +76,20 @@ def part_signatures(hashes: Column, percent: float) -> Column:
 
 
 def compare_sets(percent: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over rows (place, i, j, ha, hb, id, s) ordered by place, i, j: sets, whose hb is null, and after
-    them the pairs of hashes to compare.  Yields (a, b, both, either) of pairs similar enough, a with the lesser id."""
+    """For mapInArrow over rows (place, i, j, ha, hb, id, text, more) ordered by place, i, j: sets, whose hb is null
+    and whose elements are the lines of text or, where that is null, more, and after them the pairs of hashes to compare.  Yields (a, b, both, either) of pairs similar enough, a with the lesser id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, {}
         for batch in batches:
             place, i, j, ha, hb, ids = (batch.column(c).to_pylist() for c in range(6))
-            sets, out = batch.column(6), []
+            texts, sets, out = batch.column(6).to_pylist(), batch.column(7), []
             values, ends = sets.flatten().to_pylist(), np.cumsum(sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
             for r, end in enumerate(ends):
                 if here != (at := (place[r], i[r], j[r])):
                     here, held = at, {}
                 if hb[r] is None:
-                    held.setdefault(ha[r], []).append((ids[r], set(values[ends[r - 1] if r else 0 : end])))
+                    held.setdefault(ha[r], []).append((ids[r], set(values[ends[r - 1] if r else 0 : end] if texts[r] is None else texts[r].split("\n"))))
                     continue
                 for a, x in held[ha[r]]:
                     for b, y in held[hb[r]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corpusloom.functions import text as T
 from corpusloom.functions.udfs import compare_sets, nfc, part_signatures
@@ -216,7 +217,14 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, sets: Column, percent: fl
     Candidates name hashes only; a set travels once to each place where it is compared in full, not once a candidate.
     A place of many pairs is cut into squares of about `SQUARE` sets a side."""
     rows = docs.select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(sets)).alias("s")).where((F.size("s") > 0) & F.col("id").isNotNull())
-    rows = rows.select("id", "s", F.xxhash64("s").alias("h")).repartition("h").groupBy("h", "s").agg(F.min("id").alias("id"))
+    rows = rows.withColumn("h", F.xxhash64("s"))
+    if rows.schema["s"].dataType == ArrayType(StringType(), rows.schema["s"].dataType.containsNull):
+        text = F.array_join("s", "\n")  # half the size of an array; sets with nulls or line ends in their elements stay arrays
+        rows = rows.withColumn("text", F.when(F.get("s", F.lit(0)).isNotNull() & (F.size(F.split(text, "\n")) == F.size("s")), text))
+        rows = rows.select("id", "h", "text", F.when(F.col("text").isNull(), F.col("s")).alias("more")).repartition("h").groupBy("h", "text", "more").agg(F.min("id").alias("id"))
+        rows = rows.select("id", "h", "text", "more", F.coalesce(F.split("text", "\n"), "more").alias("s"))
+    else:
+        rows = rows.repartition("h").groupBy("h", "s").agg(F.min("id").alias("id")).withColumns({"text": F.lit(None).cast("string"), "more": F.col("s")})
     cand = _by_parts(rows, percent) if percent >= PARTS_PERCENT else _by_rare_elements(rows, percent)
     large = cand.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > SQUARE * SQUARE).select("place", F.ceil(F.sqrt("n") / SQUARE).alias("k"))
     k = F.coalesce("k", F.lit(1))
@@ -224,8 +232,8 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, sets: Column, percent: fl
     at = ["place", "i", "j"]
     goes = cand.select(*at, F.explode(F.array("ha", "hb")).alias("h")).distinct()
     none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
-    sent = goes.join(rows, "h").select(*at, F.col("h").alias("ha"), F.lit(None).cast("long").alias("hb"), "id", "s")
-    both = sent.unionByName(cand.select(*at, "ha", "hb", none("id"), none("s"))).repartition(*at).sortWithinPartitions(*at, F.col("hb").asc_nulls_first())
+    sent = goes.join(rows, "h").select(*at, F.col("h").alias("ha"), F.lit(None).cast("long").alias("hb"), "id", "text", "more")
+    both = sent.unionByName(cand.select(*at, "ha", "hb", *[none(c) for c in ("id", "text", "more")])).repartition(*at).sortWithinPartitions(*at, F.col("hb").asc_nulls_first())
     kind = rows.schema["id"].dataType.simpleString()
     return both.mapInArrow(compare_sets(percent), f"a {kind}, b {kind}, both int, either int")
 

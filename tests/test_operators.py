@@ -103,6 +103,7 @@ def test_near_duplicates_of_common_elements_have_few_candidates(spark):
     sets = [(i, rng.sample([f"w{k}" for k in range(120)], 60)) for i in range(300)]  # every element is in half of the sets
     sets += [(500 + i, [*sets[i][1][:-1], f"e{i}"]) for i in range(20)]
     sets += [(7, sets[1][1][:-2]), (None, sets[2][1]), (900, [])]  # a repeated id, no id, no elements
+    sets += [(910 + i, ["a\nb", "", *[f"n{k}" for k in range(30)], f"m{i}"]) for i in range(3)] + [(920, ["a", "b", "", *[f"n{k}" for k in range(30)], "m0"])]  # line ends in elements
     sets += [(1000 + i, [f"h{k}" for k in range(60) if k != i % 30 and k != 30 + i // 30]) for i in range(300)]  # a large group of near copies
     docs = frame(spark, sets, "id long, s array<string>")
     want = sorted((a, b, len(x & y), len(x | y)) for a, x in ((k, set(v)) for k, v in sets if k is not None) for b, y in ((k, set(v)) for k, v in sets if k is not None) if a < b and 10 * len(x & y) >= 9 * len(x | y) and x | y)
