@@ -108,16 +108,15 @@ def hash_fixture(lines: DataFrame, n: int = 3) -> DataFrame:
 def hashed_overlap(lines: DataFrame, fixture: DataFrame, n: int = 3) -> DataFrame:
     """(kind, total, shared) of a corpus against a hash-only fixture.
 
-    Where the fixture can be broadcast, each text is hashed and looked up where it stands; two numbers travel in its place,
-    120 bits of two hashes with kind and hit in the rest.  They are dealt before they are made distinct, as most
-    n-grams of a task are distinct and would only spill.  For a larger fixture the distinct texts travel."""
+    Where the fixture can be broadcast, each text is hashed and looked up where it stands; 94 bits of two hashes travel in
+    its place, with kind and hit in two more.  For a larger fixture the distinct texts travel."""
     known = fixture.select("kind", "sha256").distinct()
     if known.count() > BROADCAST_GRAMS:
         return hash_fixture(lines, n).join(known.withColumn("hit", F.lit(1)), ["kind", "sha256"], "left").groupBy("kind").agg(F.count("*").alias("total"), F.count("hit").alias("shared"))
     looked = _kinds(lines, n).withColumn("sha256", T.sha256(F.col("text"))).join(F.broadcast(known.withColumn("hit", F.lit(1))), ["kind", "sha256"], "left")
     mark = F.when(F.col("kind") == "line", 2).otherwise(0) + F.coalesce("hit", F.lit(0))
-    low = F.xxhash64(F.lit(1), F.col("text")).bitwiseAND(F.lit(-256)).bitwiseOR(mark.cast("long"))
-    keys = looked.select(F.xxhash64("text").alias("high"), low.alias("low")).repartition("high", "low").distinct()
+    low = F.hash("text").bitwiseAND(F.lit(-4)).bitwiseOR(mark)
+    keys = looked.select(F.xxhash64("text").alias("high"), low.alias("low")).distinct()
     marks = keys.groupBy(F.col("low").bitwiseAND(F.lit(3)).alias("mark")).agg(F.count("*").alias("n"))
     kind = F.when(F.col("mark") >= 2, "line").otherwise(f"word{n}").alias("kind")
     return marks.groupBy(kind).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("mark") % 2 == 1, F.col("n"))), F.lit(0)).alias("shared"))
